@@ -17,6 +17,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text of ``let``: ``body`` refers to the value as ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def apply_sql(value: Column, name: str, body: str) -> Column:
+    """``let`` with a body in SQL text: a large expression reaches the JVM in one call."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
+def sql_text(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ts_lit(moment: datetime | str | Column, like: T.DataType | None = None) -> Column:
     """A timestamp literal of type ``like``, so that comparisons need no cast on the column side.
 

@@ -13,10 +13,12 @@ All arithmetic is on BIGINT, masked to 32 bits; products are split so that they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import let, nonempty, text_or_empty
+from logloom.functions.base import apply_sql, let_sql, nonempty, text_or_empty
 
 # --- fixed values: constants of the published MurmurHash3 x86-32 algorithm -----------------------
 BLOCK_C1 = 0xCC9E2D51
@@ -48,50 +50,48 @@ def _seed_zero_prefix() -> int:
 SEED_ZERO = _seed_zero_prefix()
 
 
-def _mul(v: Column, factor: int) -> Column:
-    """``v * factor`` modulo 2**32; refers to ``v`` twice."""
+def _mul(v: str, factor: int) -> str:
+    """``v * factor`` modulo 2**32 as SQL text."""
     low, high = factor & 0xFFFF, factor >> 16
-    return (v * F.lit(low) + F.shiftleft((v * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
+    return f"(({v} * {low}L + shiftleft(({v} * {high}L) & 65535L, 16)) & {MASK}L)"
+
+
+def _fold(v: str, *shifts: int) -> str:
+    return "(" + " ^ ".join([v, *(f"shiftright({v}, {s})" for s in shifts)]) + ")"
 
 
-def _fold(v: Column, *shifts: int) -> Column:
-    out = v
-    for s in shifts:
-        out = out.bitwiseXOR(F.shiftright(v, s))
-    return out
+def _chain(value: str, *steps: tuple[str, Callable[[str], str]]) -> str:
+    for name, step in steps:
+        value = let_sql(value, name, step(name))
+    return value
 
 
-def _finish(h: Column) -> Column:
-    a = let(h, lambda v: _mul(_fold(v, 16), FINISH_M1))
-    b = let(a, lambda v: _mul(_fold(v, 13), FINISH_M2))
-    return let(b, lambda v: _fold(v, 16))
+def _finish(h: str) -> str:
+    return _chain(h, ("f1", lambda v: _mul(_fold(v, 16), FINISH_M1)), ("f2", lambda v: _mul(_fold(v, 13), FINISH_M2)),
+                  ("f3", lambda v: _fold(v, 16)))
 
 
-def _unfinish(h: Column) -> Column:
-    a = let(h, lambda v: _mul(_fold(v, 16), _inverse(FINISH_M2)))
-    b = let(a, lambda v: _mul(_fold(v, 13, 26), _inverse(FINISH_M1)))
-    return let(b, lambda v: _fold(v, 16))
+def _unfinish(h: str) -> str:
+    return _chain(h, ("u1", lambda v: _mul(_fold(v, 16), _inverse(FINISH_M2))),
+                  ("u2", lambda v: _mul(_fold(v, 13, 26), _inverse(FINISH_M1))), ("u3", lambda v: _fold(v, 16)))
 
 
-def _remainder(tail: Column) -> Column:
+def _remainder(tail: str) -> str:
     """The 1-3 trailing bytes as a little-endian number, mixed like a block."""
-    value = let(F.hex(tail), lambda h: F.conv(
-        F.concat(F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("bigint"))
-    k = let(value, lambda v: _mul(v, BLOCK_C1))
-    return let(k, lambda v: _mul(
-        F.shiftleft(v, 15).bitwiseOR(F.shiftright(v, 17)).bitwiseAND(F.lit(MASK)), BLOCK_C2))
+    return _chain(
+        f"hex({tail})",
+        ("t1", lambda v: f"bigint(conv(concat(substring({v}, 5, 2), substring({v}, 3, 2), substring({v}, 1, 2)), 16, 10))"),
+        ("t2", lambda v: _mul(v, BLOCK_C1)),
+        ("t3", lambda v: _mul(f"((shiftleft({v}, 15) | shiftright({v}, 17)) & {MASK}L)", BLOCK_C2)))
 
 
 def murmur3_32(text: Column) -> Column:
     """Unsigned 32-bit hash of the UTF-8 bytes, as BIGINT."""
-    def with_bytes(data: Column) -> Column:
-        size = F.octet_length(data)
-        whole = size - F.pmod(size, F.lit(4))
-        blocks = F.hash(F.lit(SEED_ZERO), F.substring(data, F.lit(1), whole)).cast("bigint").bitwiseAND(F.lit(MASK))
-        state = _unfinish(blocks).bitwiseXOR(whole.cast("bigint"))
-        mixed = state.bitwiseXOR(_remainder(F.substring(data, whole + 1, F.lit(3))))
-        return F.when(whole == size, blocks).otherwise(_finish(mixed.bitwiseXOR(size.cast("bigint"))))
-    return let(text.cast("binary"), with_bytes)
+    size = "octet_length(b)"
+    whole = f"({size} - {size} % 4)"
+    blocks = f"(bigint(hash({SEED_ZERO}, substring(b, 1, {whole}))) & {MASK}L)"
+    mixed = f"({_unfinish(blocks)} ^ {whole} ^ {_remainder(f'substring(b, {whole} + 1, 3)')} ^ {size})"
+    return apply_sql(text.cast("binary"), "b", f"if({size} % 4 = 0, {blocks}, {_finish(mixed)})")
 
 
 def event_type(template: Column, message: Column) -> Column:

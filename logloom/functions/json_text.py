@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import let
+from logloom.functions.base import apply_sql, let, let_sql
 
 OBJECT_TYPE = "map<string,variant>"
 
@@ -43,46 +43,50 @@ def number_or_numeric_text(value: Column) -> Column:
     return F.coalesce(as_number(value), parse_float(as_text(value)))
 
 
-def general_number(x: Column) -> Column:
+KIND_SQL = "regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)"
+
+_GENERAL = """
+CASE WHEN {x} = 0 THEN '0'
+     WHEN abs({x}) >= 1e-3 AND abs({x}) < 1e6 THEN regexp_replace(string({x}), '[.]0$', '')
+     WHEN abs({x}) >= 1e-4 AND abs({x}) < 1e-3
+       THEN concat(if({x} < 0, '-', ''), '0.000', regexp_replace(regexp_replace(string({x}), '[-.]|E.*', ''), '0+$', ''))
+     ELSE get(transform(array(
+            if(abs({x}) >= 1e6 AND abs({x}) < 1e7,
+               concat(if({x} < 0, '-', ''), left(regexp_replace(string(abs({x})), '[.]', ''), 1), '.',
+                      substring(regexp_replace(string(abs({x})), '[.]', ''), 2), 'E6'),
+               string({x}))),
+          sci -> concat(regexp_replace(regexp_extract(sci, '^([^E]*)', 1), '[.]?0+$', ''), 'e',
+                        if(sci LIKE '%E-%', '-', '+'),
+                        lpad(regexp_extract(sci, 'E-?([0-9]+)$', 1),
+                             greatest(2, length(regexp_extract(sci, 'E-?([0-9]+)$', 1))), '0'))), 0)
+END"""
+
+
+def general_sql(x: str) -> str:
     """Shortest form of a double: plain for 1e-4 <= |x| < 1e6, else with a signed two-digit exponent."""
-    def body(v: Column) -> Column:
-        raw = v.cast("string")
-        sign = F.when(v < 0, "-").otherwise("")
-        digits = F.regexp_replace(F.regexp_replace(raw, r"E.*$", ""), r"[-.]", "")
-        # |v| in [1e6, 1e7) prints plainly in Spark: move the point behind the first digit
-        plain_million = F.concat(sign, F.substring(digits, 1, 1), F.lit("."),
-                                 F.substring(digits, F.lit(2), F.length(digits)), F.lit("E6"))
-        sci = F.when((F.abs(v) >= 1e6) & (F.abs(v) < 1e7), plain_million).otherwise(raw)
-        mantissa = F.regexp_replace(F.regexp_extract(sci, r"^([^E]*)", 1), r"\.?0+$", "")
-        exponent = F.regexp_extract(sci, r"E(-?\d+)$", 1).try_cast("int")
-        scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
-                              F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
-        # |v| in [1e-4, 1e-3) prints with an exponent in Spark: write it out
-        small = F.concat(sign, F.lit("0.000"), F.regexp_replace(digits, r"0+$", ""))
-        plain = F.regexp_replace(raw, r"\.0$", "")
-        return (F.when(v == 0, F.lit("0"))
-                .when((F.abs(v) >= 1e-4) & (F.abs(v) < 1e-3), small)
-                .when((F.abs(v) >= 1e-3) & (F.abs(v) < 1e6), plain)
-                .otherwise(scientific))
-    return let(x, body)
+    return _GENERAL.format(x=x)
+
+
+def general_number(x: Column) -> Column:
+    return apply_sql(x, "x", general_sql("x"))
+
+
+_DISPLAY = f"""
+CASE {KIND_SQL.format(v='v')}
+  WHEN 'STRING' THEN try_variant_get(v, '$', 'string')
+  WHEN 'BIGINT' THEN try_variant_get(v, '$', 'string')
+  WHEN 'BOOLEAN' THEN try_variant_get(v, '$', 'string')
+  WHEN 'VOID' THEN 'null'
+  WHEN 'OBJECT' THEN to_json(v)
+  WHEN 'ARRAY' THEN to_json(v)
+  ELSE {let_sql("try_variant_get(v, '$', 'double')", "d",
+                "if(d = floor(d) AND abs(d) < 9.2e18, string(bigint(d)), " + general_sql("d") + ")")}
+END"""
 
 
 def display(value: Column) -> Column:
     """A member as it appears inside a rendered template."""
-    def number(v: Column) -> Column:
-        d = F.try_variant_get(v, "$", "double")
-        whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18))
-        return F.when(whole, d.try_cast("bigint").cast("string")).otherwise(general_number(d))
-
-    def body(v: Column) -> Column:
-        k = kind(v)
-        return (F.when(k == "STRING", F.try_variant_get(v, "$", "string"))
-                .when(k == "BIGINT", F.try_variant_get(v, "$", "string"))
-                .when(k.isin("DECIMAL", "DOUBLE", "FLOAT"), number(v))
-                .when(k == "BOOLEAN", F.try_variant_get(v, "$", "string"))
-                .when(k == "VOID", F.lit("null"))
-                .otherwise(F.to_json(v)))
-    return let(value, body)
+    return apply_sql(value, "v", _DISPLAY)
 
 
 def sort_keys(members: Column) -> Column:

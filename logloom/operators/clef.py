@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logloom.functions.base import text_or_empty
-from logloom.functions.hashing import event_type
 from logloom.functions.json_text import as_text, canonical, fill_missing, object_members, render_template, without
 from logloom.functions.timeparse import rfc3339
 from logloom.schema import MAX_LINE_BYTES
@@ -46,14 +45,13 @@ def clef_fields(members: Column, source: Column, enrich: Column) -> dict[str, Co
     given = text_or_empty(member_text(members, "@m"))
     props = without(members, RESERVED)
     message = F.when((given == "") & (template != ""), render_template(template, props)).otherwise(given)
-    given_type = text_or_empty(member_text(members, "@i"))
     return {
         "timestamp": clef_timestamp(members),
         "level": F.coalesce(member_text(members, "@l"), F.lit("Information")),
         "message_template": template,
         "message": message,
         "exception": text_or_empty(member_text(members, "@x")),
-        "event_type": F.when(given_type != "", given_type).otherwise(event_type(template, message)),
+        "given_type": text_or_empty(member_text(members, "@i")),
         "source": source,
         "properties": canonical(fill_missing(props, enrich)),
     }

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import let, nonempty, text_or_empty
-from logloom.functions.hashing import event_type
-from logloom.functions.json_text import canonical, general_number
+from logloom.functions.base import apply_sql, let, let_sql, nonempty, text_or_empty
+from logloom.functions.json_text import canonical, general_sql
 from logloom.functions.timeparse import nanos_text
 from logloom.schema import OTLP_LOGS, OTLP_TRACES
 
@@ -22,70 +21,70 @@ SEVERITY_GROUPS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
 NESTING = 3
 
 
-def _get(value: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(value, path, kind)
+def _hex_sql(text: str) -> str:
+    """Bytes fields are Base64 in the JSON form (either alphabet, padding optional)."""
+    std = f"rtrim('=', translate({text}, '-_', '+/'))"
+    return f"lower(hex(try_to_binary(concat({std}, repeat('=', pmod(-length({std}), 4))), 'base64')))"
 
 
 def _hex_bytes(text: Column) -> Column:
-    """Bytes fields are Base64 in the JSON form (either alphabet, padding optional)."""
-    std = F.rtrim(F.translate(text, "-_", "+/"), F.lit("="))
-    padded = F.concat(std, F.repeat(F.lit("="), F.pmod(-F.length(std), F.lit(4))))
-    return F.lower(F.hex(F.try_to_binary(padded, F.lit("base64"))))
+    return apply_sql(text, "t", _hex_sql("t"))
 
 
-def plain_value(value: Column, depth: int = NESTING) -> Column:
-    """A typed attribute value as ordinary JSON; lists and key-value lists to ``depth`` levels."""
-    def body(v: Column) -> Column:
-        scalar = F.coalesce(
-            _get(v, "$.stringValue", "string").cast("variant"),
-            _get(v, "$.intValue", "bigint").cast("variant"),
-            let(_get(v, "$.doubleValue", "double"), _number),
-            _get(v, "$.boolValue", "boolean").cast("variant"),
-            _hex_bytes(_get(v, "$.bytesValue", "string")).cast("variant"))
-        if depth == 0:
-            return F.coalesce(scalar, v)
-        items = _get(v, "$.arrayValue.values", "array<variant>")
-        pairs = _get(v, "$.kvlistValue.values", "array<variant>")
-        listed = F.to_variant_object(F.transform(items, lambda x: _null_safe(plain_value(x, depth - 1))))
-        keyed = F.to_variant_object(last_wins(F.transform(pairs, lambda p: F.struct(
-            text_or_empty(_get(p, "$.key", "string")).alias("key"),
-            plain_value(_get(p, "$.value", "variant"), depth - 1).alias("value")))))
-        empty_list = F.when(_get(v, "$.arrayValue", "variant").isNotNull(), F.parse_json(F.lit("[]")))
-        empty_pairs = F.when(_get(v, "$.kvlistValue", "variant").isNotNull(), F.parse_json(F.lit("{}")))
-        return F.coalesce(scalar, listed, keyed, empty_list, empty_pairs)
-    return let(value, body)
-
-
-def _null_safe(value: Column) -> Column:
-    return F.coalesce(value, F.parse_json(F.lit("null")))
+def _get(v: str, path: str, kind: str) -> str:
+    return f"try_variant_get({v}, '$.{path}', '{kind}')"
 
 
-def _number(x: Column) -> Column:
-    whole = (x == F.floor(x)) & (F.abs(x) < 9.0e15)
-    return F.when(whole, x.try_cast("bigint").cast("variant")).otherwise(x.cast("variant"))
+def _last_wins_sql(pairs: str, tag: str) -> str:
+    """Key-value structs to a map with ascending keys; the last value of a repeated key wins."""
+    p, k = f"p{tag}", f"k{tag}"
+    keys = f"array_sort(array_distinct(transform({pairs}, {p} -> {p}.key)))"
+    last = f"coalesce(element_at(filter({pairs}, {p} -> {p}.key = {k}), -1).value, parse_json('null'))"
+    return f"map_from_arrays({keys}, transform({keys}, {k} -> {last}))"
+
+
+def _plain_sql(v: str, depth: int) -> str:
+    """A typed value as ordinary JSON (SQL text); the members of lists are converted by the same text one level down."""
+    number = let_sql(_get(v, "doubleValue", "double"), f"n{depth}",
+                     f"if(n{depth} = floor(n{depth}) AND abs(n{depth}) < 9e15, cast(try_cast(n{depth} AS bigint) AS variant),"
+                     f" cast(n{depth} AS variant))")
+    scalar = (f"cast({_get(v, 'stringValue', 'string')} AS variant), cast({_get(v, 'intValue', 'bigint')} AS variant), {number}, "
+              f"cast({_get(v, 'boolValue', 'boolean')} AS variant), cast({_hex_sql(_get(v, 'bytesValue', 'string'))} AS variant)")
+    if depth == 0:
+        return f"coalesce({scalar}, {v})"
+    q, e, x, i, z = (f"{c}{depth}" for c in "qexiz")
+    pairs = _get(v, "kvlistValue.values", "array<variant>")
+    items = f"coalesce({_get(v, 'arrayValue.values', 'array<variant>')}, transform({q}, {e} -> {_get(e, 'value', 'variant')}))"
+    inner = f"transform({items}, {x} -> coalesce({_plain_sql(x, depth - 1)}, parse_json('null')))"
+    keyed = let_sql(f"zip_with({q}, {i}, ({e}, {z}) -> named_struct('key', coalesce({_get(e, 'key', 'string')}, ''), 'value', {z}))",
+                    f"w{depth}", f"to_variant_object({_last_wins_sql(f'w{depth}', str(depth))})")
+    shaped = (f"CASE WHEN {i} IS NULL THEN coalesce(if({_get(v, 'arrayValue', 'variant')} IS NOT NULL, parse_json('[]'), NULL),"
+              f" if({_get(v, 'kvlistValue', 'variant')} IS NOT NULL, parse_json('{{}}'), NULL))"
+              f" WHEN {q} IS NOT NULL THEN {keyed} ELSE to_variant_object({i}) END")
+    return f"coalesce({scalar}, {let_sql(pairs, q, let_sql(inner, i, shaped))})"
+
+
+def plain_value(value: Column, depth: int = NESTING) -> Column:
+    """A typed attribute value as ordinary JSON; lists and key-value lists to ``depth`` levels, deeper ones as they are."""
+    return apply_sql(value, "v", _plain_sql("v", depth))
 
 
 def plain_text(value: Column) -> Column:
     """A typed value as message text: scalars as they are, others as JSON, a missing value as ''."""
-    def body(v: Column) -> Column:
-        return (F.when(v.isNull(), F.lit(""))
-                .otherwise(F.coalesce(
-                    _get(v, "$.stringValue", "string"),
-                    _get(v, "$.intValue", "bigint").cast("string"),
-                    general_number(_get(v, "$.doubleValue", "double")),
-                    _get(v, "$.boolValue", "string"),
-                    _hex_bytes(_get(v, "$.bytesValue", "string")),
-                    F.to_json(_null_safe(plain_value(v))))))
-    return let(value, body)
+    number = let_sql(_get("v", "doubleValue", "double"), "n", general_sql("n"))
+    return apply_sql(value, "v", f"if(v IS NULL, '', coalesce({_get('v', 'stringValue', 'string')},"
+                     f" string({_get('v', 'intValue', 'bigint')}), {number}, {_get('v', 'boolValue', 'string')},"
+                     f" {_hex_sql(_get('v', 'bytesValue', 'string'))}, to_json(coalesce({_plain_sql('v', NESTING)}, parse_json('null')))))")
 
 
 def last_wins(pairs: Column) -> Column:
     """Key-value structs to a map with ascending keys; the last value of a repeated key wins."""
-    def body(items: Column) -> Column:
-        keys = F.array_sort(F.array_distinct(F.transform(items, lambda p: p["key"])))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: _null_safe(
-            F.element_at(F.filter(items, lambda p: p["key"] == k), -1)["value"])))
-    return let(pairs, body)
+    return apply_sql(pairs, "w", _last_wins_sql("w", ""))
+
+
+def _number(x: Column) -> Column:
+    whole = (x == F.floor(x)) & (F.abs(x) < 9.0e15)
+    return F.when(whole, x.try_cast("bigint").cast("variant")).otherwise(x.cast("variant"))
 
 
 def attribute_pairs(attributes: Column) -> Column:
@@ -162,7 +161,7 @@ def log_fields(record: Column, source: Column) -> dict[str, Column]:
         "message_template": F.lit(""),
         "message": message,
         "exception": F.lit(""),
-        "event_type": event_type(F.lit(""), message),
+        "given_type": F.lit(""),
         "source": F.coalesce(record["service"], source),
         "properties": canonical(last_wins(attribute_pairs(item["attributes"]))),
     }
@@ -190,7 +189,7 @@ def span_fields(record: Column, source: Column) -> dict[str, Column]:
         "message_template": F.lit(SPAN_TEMPLATE),
         "message": F.concat(text_or_empty(item["name"]), F.lit(" ["), span_kind(item["kind"]), F.lit("] "), _status(item["status"])),
         "exception": F.lit(""),
-        "event_type": event_type(F.lit(SPAN_TEMPLATE), F.lit("")),
+        "given_type": F.lit(""),
         "source": F.coalesce(record["service"], source),
         "properties": canonical(last_wins(pairs)),
     }

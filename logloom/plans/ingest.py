@@ -12,7 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.base import ts_lit
+from logloom.functions.base import nonempty, ts_lit
+from logloom.functions.hashing import event_type
 from logloom.operators import clef, otlp, webhook
 from logloom.schema import EVENT_COLUMNS, FORMATS
 from logloom.sources.messages import event_id, unwrap
@@ -75,19 +76,21 @@ def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
     }
     good = F.col("reason").isNull()
     fields = {}
-    for name in EVENT_COLUMNS[1:]:
+    for name in by_format[CLEF]:
         choice = F.when(good & (F.col("format") == CLEF), by_format[CLEF][name])
         for form in FORMATS[1:]:
             choice = choice.when(good & (F.col("format") == form), by_format[form][name])
         fields[name] = choice
-    now = _moment(as_of)
-    fields["timestamp"] = F.when(good, clamp_future(fields["timestamp"], now))
+    fields["timestamp"] = F.when(good, clamp_future(fields["timestamp"], _moment(as_of)))
     fields["source"] = F.when(good, fields["source"]).otherwise(source)
-    return rows.select(
+    chosen = rows.select(
         event_id(F.col("message_id"), F.col("place")).alias("id"),
-        *[fields[name].alias(name) for name in EVENT_COLUMNS[1:]],
-        "message_id", "format", "reason",
-        F.when(~good, F.col("raw")).alias("raw"))
+        *[column.alias(name) for name, column in fields.items()],
+        "message_id", "format", "reason", F.when(~good, F.col("raw")).alias("raw"))
+    # the fingerprint refers to message and template, so it is taken one step after they are built
+    return (chosen.withColumn("event_type", F.when(good, F.coalesce(
+                nonempty(F.col("given_type")), event_type(F.col("message_template"), F.col("message")))))
+            .select(*EVENT_COLUMNS, "message_id", "format", "reason", "raw"))
 
 
 def parse_messages(messages: DataFrame, as_of: datetime | str | None = None,
