@@ -10,6 +10,7 @@ from logloom.functions.json_text import display, object_members
 
 # --- fixed values -------------------------------------------------------------------------------
 SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
+BINARY_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
 NAME_SEPARATORS = [" - ", " errors", " alert", " warning"]
 HTML_ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
 # ------------------------------------------------------------------------------------------------
@@ -35,6 +36,17 @@ def format_bytes(size: Column) -> Column:
     return let(size.cast("double"), body)
 
 
+def readable_size(size: Column) -> Column:
+    """Two decimals and a binary unit: ``1.18 MiB``."""
+    def body(v: Column) -> Column:
+        out = F.when(v < 1024.0, F.concat(fixed(v, 2), F.lit(" B")))
+        for i, unit in enumerate(BINARY_UNITS[1:], start=1):
+            text = F.concat(fixed(v / F.lit(float(1024 ** i)), 2), F.lit(" " + unit))
+            out = out.otherwise(text) if unit == BINARY_UNITS[-1] else out.when(v < float(1024 ** (i + 1)), text)
+        return out
+    return let(size.cast("double"), body)
+
+
 def format_count(n: Column) -> Column:
     """1234 as ``1.2K``, 2500000 as ``2.5M``, smaller numbers grouped."""
     def body(v: Column) -> Column:
