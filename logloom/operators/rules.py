@@ -140,17 +140,18 @@ def evaluate_rules(spark: SparkSession, rules: DataFrame) -> DataFrame:
     united into one distributed job. Text the analyser refuses becomes an error row.
     """
     frames = []
-    empty = F.lit(None).cast("map<string,double>")
     for row in rules.select("id", "query", "condition").collect():
-        base = spark.range(1).select(F.lit(row["id"]).alias("id"), F.lit(row["condition"]).alias("condition"))
+        sql_error = ""
         try:
             values = first_row_values(spark.sql(row["query"]))
         except Exception as problem:  # analysis and syntax errors of user SQL
-            note = str(problem).splitlines()[0]
-            frames.append(base.select("id", "condition", empty.alias("values"), F.lit(note).alias("sql_error")))
-            continue
-        frames.append(base.join(values, F.lit(True), "left").select(
-            "id", "condition", "values", F.when(F.col("values").isNull(), "query returned no rows").alias("sql_error")))
+            sql_error = str(problem).splitlines()[0]
+            values = spark.range(0).select(F.lit(None).cast("map<string,double>").alias("values"))
+        # a global aggregate: one row even when the query gave none
+        frames.append(values.agg(F.first("values").alias("values")).select(
+            F.lit(row["id"]).alias("id"), F.lit(row["condition"]).alias("condition"), "values",
+            F.when(F.lit(sql_error) != "", F.lit(sql_error))
+             .when(F.col("values").isNull(), "query returned no rows").alias("sql_error")))
     if not frames:
         return spark.createDataFrame([], "id string, values map<string,double>, triggered boolean, error string")
     judged = reduce(DataFrame.unionByName, frames).withColumn(
