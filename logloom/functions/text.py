@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import let, show_ts
+from logloom.functions.base import apply_sql, let, let_sql, show_ts
 from logloom.functions.json_text import display, object_members
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -22,8 +22,16 @@ def trim_zeros(text: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Fixed number of decimals, no grouping."""
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """Fixed number of decimals, no grouping; rounds by the exact binary value (1.15 is below the tie, so 1.1).
+
+    ``twice * x`` is compared with an odd integer after splitting ``x`` into two halves whose products are exact.
+    """
+    scale, twice = float(10 ** digits), float(2 * 10 ** digits)
+    high = "(134217729D * abs(v) - (134217729D * abs(v) - abs(v)))"
+    above = f"({high} * {twice}D - (2 * n + 1)) + (abs(v) - {high}) * {twice}D >= 0"
+    body = let_sql(f"double(floor(abs(v) * {scale}D))", "n",
+                   f"format_string('%.{digits}f', if(v < 0, -1, 1) * (n + if({above}, 1, 0)) / {scale}D)")
+    return apply_sql(x.cast("double"), "v", body)
 
 
 def format_bytes(size: Column) -> Column:

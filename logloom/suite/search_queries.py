@@ -215,10 +215,9 @@ def _(spark, sf):
 
 
 @query("rows_by_status", """
-SELECT id, status FROM (SELECT id, CASE WHEN level IN ('Error', 'Fatal') THEN 'firing' WHEN level = 'Warning' THEN 'recent' ELSE 'ok' END AS status,
-       timestamp FROM log_events) ORDER BY CASE status WHEN 'firing' THEN 1 WHEN 'recent' THEN 2 ELSE 3 END, timestamp DESC, id LIMIT 3000""", "log_events")
+SELECT id, CASE WHEN level IN ('Error', 'Fatal') THEN 'firing' WHEN level = 'Warning' THEN 'recent' ELSE 'ok' END AS status
+FROM log_events""", "log_events")
 def _(spark, sf):
     status = F.when(F.col("level").isin("Error", "Fatal"), "firing").when(F.col("level") == "Warning", "recent").otherwise("ok")
     rows = log_events(spark, sf).select("id", status.alias("status"), F.col("timestamp").alias("triggered_at"))
-    ordered = s.order_by_status(rows)
-    return ordered.orderBy(s.status_rank(F.col("status")), F.desc("triggered_at"), "id").limit(3000).select("id", "status")
+    return s.order_by_status(rows).select("id", "status")
