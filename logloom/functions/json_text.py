@@ -15,18 +15,18 @@ def object_members(text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(text), "$", OBJECT_TYPE)
 
 
-def kind(value: Column) -> Column:
-    """First letters of the variant type: STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, OBJECT, ARRAY."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
 def is_number(value: Column) -> Column:
-    return kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    """Variant types BIGINT, DECIMAL(p,s), DOUBLE and FLOAT."""
+    return F.left(F.schema_of_variant(value), F.lit(3)).isin("BIG", "DEC", "DOU", "FLO")
 
 
 def as_text(value: Column) -> Column:
     """The string held by a variant, NULL for every other type."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
 
 
 def as_number(value: Column) -> Column:
@@ -43,8 +43,6 @@ def number_or_numeric_text(value: Column) -> Column:
     return F.coalesce(as_number(value), parse_float(as_text(value)))
 
 
-KIND_SQL = "regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)"
-
 _GENERAL = """
 CASE WHEN {x} = 0 THEN '0'
      WHEN abs({x}) >= 1e-3 AND abs({x}) < 1e6 THEN regexp_replace(string({x}), '[.]0$', '')
@@ -72,13 +70,13 @@ def general_number(x: Column) -> Column:
 
 
 _DISPLAY = f"""
-CASE {KIND_SQL.format(v='v')}
-  WHEN 'STRING' THEN try_variant_get(v, '$', 'string')
-  WHEN 'BIGINT' THEN try_variant_get(v, '$', 'string')
-  WHEN 'BOOLEAN' THEN try_variant_get(v, '$', 'string')
-  WHEN 'VOID' THEN 'null'
-  WHEN 'OBJECT' THEN to_json(v)
-  WHEN 'ARRAY' THEN to_json(v)
+CASE left(schema_of_variant(v), 3)
+  WHEN 'STR' THEN try_variant_get(v, '$', 'string')
+  WHEN 'BIG' THEN try_variant_get(v, '$', 'string')
+  WHEN 'BOO' THEN try_variant_get(v, '$', 'string')
+  WHEN 'VOI' THEN 'null'
+  WHEN 'OBJ' THEN to_json(v)
+  WHEN 'ARR' THEN to_json(v)
   ELSE {let_sql("try_variant_get(v, '$', 'double')", "d",
                 "if(d = floor(d) AND abs(d) < 9.2e18, string(bigint(d)), " + general_sql("d") + ")")}
 END"""
@@ -89,14 +87,6 @@ def display(value: Column) -> Column:
     return apply_sql(value, "v", _DISPLAY)
 
 
-def sort_keys(members: Column) -> Column:
-    """The same map with ascending keys and, for a repeated key, only its last value."""
-    def ordered(m: Column) -> Column:
-        keys = F.array_sort(F.array_distinct(F.map_keys(m)))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(m, k)))
-    return let(members, ordered)
-
-
 def canonical(members: Column) -> Column:
     """JSON text of a map whose keys are ascending; ``{}`` for an empty or missing map."""
     return F.when(F.coalesce(F.size(members), F.lit(0)) <= 0, F.lit("{}")).otherwise(F.to_json(members))
@@ -116,13 +106,20 @@ def render_template(template: Column, members: Column) -> Column:
     return F.when(F.contains(template, F.lit("{")), rendered).otherwise(template)
 
 
-def fill_missing(members: Column, extra: Column) -> Column:
-    """Add non-empty ``extra`` texts for keys that are absent, null or empty text; other values win."""
-    wanted = F.map_filter(extra, lambda _, v: v.isNotNull() & (v != ""))
+def filled(members: Column, extra: Column) -> Column:
+    """Canonical text after adding non-empty ``extra`` texts for keys that are absent, null or empty text.
+
+    The two objects are joined as text and parsed once, which also brings the keys into order.
+    """
+    def blank(key: Column) -> Column:
+        return F.coalesce(F.try_variant_get(F.try_element_at(members, key), "$", "string"), F.lit("")) == ""
 
-    def pick(_key: Column, own: Column, other: Column) -> Column:
-        blank = own.isNull() | (kind(own) == "VOID") | F.coalesce(as_text(own) == "", F.lit(False))
-        return F.when(blank & other.isNotNull(), other.cast("variant")).otherwise(own)
+    def merged(e: Column) -> Column:
+        own = F.to_json(F.map_filter(members, lambda k, _: ~F.map_contains_key(e, k)))
+        text = F.concat(F.when(own == "{}", F.lit("{")).otherwise(F.concat(F.left(own, F.length(own) - 1), F.lit(","))),
+                        F.substring(F.to_json(e), F.lit(2), F.lit(2147483647)))
+        return F.to_json(F.parse_json(text))
 
-    return (F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, members)
-            .otherwise(sort_keys(F.map_zip_with(members, wanted, pick))))
+    needed = F.map_filter(extra, lambda k, v: v.isNotNull() & (v != "") & blank(k))
+    return F.when(F.coalesce(F.size(extra), F.lit(0)) <= 0, canonical(members)).otherwise(
+        let(needed, lambda e: F.when(F.size(e) == 0, canonical(members)).otherwise(merged(e))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logloom.functions.base import text_or_empty
-from logloom.functions.json_text import as_text, canonical, fill_missing, object_members, render_template, without
+from logloom.functions.json_text import as_text, filled, object_members, render_template, without
 from logloom.functions.timeparse import rfc3339
 from logloom.schema import MAX_LINE_BYTES
 
@@ -36,22 +36,23 @@ def clef_timestamp(members: Column) -> Column:
 
 
 def parse_lines(lines: Column) -> Column:
-    """Members of each valid line; lines that are no JSON object or lack a valid ``@t`` are left out."""
-    return F.filter(F.transform(lines, object_members), lambda m: clef_timestamp(m).isNotNull())
+    """Structs of members and time per valid line; lines that are no JSON object or lack a valid ``@t`` are left out."""
+    parsed = F.transform(F.transform(lines, object_members), lambda m: F.struct(m.alias("m"), clef_timestamp(m).alias("ts")))
+    return F.filter(parsed, lambda p: p["ts"].isNotNull())
 
 
-def clef_fields(members: Column, source: Column, enrich: Column) -> dict[str, Column]:
+def clef_fields(members: Column, timestamp: Column, source: Column, enrich: Column) -> dict[str, Column]:
     template = text_or_empty(member_text(members, "@mt"))
     given = text_or_empty(member_text(members, "@m"))
     props = without(members, RESERVED)
     message = F.when((given == "") & (template != ""), render_template(template, props)).otherwise(given)
     return {
-        "timestamp": clef_timestamp(members),
+        "timestamp": timestamp,
         "level": F.coalesce(member_text(members, "@l"), F.lit("Information")),
         "message_template": template,
         "message": message,
         "exception": text_or_empty(member_text(members, "@x")),
         "given_type": text_or_empty(member_text(members, "@i")),
         "source": source,
-        "properties": canonical(fill_missing(props, enrich)),
+        "properties": filled(props, enrich),
     }

@@ -11,11 +11,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.base import nonempty, ts_lit
 from logloom.functions.hashing import event_type
 from logloom.operators import clef, otlp, webhook
-from logloom.schema import EVENT_COLUMNS, FORMATS
+from logloom.schema import EVENT_COLUMNS, FORMATS, LOG_RECORD, SPAN
 from logloom.sources.messages import event_id, unwrap
 
 CLEF, WEBHOOK, OTLP_LOGS, OTLP_TRACES = FORMATS
@@ -30,46 +31,60 @@ def _moment(as_of: datetime | str | None) -> Column:
     return F.current_timestamp() if as_of is None else ts_lit(as_of)
 
 
-def _expand(payloads: DataFrame) -> DataFrame:
-    """Payload rows with the records of their format and the reason of a rejection."""
-    form, body = F.col("format"), F.col("body")
+_PARTS = {
+    "m": T.MapType(T.StringType(), T.VariantType()),
+    "ts": T.TimestampType(),
+    "log": T.StructType([T.StructField("service", T.StringType()), T.StructField("item", LOG_RECORD)]),
+    "span": T.StructType([T.StructField("service", T.StringType()), T.StructField("item", SPAN)]),
+    "reason": T.StringType(),
+    "raw": T.StringType(),
+}
+
+
+def _record(**values: Column) -> Column:
+    """One record: the given parts filled, the others NULL."""
+    return F.struct(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _PARTS.items()])
+
+
+def _records(payloads: DataFrame) -> DataFrame:
+    """Payload rows with the array of their records; a rejected payload has one record with the reason.
+
+    The reason travels inside the record, so that a later filter on it cannot be pushed below the generator,
+    where it would parse every payload a second time.
+    """
+    form, body, ok = F.col("format"), F.col("body"), F.col("reason").isNull()
     line_based = form.isin(CLEF, WEBHOOK)
-    staged = payloads.withColumn("lines", F.when(F.col("reason").isNull() & line_based, clef.split_lines(body)))
-    staged = staged.withColumns({
-        "members": F.when(form == CLEF, clef.parse_lines(F.col("lines")))
-                    .when(form == WEBHOOK, webhook.parse_lines(F.col("lines"))),
-        "logs": F.when(F.col("reason").isNull() & (form == OTLP_LOGS), otlp.flatten_logs(body)),
-        "spans": F.when(F.col("reason").isNull() & (form == OTLP_TRACES), otlp.flatten_spans(body)),
-    })
+    staged = payloads.withColumn("lines", F.when(ok & line_based, clef.split_lines(body)))
+    staged = staged.withColumn("parsed", (
+        F.when(form == CLEF, F.transform(clef.parse_lines(F.col("lines")), lambda p: _record(m=p["m"], ts=p["ts"])))
+        .when(form == WEBHOOK, F.transform(webhook.parse_lines(F.col("lines")), lambda m: _record(m=m)))
+        .when(ok & (form == OTLP_LOGS), F.transform(otlp.flatten_logs(body), lambda r: _record(log=r)))
+        .when(ok & (form == OTLP_TRACES), F.transform(otlp.flatten_spans(body), lambda r: _record(span=r)))))
     no_json = form.isin(OTLP_LOGS, OTLP_TRACES) & F.try_parse_json(body).isNull()
-    reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
+    reason = (F.when(~ok, F.col("reason"))
               .when(~form.isin(*FORMATS), F.concat(F.lit("unknown format: "), form))
               .when(line_based & clef.has_oversize_line(body), "line too long")
-              .when((form == CLEF) & (F.size("lines") > 0) & (F.size("members") == 0), "all lines failed")
+              .when((form == CLEF) & (F.size("lines") > 0) & (F.size("parsed") == 0), "all lines failed")
               .when(no_json, "bad request json"))
-    return staged.withColumn("reason", reason)
+    kept = ["message_id", "format", "source", "preset", "enrich", "raw", "parsed"]
+    return staged.select(*kept, reason.alias("why")).select(
+        *kept[:5], F.when(F.col("why").isNull(), F.col("parsed")).otherwise(
+            F.array(_record(reason=F.col("why"), raw=F.col("raw")))).alias("records"))
 
 
 def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
                    presets: dict[str, webhook.Preset] | None = None) -> DataFrame:
     """Decoded payloads to one row per event plus one row per rejected payload (``reason`` set)."""
-    staged = _expand(payloads)
-    count = F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in ("members", "logs", "spans")], F.lit(0))
-    places = (F.when(F.col("reason").isNotNull(), F.array(F.lit(0)))
-              .when(count > 0, F.sequence(F.lit(1), count))
-              .otherwise(F.array().cast("array<int>")))
-    rows = staged.select(
-        "message_id", "raw", "format", "source", "preset", "enrich", "reason",
-        "members", "logs", "spans", F.explode(places).alias("place"))
-    rows = rows.select(
-        "message_id", "raw", "format", "source", "preset", "enrich", "reason", "place",
-        F.get("members", F.col("place") - 1).alias("m"),
-        F.get("logs", F.col("place") - 1).alias("log"),
-        F.get("spans", F.col("place") - 1).alias("span"))
+    # the outer form: the plain one makes the optimizer add a size filter that repeats the parsing
+    rows = _records(payloads).select(
+        "message_id", "format", "source", "preset", "enrich", F.posexplode_outer("records").alias("place", "record"))
+    rows = rows.filter(F.col("record").isNotNull()).select(
+        "message_id", "format", "source", "preset", "enrich", *[F.col(f"record.{name}").alias(name) for name in _PARTS],
+        F.when(F.col("record.reason").isNull(), F.col("place") + 1).otherwise(0).alias("place"))
 
     source = F.col("source")
     by_format = {
-        CLEF: clef.clef_fields(F.col("m"), source, F.col("enrich")),
+        CLEF: clef.clef_fields(F.col("m"), F.col("ts"), source, F.col("enrich")),
         WEBHOOK: webhook.webhook_fields(F.col("m"), source, F.col("preset"), presets),
         OTLP_LOGS: otlp.log_fields(F.col("log"), source),
         OTLP_TRACES: otlp.span_fields(F.col("span"), source),
@@ -86,7 +101,7 @@ def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
     chosen = rows.select(
         event_id(F.col("message_id"), F.col("place")).alias("id"),
         *[column.alias(name) for name, column in fields.items()],
-        "message_id", "format", "reason", F.when(~good, F.col("raw")).alias("raw"))
+        "message_id", "format", "reason", "raw")
     # the fingerprint refers to message and template, so it is taken one step after they are built
     return (chosen.withColumn("event_type", F.when(good, F.coalesce(
                 nonempty(F.col("given_type")), event_type(F.col("message_template"), F.col("message")))))

@@ -84,15 +84,22 @@ _ATTRIBUTES = T.ArrayType(_ATTRIBUTE)
 _RESOURCE = T.StructType([T.StructField("attributes", _ATTRIBUTES)])
 
 # 64-bit integers may be JSON strings or numbers, enums may be names or numbers: all are read as text.
+LOG_RECORD = T.StructType([
+    *_strings("timeUnixNano", "observedTimeUnixNano", "severityText", "severityNumber"),
+    T.StructField("body", T.VariantType()),
+    T.StructField("attributes", _ATTRIBUTES),
+])
+SPAN = T.StructType([
+    *_strings("name", "kind", "traceId", "spanId", "parentSpanId", "startTimeUnixNano", "endTimeUnixNano"),
+    T.StructField("status", T.StructType(_strings("code", "message"))),
+    T.StructField("attributes", _ATTRIBUTES),
+])
+
 OTLP_LOGS = T.StructType([
     T.StructField("resourceLogs", T.ArrayType(T.StructType([
         T.StructField("resource", _RESOURCE),
         T.StructField("scopeLogs", T.ArrayType(T.StructType([
-            T.StructField("logRecords", T.ArrayType(T.StructType([
-                *_strings("timeUnixNano", "observedTimeUnixNano", "severityText", "severityNumber"),
-                T.StructField("body", T.VariantType()),
-                T.StructField("attributes", _ATTRIBUTES),
-            ]))),
+            T.StructField("logRecords", T.ArrayType(LOG_RECORD)),
         ]))),
     ]))),
 ])
@@ -101,12 +108,7 @@ OTLP_TRACES = T.StructType([
     T.StructField("resourceSpans", T.ArrayType(T.StructType([
         T.StructField("resource", _RESOURCE),
         T.StructField("scopeSpans", T.ArrayType(T.StructType([
-            T.StructField("spans", T.ArrayType(T.StructType([
-                *_strings("name", "kind", "traceId", "spanId", "parentSpanId",
-                          "startTimeUnixNano", "endTimeUnixNano"),
-                T.StructField("status", T.StructType(_strings("code", "message"))),
-                T.StructField("attributes", _ATTRIBUTES),
-            ]))),
+            T.StructField("spans", T.ArrayType(SPAN)),
         ]))),
     ]))),
 ])
