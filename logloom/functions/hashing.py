@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.base import apply_sql, let_sql, nonempty, text_or_empty
@@ -94,8 +94,41 @@ def murmur3_32(text: Column) -> Column:
     return apply_sql(text.cast("binary"), "b", f"if({size} % 4 = 0, {blocks}, {_finish(mixed)})")
 
 
+def with_murmur3(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """The same hash as a chain of projections, for whole tables.
+
+    Every step refers to columns of the step before, so generated code computes each value once; the
+    single-expression form above is interpreted. Put the result behind a generator before filtering on it
+    (as the ingest plan does), or the optimizer would copy the steps into the filter.
+    """
+    def step(frame: DataFrame, **columns: str) -> DataFrame:
+        return frame.select(*plain, *[F.expr(c).alias(n) for n, c in columns.items()])
+
+    plain = df.columns
+    keep = {"_n": "_n", "_h": "_h"}
+    out = df.select("*", text.cast("binary").alias("_b")).select("*", F.expr("bigint(octet_length(_b))").alias("_n"))
+    out = step(out, _n="_n", _h=f"bigint(hash({SEED_ZERO}, substring(_b, 1, int(_n - _n % 4)))) & {MASK}L",
+               _x="hex(substring(_b, int(_n - _n % 4) + 1, 3))")
+    out = step(out, **keep, _u=_mul(_fold("_h", 16), _inverse(FINISH_M2)),
+               _t="bigint(conv(concat(substring(_x, 5, 2), substring(_x, 3, 2), substring(_x, 1, 2)), 16, 10))")
+    out = step(out, **keep, _u=_mul(_fold("_u", 13, 26), _inverse(FINISH_M1)), _t=_mul("_t", BLOCK_C1))
+    out = step(out, **keep, _u=_fold("_u", 16), _t=_mul(f"((shiftleft(_t, 15) | shiftright(_t, 17)) & {MASK}L)", BLOCK_C2))
+    out = step(out, **keep, _f="_u ^ (_n - _n % 4) ^ _t ^ _n")
+    out = step(out, **keep, _f=_mul(_fold("_f", 16), FINISH_M1))
+    out = step(out, **keep, _f=_mul(_fold("_f", 13), FINISH_M2))
+    return step(out, **{name: f"if(_n % 4 = 0, _h, {_fold('_f', 16)})"})
+
+
+def type_subject(template: Column, message: Column) -> Column:
+    """The text whose hash is the event type: the template, else the message."""
+    return F.coalesce(nonempty(template), text_or_empty(message))
+
+
+def type_code(subject: Column, code: Column) -> Column:
+    """``0x`` and eight hex digits; empty for an empty subject."""
+    return F.when(subject == "", F.lit("")).otherwise(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(code)), 8, "0")))
+
+
 def event_type(template: Column, message: Column) -> Column:
-    """``0x`` and eight hex digits of the template's (else the message's) hash; empty if both are empty."""
-    subject = F.coalesce(nonempty(template), text_or_empty(message))
-    code = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(murmur3_32(subject))), 8, "0"))
-    return F.when(subject == "", F.lit("")).otherwise(code)
+    subject = type_subject(template, message)
+    return type_code(subject, murmur3_32(subject))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import apply_sql, let, let_sql
+from logloom.functions.base import apply_sql, let_sql
 
 OBJECT_TYPE = "map<string,variant>"
 
@@ -106,20 +106,25 @@ def render_template(template: Column, members: Column) -> Column:
     return F.when(F.contains(template, F.lit("{")), rendered).otherwise(template)
 
 
-def filled(members: Column, extra: Column) -> Column:
-    """Canonical text after adding non-empty ``extra`` texts for keys that are absent, null or empty text.
-
-    The two objects are joined as text and parsed once, which also brings the keys into order.
-    """
+def missing_entries(members: Column, extra: Column) -> Column:
+    """Non-empty ``extra`` texts whose key is absent, null or empty text among the members."""
     def blank(key: Column) -> Column:
         return F.coalesce(F.try_variant_get(F.try_element_at(members, key), "$", "string"), F.lit("")) == ""
 
-    def merged(e: Column) -> Column:
-        own = F.to_json(F.map_filter(members, lambda k, _: ~F.map_contains_key(e, k)))
-        text = F.concat(F.when(own == "{}", F.lit("{")).otherwise(F.concat(F.left(own, F.length(own) - 1), F.lit(","))),
-                        F.substring(F.to_json(e), F.lit(2), F.lit(2147483647)))
-        return F.to_json(F.parse_json(text))
+    return F.map_filter(extra, lambda k, v: v.isNotNull() & (v != "") & blank(k))
+
+
+def without_entries(members: Column, needed: Column) -> Column:
+    """Canonical text of the members whose key is not among ``needed``."""
+    has = F.coalesce(F.size(needed), F.lit(0)) > 0
+    return F.when(has, F.to_json(F.map_filter(members, lambda k, _: ~F.map_contains_key(needed, k)))).otherwise(canonical(members))
 
-    needed = F.map_filter(extra, lambda k, v: v.isNotNull() & (v != "") & blank(k))
-    return F.when(F.coalesce(F.size(extra), F.lit(0)) <= 0, canonical(members)).otherwise(
-        let(needed, lambda e: F.when(F.size(e) == 0, canonical(members)).otherwise(merged(e))))
+
+def filled(own: Column, added: Column) -> Column:
+    """One canonical object from two object texts without common keys; ``added`` may be NULL or empty.
+
+    Joined as text and parsed once, which brings the keys into order.
+    """
+    head = F.when(own == "{}", F.lit("{")).otherwise(F.concat(F.left(own, F.length(own) - 1), F.lit(",")))
+    merged = F.to_json(F.parse_json(F.concat(head, F.substring(added, F.lit(2), F.length(added)))))
+    return F.when(F.coalesce(added, F.lit("{}")) == "{}", own).otherwise(merged)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import text_or_empty
+from logloom.functions.base import let, text_or_empty
 from logloom.functions.json_text import as_text, filled, object_members, render_template, without
 from logloom.functions.timeparse import rfc3339
 from logloom.schema import MAX_LINE_BYTES
@@ -35,24 +35,32 @@ def clef_timestamp(members: Column) -> Column:
     return rfc3339(member_text(members, "@t"))
 
 
-def parse_lines(lines: Column) -> Column:
-    """Structs of members and time per valid line; lines that are no JSON object or lack a valid ``@t`` are left out."""
-    parsed = F.transform(F.transform(lines, object_members), lambda m: F.struct(m.alias("m"), clef_timestamp(m).alias("ts")))
-    return F.filter(parsed, lambda p: p["ts"].isNotNull())
+def any_valid(lines: Column) -> Column:
+    """Whether some line is a JSON object with a valid ``@t``; stops at the first one."""
+    return F.exists(lines, lambda line: let(object_members(line), clef_timestamp).isNotNull())
 
 
-def clef_fields(members: Column, timestamp: Column, source: Column, enrich: Column) -> dict[str, Column]:
-    template = text_or_empty(member_text(members, "@mt"))
-    given = text_or_empty(member_text(members, "@m"))
-    props = without(members, RESERVED)
+def clef_properties(members: Column) -> Column:
+    return without(members, RESERVED)
+
+
+def clef_texts(members: Column) -> dict[str, Column]:
+    """Reserved text members, under the column names ``clef_fields`` reads."""
+    return {f"clef_{name[1:]}": member_text(members, name) for name in RESERVED if name != "@t"}
+
+
+def clef_fields(props: Column, own: Column, added: Column, timestamp: Column, source: Column) -> dict[str, Column]:
+    """Event fields from columns computed one step before: the texts of ``clef_texts``, the non-reserved members,
+    their JSON text and that of the enrichment still needed."""
+    template, given = text_or_empty(F.col("clef_mt")), text_or_empty(F.col("clef_m"))
     message = F.when((given == "") & (template != ""), render_template(template, props)).otherwise(given)
     return {
         "timestamp": timestamp,
-        "level": F.coalesce(member_text(members, "@l"), F.lit("Information")),
+        "level": F.coalesce("clef_l", F.lit("Information")),
         "message_template": template,
         "message": message,
-        "exception": text_or_empty(member_text(members, "@x")),
-        "given_type": text_or_empty(member_text(members, "@i")),
+        "exception": text_or_empty(F.col("clef_x")),
+        "given_type": text_or_empty(F.col("clef_i")),
         "source": source,
-        "properties": filled(props, enrich),
+        "properties": filled(own, added),
     }

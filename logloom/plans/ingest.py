@@ -1,8 +1,8 @@
 """Raw messages to event rows and dead letters in one pass, without a shuffle.
 
 Every message becomes an array of records in its own row, which also tells whether all of its lines failed;
-one generator then turns the array into rows. The four formats share that pass: the expressions of the
-other formats are not evaluated for a row.
+one generator then turns the array into rows, and the fields are plain projections of these. The four formats
+share that pass: the expressions of the other formats are not evaluated for a row.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.base import nonempty, ts_lit
-from logloom.functions.hashing import event_type
+from logloom.functions.hashing import type_code, type_subject, with_murmur3
+from logloom.functions.json_text import missing_entries, object_members, without_entries
 from logloom.operators import clef, otlp, webhook
 from logloom.schema import EVENT_COLUMNS, FORMATS, LOG_RECORD, SPAN
 from logloom.sources.messages import event_id, unwrap
@@ -32,13 +33,13 @@ def _moment(as_of: datetime | str | None) -> Column:
 
 
 _PARTS = {
-    "m": T.MapType(T.StringType(), T.VariantType()),
-    "ts": T.TimestampType(),
+    "line": T.StringType(),
     "log": T.StructType([T.StructField("service", T.StringType()), T.StructField("item", LOG_RECORD)]),
     "span": T.StructType([T.StructField("service", T.StringType()), T.StructField("item", SPAN)]),
     "reason": T.StringType(),
     "raw": T.StringType(),
 }
+_CARRIED = ["message_id", "format", "source", "preset", "enrich"]
 
 
 def _record(**values: Column) -> Column:
@@ -55,41 +56,48 @@ def _records(payloads: DataFrame) -> DataFrame:
     form, body, ok = F.col("format"), F.col("body"), F.col("reason").isNull()
     line_based = form.isin(CLEF, WEBHOOK)
     staged = payloads.withColumn("lines", F.when(ok & line_based, clef.split_lines(body)))
-    staged = staged.withColumn("parsed", (
-        F.when(form == CLEF, F.transform(clef.parse_lines(F.col("lines")), lambda p: _record(m=p["m"], ts=p["ts"])))
-        .when(form == WEBHOOK, F.transform(webhook.parse_lines(F.col("lines")), lambda m: _record(m=m)))
-        .when(ok & (form == OTLP_LOGS), F.transform(otlp.flatten_logs(body), lambda r: _record(log=r)))
-        .when(ok & (form == OTLP_TRACES), F.transform(otlp.flatten_spans(body), lambda r: _record(span=r)))))
     no_json = form.isin(OTLP_LOGS, OTLP_TRACES) & F.try_parse_json(body).isNull()
     reason = (F.when(~ok, F.col("reason"))
               .when(~form.isin(*FORMATS), F.concat(F.lit("unknown format: "), form))
               .when(line_based & clef.has_oversize_line(body), "line too long")
-              .when((form == CLEF) & (F.size("lines") > 0) & (F.size("parsed") == 0), "all lines failed")
+              .when((form == CLEF) & (F.size("lines") > 0) & ~clef.any_valid(F.col("lines")), "all lines failed")
               .when(no_json, "bad request json"))
-    kept = ["message_id", "format", "source", "preset", "enrich", "raw", "parsed"]
-    return staged.select(*kept, reason.alias("why")).select(
-        *kept[:5], F.when(F.col("why").isNull(), F.col("parsed")).otherwise(
-            F.array(_record(reason=F.col("why"), raw=F.col("raw")))).alias("records"))
+    records = (F.when(F.col("why").isNotNull(), F.array(_record(reason=F.col("why"), raw=F.col("raw"))))
+               .when(line_based, F.transform("lines", lambda line: _record(line=line)))
+               .when(form == OTLP_LOGS, F.transform(otlp.flatten_logs(body), lambda r: _record(log=r)))
+               .otherwise(F.transform(otlp.flatten_spans(body), lambda r: _record(span=r))))
+    return staged.withColumn("why", reason).select(*_CARRIED, records.alias("records"))
+
+
+def _rows(payloads: DataFrame) -> DataFrame:
+    """One row per record, with the parsed members of line-based formats."""
+    # the outer form: the plain one makes the optimizer add a size filter that repeats the parsing
+    rows = _records(payloads).select(*_CARRIED, F.posexplode_outer("records").alias("place", "record"))
+    rows = rows.select(*_CARRIED, *[F.col(f"record.{name}").alias(name) for name in _PARTS],
+                       F.when(F.col("record.reason").isNull(), F.col("place") + 1).otherwise(0).alias("place"))
+    rows = rows.withColumn("m", F.when(F.col("line").isNotNull(), object_members(F.col("line"))))
+    is_clef = F.col("format") == CLEF
+    members = F.when(is_clef, F.col("m"))
+    rows = rows.withColumns({"ts": clef.clef_timestamp(members), "props": clef.clef_properties(members), **clef.clef_texts(members)})
+    rows = rows.withColumn("needed", F.when(
+        F.coalesce(F.size("enrich"), F.lit(0)) > 0, missing_entries(F.col("props"), F.col("enrich"))))
+    valid = (F.when(F.col("reason").isNotNull(), True).when(is_clef, F.col("ts").isNotNull())
+             .otherwise(F.col("m").isNotNull() | F.col("log").isNotNull() | F.col("span").isNotNull()))
+    return rows.withColumns({"own": F.when(is_clef, without_entries(F.col("props"), F.col("needed"))),
+                             "added": F.to_json("needed"), "valid": valid})
 
 
 def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
                    presets: dict[str, webhook.Preset] | None = None) -> DataFrame:
     """Decoded payloads to one row per event plus one row per rejected payload (``reason`` set)."""
-    # the outer form: the plain one makes the optimizer add a size filter that repeats the parsing
-    rows = _records(payloads).select(
-        "message_id", "format", "source", "preset", "enrich", F.posexplode_outer("records").alias("place", "record"))
-    rows = rows.filter(F.col("record").isNotNull()).select(
-        "message_id", "format", "source", "preset", "enrich", *[F.col(f"record.{name}").alias(name) for name in _PARTS],
-        F.when(F.col("record.reason").isNull(), F.col("place") + 1).otherwise(0).alias("place"))
-
-    source = F.col("source")
+    rows, source = _rows(payloads), F.col("source")
     by_format = {
-        CLEF: clef.clef_fields(F.col("m"), F.col("ts"), source, F.col("enrich")),
+        CLEF: clef.clef_fields(F.col("props"), F.col("own"), F.col("added"), F.col("ts"), source),
         WEBHOOK: webhook.webhook_fields(F.col("m"), source, F.col("preset"), presets),
         OTLP_LOGS: otlp.log_fields(F.col("log"), source),
         OTLP_TRACES: otlp.span_fields(F.col("span"), source),
     }
-    good = F.col("reason").isNull()
+    good = F.col("reason").isNull() & F.col("valid")
     fields = {}
     for name in by_format[CLEF]:
         choice = F.when(good & (F.col("format") == CLEF), by_format[CLEF][name])
@@ -100,11 +108,13 @@ def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
     fields["source"] = F.when(good, fields["source"]).otherwise(source)
     chosen = rows.select(
         event_id(F.col("message_id"), F.col("place")).alias("id"),
-        *[column.alias(name) for name, column in fields.items()],
-        "message_id", "format", "reason", "raw")
-    # the fingerprint refers to message and template, so it is taken one step after they are built
-    return (chosen.withColumn("event_type", F.when(good, F.coalesce(
-                nonempty(F.col("given_type")), event_type(F.col("message_template"), F.col("message")))))
+        *[column.alias(name) for name, column in fields.items()], "message_id", "format", "reason", "raw", "valid")
+    hashed = with_murmur3(chosen.withColumn("subject", type_subject(F.col("message_template"), F.col("message"))),
+                          F.col("subject"), "code")
+    # behind this one-element generator no filter of the caller, nor the one below, is pushed into the steps above
+    sealed = hashed.select("*", F.inline(F.array(F.struct(F.col("code").alias("final"), F.col("valid").alias("keep")))))
+    kind = F.coalesce(nonempty(F.col("given_type")), type_code(F.col("subject"), F.col("final")))
+    return (sealed.filter("keep").withColumn("event_type", F.when(F.col("reason").isNull(), kind))
             .select(*EVENT_COLUMNS, "message_id", "format", "reason", "raw"))
 
 

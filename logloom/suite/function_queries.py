@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as t
 from logloom.functions.hashing import event_type
-from logloom.functions.json_text import canonical, filled, object_members, parse_float, render_template
+from logloom.functions.json_text import (
+    canonical, filled, missing_entries, object_members, parse_float, render_template, without_entries,
+)
 from logloom.functions.props import prop_number, prop_text
 from logloom.functions.timeparse import by_magnitude, rfc3339
 from logloom.plans.sqlapi import register
@@ -91,7 +93,9 @@ def _(spark, sf):
     own = F.when(F.col("user_id") % 3 == 0, F.lit('"city":"Rome"')).when(F.col("user_id") % 3 == 1, F.lit('"city":null')).otherwise('"city":""')
     raw = F.concat(F.lit("{"), own, F.lit(',"k":'), text(F.get_json_object("props", "$.k").cast("bigint")), F.lit("}"))
     extra = F.create_map(F.lit("city"), F.lit("Lima"), F.lit("zone"), F.concat(F.lit("z"), text(F.col("user_id") % 5)), F.lit("none"), F.lit(""))
-    return ev.select(text("event_id").alias("id"), filled(object_members(raw), extra).alias("props"))
+    staged = ev.select(text("event_id").alias("id"), object_members(raw).alias("m"), extra.alias("extra"))
+    staged = staged.withColumn("needed", missing_entries(F.col("m"), F.col("extra")))
+    return staged.select("id", filled(without_entries(F.col("m"), F.col("needed")), F.to_json("needed")).alias("props"))
 
 
 @query("timestamps_by_magnitude", f"""
