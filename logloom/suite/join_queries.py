@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import joins as j
-from logloom.operators.aggregates import count_rows
-from logloom.operators.filters import last_interval
+from logloom.operators.aggregates import count_rows, retention_policies
+from logloom.operators.filters import last_interval, with_scope
 from logloom.operators.rules import load_rules
 from logloom.operators.shaping import widgets
 from logloom.suite.aggregate_queries import DAY
@@ -98,12 +98,11 @@ def _(spark, sf):
 
 
 @query("stale_policies", """
-SELECT DISTINCT source FROM policy_log WHERE source NOT IN (SELECT name FROM api_keys WHERE enabled = 1 AND retention_days > 0)""",
-       ["policy_log", "api_keys"])
+SELECT DISTINCT source FROM policy_log WHERE source NOT IN (
+  SELECT name FROM api_keys WHERE enabled = 1 AND retention_days > 0 AND scopes = 'admin')""", ["policy_log", "api_keys"])
 def _(spark, sf):
-    from logloom.operators.aggregates import retention_policies
-
-    return j.stale(policy_log(spark, sf), retention_policies(api_keys(spark, sf)), "source").select("source").distinct()
+    current = retention_policies(with_scope(api_keys(spark, sf), "admin"))
+    return j.stale(policy_log(spark, sf), current, "source").select("source").distinct()
 
 
 @query("snapshot_delta", "SELECT id FROM log_events WHERE timestamp >= TIMESTAMP '2024-01-20 00:00:00' OR level = 'Fatal'", "log_events")

@@ -1,0 +1,114 @@
+"""Streams run over what is available and stored as tables; each is checked against a batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logloom.functions.base import show_ts
+from logloom.operators.aggregates import count_rows
+from logloom.operators.filters import LogQuery
+from logloom.operators.search import newest_first
+from logloom.session import scratch
+from logloom.streaming import jobs
+from logloom.suite.base import AS_OF, CTES, TEXT_TIME, log_events, query
+from logloom.suite.ingest_queries import clef_messages, mixed_messages
+from logloom.suite.rule_queries import SPECS
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def event_stream(spark, sf: str) -> DataFrame:
+    """The log events as a stream of stored files."""
+    path = scratch(spark, "stream-in")
+    log_events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def finish(stream: DataFrame, label: str) -> DataFrame:
+    spark = stream.sparkSession
+    out = scratch(spark, label)
+    jobs.to_parquet(stream, out, scratch(spark, f"{label}-checkpoint"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("stream_ingest", """
+SELECT 'event' AS outcome, CAST(sum(CASE o_orderkey % 10 WHEN 0 THEN 2 WHEN 3 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM orders
+UNION ALL SELECT 'dead_letter', count(*) FROM orders WHERE o_orderkey % 10 IN (4, 5, 6, 7, 9)""")
+def _(spark, sf):
+    """Message files to events and dead letters; a second run over a lost checkpoint adds nothing twice."""
+    inbox, root = scratch(spark, "inbox"), scratch(spark, "landing")
+    mixed_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body")).repartition(2).write.json(inbox)
+    for _ in range(2):
+        jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" ")).awaitTermination()
+    events = jobs.landed_events(spark, root).agg(count_rows().alias("n")).select(F.lit("event").alias("outcome"), "n")
+    dead = jobs.landed_dead_letters(spark, root).agg(count_rows().alias("n")).select(F.lit("dead_letter").alias("outcome"), "n")
+    return events.unionByName(dead)
+
+
+@query("stream_ingest_matches_batch", "SELECT level, message, count(*) AS n FROM log_events GROUP BY level, message", "log_events")
+def _(spark, sf):
+    inbox, root = scratch(spark, "inbox"), scratch(spark, "landing")
+    clef_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body")).write.json(inbox)
+    jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" ")).awaitTermination()
+    return jobs.landed_events(spark, root).groupBy("level", "message").agg(count_rows().alias("n"))
+
+
+@query("stream_rolling_metrics", f"""
+SELECT strftime(b, {TEXT_TIME}) AS bucket, n AS count, errors, warnings FROM (
+  SELECT date_trunc('minute', timestamp) AS b, count(*) AS n, count(*) FILTER (WHERE level IN ('Error', 'Fatal')) AS errors,
+         count(*) FILTER (WHERE level = 'Warning') AS warnings FROM log_events GROUP BY 1)
+WHERE b + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(timestamp)) FROM log_events) - INTERVAL 10 MINUTE""", "log_events")
+def _(spark, sf):
+    """Windows appear once the watermark (newest event less ten minutes) has passed their end."""
+    return jobs.shown(finish(jobs.rolling_metrics(event_stream(spark, sf)), "rolling"))
+
+
+@query("stream_sliding_rule", f"""
+SELECT strftime(e, {TEXT_TIME}) AS evaluated_at, count(*) AS cnt FROM (
+  SELECT timestamp, unnest(generate_series(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE, date_trunc('minute', timestamp) + INTERVAL 5 MINUTE,
+         INTERVAL 1 MINUTE)) AS e FROM log_events WHERE level = 'Error')
+WHERE e <= (SELECT date_trunc('millisecond', max(timestamp)) FROM log_events WHERE level = 'Error') - INTERVAL 10 MINUTE GROUP BY e""", "log_events")
+def _(spark, sf):
+    """The filter runs before the watermark, which therefore follows the matching rows."""
+    counts = finish(jobs.sliding_rule(event_stream(spark, sf), LogQuery(level="Error")), "sliding")
+    return counts.select(show_ts(F.col("evaluated_at")).alias("evaluated_at"), "cnt")
+
+
+@query("stream_tail", "SELECT id FROM log_events WHERE source = 'svc-6' ORDER BY timestamp DESC, id LIMIT 500", "log_events")
+def _(spark, sf):
+    """Every event arrives twice, each id is shown once; the page keeps the newest 500."""
+    stream = event_stream(spark, sf)
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return newest_first(finish(jobs.tail(twice, LogQuery("svc-6")), "tail"), 500).select("id")
+
+
+@query("stream_tick", """
+SELECT 'service-quiet' AS id, CAST(0 AS BIGINT) AS cnt UNION ALL
+SELECT 'service-fatal', count(*) FILTER (WHERE source = 'svc-0' AND level = 'Fatal' AND timestamp > TIMESTAMP '2024-01-31' - INTERVAL 20000 MINUTE) FROM log_events""", "log_events")
+def _(spark, sf):
+    out = jobs.tick(log_events(spark, sf), [s for s in SPECS if s.id in ("service-quiet", "service-fatal")], AS_OF)
+    return out.select("id", "cnt")
+
+
+COOLDOWN_SQL = f"""
+WITH RECURSIVE log_events AS ({CTES['log_events']}),
+trig AS (SELECT DISTINCT source, date_trunc('minute', timestamp) AS timestamp FROM log_events WHERE level = 'Fatal'),
+fired(id, fired_at) AS (
+  SELECT source, min(timestamp) FROM trig GROUP BY source
+  UNION ALL SELECT f.id, min(t.timestamp) FROM fired f JOIN trig t ON t.source = f.id AND t.timestamp >= f.fired_at + INTERVAL 1 DAY GROUP BY f.id)
+SELECT id, strftime(fired_at, {TEXT_TIME}) AS fired_at FROM fired"""
+
+
+@query("stream_cooldown", COOLDOWN_SQL)
+def _(spark, sf):
+    """Each rule fires at most once a day, counted from its own last firing."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    path = scratch(spark, "triggers")
+    minute = F.date_trunc("MINUTE", F.col("timestamp").cast("timestamp"))
+    (log_events(spark, sf).filter(F.col("level") == "Fatal").select(F.col("source").alias("id"), minute.alias("triggered_at"))
+     .distinct().write.parquet(path))
+    stream = spark.readStream.schema("id string, triggered_at timestamp").parquet(path)
+    fired = finish(jobs.cooldown(stream, 86400), "cooldown")
+    return fired.select("id", show_ts(F.col("triggered_at")).alias("fired_at"))
