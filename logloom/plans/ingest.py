@@ -8,7 +8,9 @@ share that pass: the expressions of the other formats are not evaluated for a ro
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,13 +89,14 @@ def _rows(payloads: DataFrame) -> DataFrame:
                              "added": F.to_json("needed"), "valid": valid})
 
 
-def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
-                   presets: dict[str, webhook.Preset] | None = None) -> DataFrame:
-    """Decoded payloads to one row per event plus one row per rejected payload (``reason`` set)."""
-    rows, source = _rows(payloads), F.col("source")
+@lru_cache(maxsize=8)
+def _fields(_context: int, presets: tuple[tuple[str, webhook.Preset], ...]) -> dict[str, Column]:
+    """Every event field as a choice by format. The expressions name columns only, so one set serves all plans
+    of a Spark context."""
+    source = F.col("source")
     by_format = {
         CLEF: clef.clef_fields(F.col("props"), F.col("own"), F.col("added"), F.col("ts"), source),
-        WEBHOOK: webhook.webhook_fields(F.col("m"), source, F.col("preset"), presets),
+        WEBHOOK: webhook.webhook_fields(F.col("m"), source, F.col("preset"), dict(presets)),
         OTLP_LOGS: otlp.log_fields(F.col("log"), source),
         OTLP_TRACES: otlp.span_fields(F.col("span"), source),
     }
@@ -104,8 +107,16 @@ def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
         for form in FORMATS[1:]:
             choice = choice.when(good & (F.col("format") == form), by_format[form][name])
         fields[name] = choice
-    fields["timestamp"] = F.when(good, clamp_future(fields["timestamp"], _moment(as_of)))
     fields["source"] = F.when(good, fields["source"]).otherwise(source)
+    return fields
+
+
+def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
+                   presets: dict[str, webhook.Preset] | None = None) -> DataFrame:
+    """Decoded payloads to one row per event plus one row per rejected payload (``reason`` set)."""
+    rows, good = _rows(payloads), F.col("reason").isNull() & F.col("valid")
+    fields = dict(_fields(id(SparkContext._active_spark_context), tuple((presets or webhook.PRESETS).items())))
+    fields["timestamp"] = F.when(good, clamp_future(fields["timestamp"], _moment(as_of)))
     chosen = rows.select(
         event_id(F.col("message_id"), F.col("place")).alias("id"),
         *[column.alias(name) for name, column in fields.items()], "message_id", "format", "reason", "raw", "valid")

@@ -52,18 +52,17 @@ def landed_dead_letters(spark: SparkSession, root: str) -> DataFrame:
 
 
 class LandingWriter:
-    """Micro-batch sink.
+    """Micro-batch sink for parsed rows.
 
     Ids depend on the message alone, so the one batch that may be a replay (the first after a start) only has to
     leave out rows whose id is already in the days it touches. Later batches append without looking.
     """
 
-    def __init__(self, root: str, as_of: datetime | str | None = None):
-        self.root, self.as_of, self.first = root, as_of, True
+    def __init__(self, root: str):
+        self.root, self.first = root, True
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = stored_rows(parse_messages(batch, self.as_of), self.as_of)
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
         if self.first and exists(spark, self.root):
             rows = rows.persist()
             try:
@@ -79,9 +78,12 @@ class LandingWriter:
 
 def ingest_stream(spark: SparkSession, inbox: str, root: str, checkpoint: str, as_of: datetime | str | None = None,
                   max_files: int = 100, every: str | None = None) -> StreamingQuery:
-    """Ingest message files; without ``every`` it stops when the folder is read."""
-    writer = (read_messages(spark, inbox, stream=True, max_files=max_files).writeStream
-              .foreachBatch(LandingWriter(root, as_of)).option("checkpointLocation", checkpoint))
+    """Ingest message files; without ``every`` it stops when the folder is read.
+
+    Parsing is part of the streaming plan, which is built once; a micro-batch only runs it.
+    """
+    rows = stored_rows(parse_messages(read_messages(spark, inbox, stream=True, max_files=max_files), as_of), as_of)
+    writer = rows.writeStream.foreachBatch(LandingWriter(root)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
