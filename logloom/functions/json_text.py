@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.base import apply_sql, let_sql
+from logloom.functions.base import apply_sql, let, let_sql
 
 OBJECT_TYPE = "map<string,variant>"
 
 
+END_MARK = "\u0003end"
+END_MARK_ESCAPED = "\\u0003end"
+
+
+def strict_json(text: Column) -> Column:
+    """A variant holding the parsed text, for ``is_whole`` and ``members_of``; NULL for malformed JSON.
+
+    The parser stops after the first value and ignores what follows. Inside an array that ends with a mark,
+    trailing text is either malformed or keeps the mark from its place.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK_ESCAPED}"]')))
+
+
+def is_whole(parsed: Column) -> Column:
+    """Whether the text was exactly one JSON value."""
+    return F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == END_MARK, F.lit(False))
+
+
+def members_of(parsed: Column) -> Column:
+    """Members of the object, keys ascending; NULL unless the text was exactly one JSON object."""
+    return F.when(is_whole(parsed), F.try_variant_get(parsed, "$[0]", OBJECT_TYPE))
+
+
 def object_members(text: Column) -> Column:
     """Members of a JSON object, keys ascending; NULL when the text is not exactly one JSON object."""
-    return F.try_variant_get(F.try_parse_json(text), "$", OBJECT_TYPE)
+    return let(strict_json(text), members_of)
 
 
 def is_text(value: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from logloom.functions.base import nonempty, ts_lit
 from logloom.functions.hashing import type_code, type_subject, with_murmur3
-from logloom.functions.json_text import missing_entries, object_members, without_entries
+from logloom.functions.json_text import is_whole, members_of, missing_entries, strict_json, without_entries
 from logloom.operators import clef, otlp, webhook
 from logloom.schema import EVENT_COLUMNS, FORMATS, LOG_RECORD, SPAN
 from logloom.sources.messages import event_id, unwrap
@@ -58,7 +58,7 @@ def _records(payloads: DataFrame) -> DataFrame:
     form, body, ok = F.col("format"), F.col("body"), F.col("reason").isNull()
     line_based = form.isin(CLEF, WEBHOOK)
     staged = payloads.withColumn("lines", F.when(ok & line_based, clef.split_lines(body)))
-    no_json = form.isin(OTLP_LOGS, OTLP_TRACES) & F.try_parse_json(body).isNull()
+    no_json = form.isin(OTLP_LOGS, OTLP_TRACES) & ~is_whole(strict_json(body))
     reason = (F.when(~ok, F.col("reason"))
               .when(~form.isin(*FORMATS), F.concat(F.lit("unknown format: "), form))
               .when(line_based & clef.has_oversize_line(body), "line too long")
@@ -77,7 +77,8 @@ def _rows(payloads: DataFrame) -> DataFrame:
     rows = _records(payloads).select(*_CARRIED, F.posexplode_outer("records").alias("place", "record"))
     rows = rows.select(*_CARRIED, *[F.col(f"record.{name}").alias(name) for name in _PARTS],
                        F.when(F.col("record.reason").isNull(), F.col("place") + 1).otherwise(0).alias("place"))
-    rows = rows.withColumn("m", F.when(F.col("line").isNotNull(), object_members(F.col("line"))))
+    rows = rows.withColumn("json", F.when(F.col("line").isNotNull(), strict_json(F.col("line"))))
+    rows = rows.withColumn("m", members_of(F.col("json")))
     is_clef = F.col("format") == CLEF
     members = F.when(is_clef, F.col("m"))
     rows = rows.withColumns({"ts": clef.clef_timestamp(members), "props": clef.clef_properties(members), **clef.clef_texts(members)})
