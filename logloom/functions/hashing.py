@@ -97,26 +97,28 @@ def murmur3_32(text: Column) -> Column:
 def with_murmur3(df: DataFrame, text: Column, name: str) -> DataFrame:
     """The same hash as a chain of projections, for whole tables.
 
-    Every step refers to columns of the step before, so generated code computes each value once; the
-    single-expression form above is interpreted. Put the result behind a generator before filtering on it
-    (as the ingest plan does), or the optimizer would copy the steps into the filter.
+    Every step refers to the aliases of steps before it (lateral column aliases, which the analyzer turns into
+    one projection per level), so generated code computes each value once; the single-expression form above is
+    interpreted. Put the result behind a generator before filtering on it (as the ingest plan does), or the
+    optimizer would copy the steps into the filter.
     """
-    def step(frame: DataFrame, **columns: str) -> DataFrame:
-        return frame.select(*plain, *[F.expr(c).alias(n) for n, c in columns.items()])
-
-    plain = df.columns
-    keep = {"_n": "_n", "_h": "_h"}
-    out = df.select("*", text.cast("binary").alias("_b")).select("*", F.expr("bigint(octet_length(_b))").alias("_n"))
-    out = step(out, _n="_n", _h=f"bigint(hash({SEED_ZERO}, substring(_b, 1, int(_n - _n % 4)))) & {MASK}L",
-               _x="hex(substring(_b, int(_n - _n % 4) + 1, 3))")
-    out = step(out, **keep, _u=_mul(_fold("_h", 16), _inverse(FINISH_M2)),
-               _t="bigint(conv(concat(substring(_x, 5, 2), substring(_x, 3, 2), substring(_x, 1, 2)), 16, 10))")
-    out = step(out, **keep, _u=_mul(_fold("_u", 13, 26), _inverse(FINISH_M1)), _t=_mul("_t", BLOCK_C1))
-    out = step(out, **keep, _u=_fold("_u", 16), _t=_mul(f"((shiftleft(_t, 15) | shiftright(_t, 17)) & {MASK}L)", BLOCK_C2))
-    out = step(out, **keep, _f="_u ^ (_n - _n % 4) ^ _t ^ _n")
-    out = step(out, **keep, _f=_mul(_fold("_f", 16), FINISH_M1))
-    out = step(out, **keep, _f=_mul(_fold("_f", 13), FINISH_M2))
-    return step(out, **{name: f"if(_n % 4 = 0, _h, {_fold('_f', 16)})"})
+    steps = {
+        "_n": "bigint(octet_length(_b))",
+        "_w": "_n - _n % 4",
+        "_h": f"bigint(hash({SEED_ZERO}, substring(_b, 1, int(_w)))) & {MASK}L",
+        "_u1": _mul(_fold("_h", 16), _inverse(FINISH_M2)),
+        "_u2": _mul(_fold("_u1", 13, 26), _inverse(FINISH_M1)),
+        "_x": "hex(substring(_b, int(_w) + 1, 3))",
+        "_t1": "bigint(conv(concat(substring(_x, 5, 2), substring(_x, 3, 2), substring(_x, 1, 2)), 16, 10))",
+        "_t2": _mul("_t1", BLOCK_C1),
+        "_t3": _mul(f"((shiftleft(_t2, 15) | shiftright(_t2, 17)) & {MASK}L)", BLOCK_C2),
+        "_f1": f"{_fold('_u2', 16)} ^ _w ^ _t3 ^ _n",
+        "_f2": _mul(_fold("_f1", 16), FINISH_M1),
+        "_f3": _mul(_fold("_f2", 13), FINISH_M2),
+        name: f"if(_n % 4 = 0, _h, {_fold('_f3', 16)})",
+    }
+    out = df.select("*", text.cast("binary").alias("_b"), *[F.expr(step).alias(alias) for alias, step in steps.items()])
+    return out.select(*df.columns, name)
 
 
 def type_subject(template: Column, message: Column) -> Column:

@@ -75,19 +75,26 @@ def _rows(payloads: DataFrame) -> DataFrame:
     """One row per record, with the parsed members of line-based formats."""
     # the outer form: the plain one makes the optimizer add a size filter that repeats the parsing
     rows = _records(payloads).select(*_CARRIED, F.posexplode_outer("records").alias("place", "record"))
-    rows = rows.select(*_CARRIED, *[F.col(f"record.{name}").alias(name) for name in _PARTS],
-                       F.when(F.col("record.reason").isNull(), F.col("place") + 1).otherwise(0).alias("place"))
-    rows = rows.withColumn("json", F.when(F.col("line").isNotNull(), strict_json(F.col("line"))))
-    rows = rows.withColumn("m", members_of(F.col("json")))
+    # one select: later columns refer to the aliases of earlier ones
     is_clef = F.col("format") == CLEF
     members = F.when(is_clef, F.col("m"))
-    rows = rows.withColumns({"ts": clef.clef_timestamp(members), "props": clef.clef_properties(members), **clef.clef_texts(members)})
-    rows = rows.withColumn("needed", F.when(
-        F.coalesce(F.size("enrich"), F.lit(0)) > 0, missing_entries(F.col("props"), F.col("enrich"))))
+    needed = F.when(F.coalesce(F.size("enrich"), F.lit(0)) > 0, missing_entries(F.col("props"), F.col("enrich")))
     valid = (F.when(F.col("reason").isNotNull(), True).when(is_clef, F.col("ts").isNotNull())
              .otherwise(F.col("m").isNotNull() | F.col("log").isNotNull() | F.col("span").isNotNull()))
-    return rows.withColumns({"own": F.when(is_clef, without_entries(F.col("props"), F.col("needed"))),
-                             "added": F.to_json("needed"), "valid": valid})
+    steps = {
+        **{name: F.col(f"record.{name}") for name in _PARTS},
+        "line_no": F.when(F.col("record.reason").isNull(), F.col("place") + 1).otherwise(0),
+        "json": F.when(F.col("line").isNotNull(), strict_json(F.col("line"))),
+        "m": members_of(F.col("json")),
+        "ts": clef.clef_timestamp(members),
+        "props": clef.clef_properties(members),
+        **clef.clef_texts(members),
+        "needed": needed,
+        "own": F.when(is_clef, without_entries(F.col("props"), F.col("needed"))),
+        "added": F.to_json("needed"),
+        "valid": valid,
+    }
+    return rows.select(*_CARRIED, *[column.alias(name) for name, column in steps.items()])
 
 
 @lru_cache(maxsize=8)
@@ -119,7 +126,7 @@ def parse_payloads(payloads: DataFrame, as_of: datetime | str | None = None,
     fields = dict(_fields(id(SparkContext._active_spark_context), tuple((presets or webhook.PRESETS).items())))
     fields["timestamp"] = F.when(good, clamp_future(fields["timestamp"], _moment(as_of)))
     chosen = rows.select(
-        event_id(F.col("message_id"), F.col("place")).alias("id"),
+        event_id(F.col("message_id"), F.col("line_no")).alias("id"),
         *[column.alias(name) for name, column in fields.items()], "message_id", "format", "reason", "raw", "valid")
     hashed = with_murmur3(chosen.withColumn("subject", type_subject(F.col("message_template"), F.col("message"))),
                           F.col("subject"), "code")

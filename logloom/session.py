@@ -28,6 +28,8 @@ def local_session(cores: str | int = "*", app: str = "logloom", partitions: int
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # small local inputs: keep all cores busy after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", os.environ.get("LOGLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
