@@ -52,7 +52,8 @@ def head(role: Column) -> Column:
 
 def parse(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    turns = F.slice(F.split(formatted, re.escape(TURN)), 2, 2**31 - 1)
+    parts = F.split(formatted, re.escape(TURN))
+    turns = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))  # nothing stands before the first mark
     return F.transform(turns, lambda t: F.struct(
         unescape(F.substring_index(t, BODY, 1)).alias("role"),
         unescape(F.regexp_replace(F.substring_index(t, BODY, -1), re.escape(END) + r"\z", "")).alias("text")))

@@ -44,7 +44,8 @@ def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
     def covered(pairs: Column) -> Column:
         twice = F.filter(pairs, lambda x, i: (x["h"] == F.get(pairs, i - 1)["h"]) | (x["h"] == F.get(pairs, i + 1)["h"]))
         places = F.transform(twice, lambda x: x["i"])
-        return let(places, lambda p: F.size(F.array_distinct(F.concat(*(F.transform(p, lambda i, k=k: i + k) for k in range(size))))))
+        spread = F.flatten(F.transform(places, lambda i: F.sequence(i, i + (size - 1))))
+        return F.size(F.array_distinct(spread))
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, covered))
 
