@@ -17,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batches_of, binaries, filled, pick, split_words
+from logloom.llm.common import batches_of, binaries, filled, lowered, pick, split_words
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
 ROWS = 2000  # documents encoded at a time
 UNIQUE = 20_000  # distinct words encoded at a time
+GROUP = 100  # words of letters encoded as one text
+KNOWN = 400_000  # words remembered before the memory is cleared
 
 
 def cut(length: int, max_length: int) -> list[int]:
@@ -49,26 +52,73 @@ def pieces_of(lengths: np.ndarray, max_length: int) -> tuple[np.ndarray, np.ndar
     return docs[order], sizes[order]
 
 
-def encode_words(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and the number of ids per text.
+class WordEncoder:
+    """Encodes words once each: ids of known words lie in one pool, in order of ``place`` and ``size``.
 
-    The tokenizer drops white space and never joins across it, so each distinct word of the batch is encoded once.
+    The tokenizer lower-cases, drops white space, and never joins across it or between letters and other signs. So a word
+    is encoded alone, whatever stands around it. Words of letters alone are encoded many at a time: each ends with the
+    only id that carries the end-of-word mark.
     """
-    flat, starts = split_words(texts)
-    coded = flat.dictionary_encode()
-    unique = coded.dictionary.to_pylist()
-    parts, sizes = [], np.zeros(len(unique), np.int64)
-    for at in range(0, len(unique), UNIQUE):
-        ids = [e.ids for e in tokenizer.encode_batch_fast(unique[at:at + UNIQUE], add_special_tokens=False)]
-        sizes[at:at + UNIQUE] = [len(x) for x in ids]
-        parts.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[at:at + UNIQUE].sum())))
-    pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    place = np.concatenate([[0], np.cumsum(sizes)])
-    codes = coded.indices.to_numpy().astype(np.int64)
-    each = sizes[codes]
-    ends = np.concatenate([[0], np.cumsum(each)])
-    picked = np.arange(ends[-1]) + np.repeat(place[codes] - ends[:-1], each)
-    return pool[picked], ends[starts[1:]] - ends[starts[:-1]]
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        suffix = "</w>"
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encode(words)
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        pools, sizes, order = [self.pool], [self.sizes], []
+        for at in range(0, len(plain), UNIQUE):
+            part = plain[at:at + UNIQUE]
+            groups = [part[i:i + GROUP] for i in range(0, len(part), GROUP)]
+            for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+                found = np.array(ids, np.uint32)
+                cut = np.flatnonzero(self.ends[found]) + 1
+                if len(cut) == len(group) and cut[-1] == len(found):
+                    pools.append(found)
+                    sizes.append(np.diff(cut, prepend=0))
+                else:  # a letter that the tokenizer's tables do not count as one
+                    pool, size = self._alone(group)
+                    pools.append(pool)
+                    sizes.append(size)
+            order += part
+        for at in range(0, len(other), UNIQUE):
+            pool, size = self._alone(other[at:at + UNIQUE])
+            pools.append(pool)
+            sizes.append(size)
+            order += other[at:at + UNIQUE]
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order))))
+        self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the number of ids per text."""
+        apart = pc.replace_substring_regex(lowered(texts), r"([a-z])([.,])", r"\1 \2")
+        flat, starts = split_words(apart)
+        coded = flat.dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        if len(self.known) > KNOWN:
+            self.clear()
+        self._add([w for w in unique if w not in self.known])
+        word = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
+        each = self.sizes[word]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        place = np.cumsum(self.sizes) - self.sizes
+        picked = np.arange(ends[-1]) + np.repeat(place[word] - ends[:-1], each)
+        return self.pool[picked], ends[starts[1:]] - ends[starts[:-1]]
 
 
 def packer(tokenizer_path: str, max_length: int, end_id: int):
@@ -78,9 +128,9 @@ def packer(tokenizer_path: str, max_length: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        words = WordEncoder(Tokenizer.from_file(tokenizer_path))
         for batch in batches_of(batches, ROWS):
-            ids, counts = encode_words(tokenizer, filled(batch.column("text")))
+            ids, counts = words.encode(filled(batch.column("text")))
             total = counts + 1
             ends = np.cumsum(total)
             data = np.full(int(total.sum()), end_id, np.uint32)
