@@ -236,7 +236,7 @@ def tags_of(length: int, spans: list[Span]) -> np.ndarray:
     return tags
 
 
-def train(texts: list[str], labelled: list[list[Span]], hidden: int = HIDDEN, epochs: int = 12, seed: int = 5, rate: float = 0.01) -> Tagger:
+def train(texts: list[str], labelled: list[list[Span]], hidden: int = HIDDEN, steps: int = 450, batch: int = 32, seed: int = 5, rate: float = 0.015) -> Tagger:
     """Fit on the windows that hold a digit or ``@``; spans cut by a window's edge are labelled up to the edge."""
     rng = np.random.default_rng(seed)
     model = fresh(hidden, seed)
@@ -257,28 +257,28 @@ def train(texts: list[str], labelled: list[list[Span]], hidden: int = HIDDEN, ep
     x, y = np.array(inputs).T, np.array(golds).T
     parameters = model.parameters()
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(x.shape[1])
-        for at in range(0, len(order), 64):
-            part = order[at:at + 64]
-            classes = np.ascontiguousarray(x[:, part])
-            scores, both, (ahead, back) = emissions(model, classes, keep=True)
-            _, grad, d_moves = crf_gradient(scores, model.moves, y[:, part])
-            grad = grad.astype(np.float32)
-            d_out = np.tensordot(both, grad, axes=([0, 1], [0, 1]))
-            d_both = grad @ model.out.T
-            ta, ra = back_direction(classes, model.recurrent[0], ahead, d_both[:, :, :hidden])
-            tb, rb = back_direction(classes[::-1], model.recurrent[1], back, d_both[::-1, :, hidden:])
-            step += 1
-            grads = [ta, tb, ra, rb, d_out, grad.sum(axis=(0, 1)), d_moves]
-            norm = np.sqrt(sum(float((g ** 2).sum()) for g in grads))
-            now = rate * (1 - epoch / epochs)
-            for p, g, m, v in zip(parameters, grads, first, second):
-                g = g / max(1.0, norm / 5.0)
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= (now * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+    order, at = rng.permutation(x.shape[1]), 0
+    for step in range(1, steps + 1):
+        if at >= len(order):
+            order, at = rng.permutation(x.shape[1]), 0
+        part = order[at:at + batch]
+        at += batch
+        classes = np.ascontiguousarray(x[:, part])
+        scores, both, (ahead, back) = emissions(model, classes, keep=True)
+        _, grad, d_moves = crf_gradient(scores, model.moves, y[:, part])
+        grad = grad.astype(np.float32)
+        d_out = np.tensordot(both, grad, axes=([0, 1], [0, 1]))
+        d_both = grad @ model.out.T
+        ta, ra = back_direction(classes, model.recurrent[0], ahead, d_both[:, :, :hidden])
+        tb, rb = back_direction(classes[::-1], model.recurrent[1], back, d_both[::-1, :, hidden:])
+        grads = [ta, tb, ra, rb, d_out, grad.sum(axis=(0, 1)), d_moves]
+        norm = np.sqrt(sum(float((g ** 2).sum()) for g in grads))
+        now = rate * (1 - (step - 1) / steps)
+        for p, g, m, v in zip(parameters, grads, first, second):
+            g = g / max(1.0, norm / 5.0)
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= (now * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
     return model
 
 
