@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import filled, lowered, pick, split_words, stored
@@ -146,16 +146,33 @@ def probability(tree: Tree, codes: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def piece_end(starts: np.ndarray, a: int) -> int:
+    """Documents from ``a`` on with together about PIECE bytes: at least one."""
+    b = int(np.searchsorted(starts, starts[a] + PIECE // 8, "right")) - 1
+    return min(max(b, a + 1), len(starts) - 1, a + 50_000)
+
+
 # --- first pass: chunks --------------------------------------------------------------------------------
 
-CHUNK = ("chunk string, doc_ids binary, no_id binary, held binary, starts binary, codes binary, words array<string>, "
+CHUNK = ("chunk bigint, doc_ids binary, no_id binary, held binary, starts binary, codes binary, words array<string>, "
          "train array<bigint>, grams array<bigint>, gram_counts array<bigint>")
-CHUNK_OUT = pa.schema([("chunk", pa.string()), *((n, pa.binary()) for n in ("doc_ids", "no_id", "held", "starts", "codes")),
-                       ("words", pa.list_(pa.string())), *((n, pa.list_(pa.int64())) for n in ("train", "grams", "gram_counts"))])
+
+
+def one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def planes(codes: np.ndarray) -> bytes:
+    """32-bit codes with their low bytes first, then the next ones: such columns compress well."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
 
 
 def chunker(depth: int, chunk_words: int):
-    def chunk(name: str, parts: list[tuple]) -> pa.RecordBatch:
+    def chunk(name: int, parts: list[tuple]) -> pa.RecordBatch:
         ids, missing, held, texts = (pa.concat_arrays(x) for x in zip(*parts))
         flat, starts = split_words(lowered(filled(texts)))
         coded = flat.dictionary_encode()
@@ -163,13 +180,19 @@ def chunker(depth: int, chunk_words: int):
         out = held.to_numpy(zero_copy_only=False)
         training = np.repeat(~out, np.diff(starts))
         counts = np.bincount(codes[training], minlength=len(coded.dictionary))
-        data, at = symbols(coded.dictionary, codes, starts)
-        seen = grams(data, at, depth)[np.repeat(~out, np.diff(at))]
-        keys, number = np.unique(seen, return_counts=True)
-        return pa.RecordBatch.from_pylist([{
-            "chunk": name, "doc_ids": ids.to_numpy().tobytes(), "no_id": missing.to_numpy(zero_copy_only=False).tobytes(), "held": out.tobytes(),
-            "starts": starts.astype(np.int64).tobytes(), "codes": codes.tobytes(), "words": coded.dictionary.to_pylist(),
-            "train": counts.tolist(), "grams": keys.tolist(), "gram_counts": number.tolist()}], schema=CHUNK_OUT)
+        seen, a = [], 0
+        while a < len(out):  # documents in pieces of bounded size
+            b = piece_end(starts, a)
+            data, at = symbols(coded.dictionary, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
+            seen.append(np.unique(grams(data, at, depth)[np.repeat(~out[a:b], np.diff(at))], return_counts=True))
+            a = b
+        keys, back = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
+        number = np.bincount(back, np.concatenate([n for _, n in seen]), len(keys)).astype(np.int64)
+        single = [ids.to_numpy().tobytes(), missing.to_numpy(zero_copy_only=False).tobytes(), out.tobytes(), starts.astype(np.int64).tobytes(), planes(codes)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in single), one_list(coded.dictionary.cast(pa.string())),
+             *(one_list(pa.array(x, pa.int64())) for x in (counts, keys, number))],
+            names=["chunk", "doc_ids", "no_id", "held", "starts", "codes", "words", "train", "grams", "gram_counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,15 +207,15 @@ def chunker(depth: int, chunk_words: int):
                 where = np.flatnonzero(group == g)
                 a, b = int(where[0]), int(where[-1]) + 1
                 if parts and g > 0 and g != group[0]:
-                    yield chunk(f"{part}-{n}", parts)
+                    yield chunk((part << 32) + n, parts)
                     n, parts = n + 1, []
                 parts.append(tuple(x.slice(a, b - a) for x in rows))
             size = int((size + lengths.sum()) % chunk_words) if len(lengths) else size
             if len(group) and group[-1] > 0 and group[0] == group[-1]:
-                yield chunk(f"{part}-{n}", parts)
+                yield chunk((part << 32) + n, parts)
                 n, parts = n + 1, []
         if parts:
-            yield chunk(f"{part}-{n}", parts)
+            yield chunk((part << 32) + n, parts)
     return run
 
 
@@ -223,7 +246,7 @@ def scorer(tree: Tree, total: int, distinct: int, ends: int):
                 row = {n: batch.column(n)[i] for n in ("doc_ids", "no_id", "held", "starts", "codes")}
                 row = {n: v.as_py() for n, v in row.items()}
                 ids, starts = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["starts"], np.int64)
-                codes = np.frombuffer(row["codes"], np.int32)
+                codes = from_planes(row["codes"])
                 dictionary = batch.column("words")[i].values
                 counts = np.zeros(len(dictionary), np.int64)
                 where, found = batch.column("places")[i].values, batch.column("counts")[i].values
@@ -233,8 +256,7 @@ def scorer(tree: Tree, total: int, distinct: int, ends: int):
                 score = np.zeros(len(ids))
                 a = 0
                 while a < len(ids):  # documents in pieces of bounded size
-                    b = int(np.searchsorted(starts, starts[a] + PIECE // 8, "right")) - 1
-                    b = min(max(b, a + 1), len(ids), a + 50_000)
+                    b = piece_end(starts, a)
                     data, at = symbols(dictionary, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
                     keys, back = np.unique(grams(data, at, tree.depth), return_inverse=True)
                     score[a:b] = exact_sums(np.log10(probability(tree, keys, tree.depth))[back], at)
@@ -269,18 +291,20 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, least_share:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"),
                                                F.coalesce(held_out, F.lit(False)).alias("held_out"))
     chunks = stored(rows.mapInArrow(chunker(depth, chunk_words), CHUNK), "pst-chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("place", "word"), "train").select(
-        "chunk", "place", "word", F.get("train", F.col("place")).alias("n"))
-    words = stored(words, "pst-words")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "pst-counts")
-    sums = counts.agg(F.sum("c"), F.count("*")).first()
+    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("place", "w"))
+    # a word is at most one row per chunk: its rows meet once, get their sum, and only numbers go on
+    same = Window.partitionBy("word")
+    summed = (listed.select("chunk", "place", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
+              .select("chunk", "place", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first")))
+    counts = stored(summed.filter("c > 0"), "pst-counts")
+    sums = counts.filter("first").agg(F.sum("c"), F.count("*")).first()
     ends = rows.filter(~F.col("held_out")).count()
     total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     grams_ = chunks.select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select(F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("n"))
     counted = stored(grams_.groupBy("gram").agg(F.sum("n").alias("n")), "pst-grams")
     positions = counted.agg(F.sum("n")).first()[0] or 0
     tree = learn(candidates(counted, depth, max(2.0, positions * least_share)), depth, least_gain)
-    back = (words.join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known")))
+    back = counts.groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
     joined = chunks.select("chunk", "doc_ids", "no_id", "held", "starts", "codes", "words").join(back, "chunk", "left").select(
         "doc_ids", "no_id", "held", "starts", "codes", "words",
         F.coalesce(F.col("known.place"), F.array().cast("array<int>")).alias("places"),
