@@ -112,7 +112,21 @@ def display(value: Column) -> Column:
 
 def canonical(members: Column) -> Column:
     """JSON text of a map whose keys are ascending; ``{}`` for an empty or missing map."""
-    return F.when(F.coalesce(F.size(members), F.lit(0)) <= 0, F.lit("{}")).otherwise(F.to_json(members))
+    return F.when(F.coalesce(F.size(members), F.lit(0)) <= 0, F.lit("{}")).otherwise(wire_form(F.to_json(members)))
+
+
+# --- fixed values: characters that JSON text writes as escapes, and what it writes -----------------
+ESCAPED = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029"}
+# ------------------------------------------------------------------------------------------------
+
+
+def wire_form(text: Column) -> Column:
+    """JSON text with the characters above escaped (they occur in strings only) and whole numbers without ``.0``."""
+    for char, written in ESCAPED.items():
+        text = F.when(F.contains(text, F.lit(char)), F.replace(text, F.lit(char), F.lit(written))).otherwise(text)
+    # strings are matched first and kept, so that only numbers change
+    return F.when(F.contains(text, F.lit(".0")), F.regexp_replace(
+        text, r'("(?:[^"\\\\]|\\\\.)*")|(-?[0-9]+)\.0(?=[,}\]])', "$1$2")).otherwise(text)
 
 
 def without(members: Column, keys: list[str]) -> Column:

@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.base import percent, show_ts, ts_lit, type_of
-from logloom.operators.filters import LogQuery, has_props, last_interval, plausible_ts, require_filter, time_between, where
+from logloom.operators.filters import LogQuery, has_props, is_plausible, last_interval, require_filter, time_between, where
 from logloom.operators.search import newest_first
 from logloom.schema import ERROR_LEVELS, PROBLEM_LEVELS
 
 # --- fixed values -------------------------------------------------------------------------------
-MAX_HOURS = 168
-MAX_SUMMARY_ROWS = 100
-SAMPLE_CHARS = 50
 GRANULARITIES = {"minute": "MINUTE", "hour": "HOUR", "day": "DAY"}
 # ------------------------------------------------------------------------------------------------
 DAY = timedelta(hours=24)
@@ -97,23 +94,25 @@ def top_services_by_errors(df: DataFrame, as_of: datetime, k: int = 5) -> DataFr
             .select("source", "total_count", "error_count", "error_rate", show_ts(F.col("_last")).alias("last_log")))
 
 
-def _clamped(hours: int) -> timedelta:
-    return timedelta(hours=max(1, min(hours, MAX_HOURS)))
+def _hours(hours: int) -> timedelta:
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
+    return timedelta(hours=hours)
 
 
 def error_summary(df: DataFrame, as_of: datetime, source: str = "", hours: int = 24, limit: int = 20) -> DataFrame:
     """Problem levels by template; the sample is the smallest message, so that it is the same on every run."""
-    df = last_interval(df, _clamped(hours), as_of).filter(F.col("level").isin(*PROBLEM_LEVELS))
+    df = last_interval(df, _hours(hours), as_of).filter(F.col("level").isin(*PROBLEM_LEVELS))
     if source:
         df = df.filter(F.col("source") == source)
     return (df.groupBy("message_template", "level")
             .agg(count_rows().alias("count"), F.max("timestamp").alias("_last"), F.min("message").alias("sample_message"))
-            .orderBy(F.desc("count"), "message_template", "level").limit(min(limit, MAX_SUMMARY_ROWS))
+            .orderBy(F.desc("count"), "message_template", "level").limit(limit)
             .select("message_template", "level", "count", show_ts(F.col("_last")).alias("latest_timestamp"), "sample_message"))
 
 
 def log_volume(df: DataFrame, as_of: datetime, source: str = "", hours: int = 24, granularity: str = "hour") -> DataFrame:
-    df = last_interval(df, _clamped(hours), as_of)
+    df = last_interval(df, _hours(hours), as_of)
     if source:
         df = df.filter(F.col("source") == source)
     return _per_bucket(df, granularity, "bucket", count_rows().alias("total"), error_count().alias("errors"),
@@ -137,12 +136,9 @@ def active_levels(df: DataFrame, as_of: datetime) -> DataFrame:
 def table_totals(df: DataFrame, as_of: datetime) -> DataFrame:
     """All rows, rows of the last day, and the plausible time range, in one scan."""
     kind = type_of(df, "timestamp")
-    plausible = plausible_ts(df.select("timestamp")).agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-    counts = df.agg(count_rows().alias("total_logs"),
-                    F.count_if(F.col("timestamp") > ts_lit(as_of - DAY, kind)).alias("total_logs_24h"))
-    return counts.select("total_logs", "total_logs_24h",
-                         show_ts(plausible.select("lo").scalar()).alias("oldest_log"),
-                         show_ts(plausible.select("hi").scalar()).alias("newest_log"))
+    usable = F.when(is_plausible(kind), F.col("timestamp"))
+    return df.agg(count_rows().alias("total_logs"), F.count_if(F.col("timestamp") > ts_lit(as_of - DAY, kind)).alias("total_logs_24h"),
+                  show_ts(F.min(usable)).alias("oldest_log"), show_ts(F.max(usable)).alias("newest_log"))
 
 
 def partition_rows(df: DataFrame) -> DataFrame:
@@ -183,12 +179,12 @@ def property_keys(df: DataFrame, as_of: datetime | None = None, sample: int | No
         df = last_interval(df, timedelta(hours=1), as_of)
     df = df.filter(has_props())
     if sample is not None:
-        df = newest_first(df, sample, maximum=sample)
+        df = newest_first(df, sample)
     members = (df.select("timestamp", "id", F.try_parse_json("properties").alias("_v"))
                .lateralJoin(_exploded()).filter(~F.is_variant_null(F.col("value"))))
     shape = F.schema_of_variant(F.col("value"))
     text = (F.when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), "(object)")
-            .otherwise(F.left(F.try_variant_get(F.col("value"), "$", "string"), F.lit(SAMPLE_CHARS))))
+            .otherwise(F.try_variant_get(F.col("value"), "$", "string")))
     return (members.select("key", text.alias("text"), F.struct("timestamp", "id").alias("seen"))
             .groupBy("key").agg(F.min_by("text", "seen").alias("sample_value"), count_rows().alias("count"))
             .orderBy("key"))

@@ -17,7 +17,6 @@ from logloom.operators.timerange import TimeRange, resolve, resolve_live_preset
 # --- fixed values -------------------------------------------------------------------------------
 OPERATORS = [">=", "<=", "!=", ">", "<"]
 EARLIEST, LATEST = "2000-01-01 00:00:00", "2100-01-01 00:00:00"
-MAX_PROPERTY_COLUMNS = 5
 SCOPES = {"admin": ["admin", "write", "read", "ingest"], "write": ["write", "read", "ingest"],
           "read": ["read", "ingest"], "ingest": ["ingest"]}
 # ------------------------------------------------------------------------------------------------
@@ -97,8 +96,8 @@ def time_between(df: DataFrame, start: datetime | None, end: datetime | None, as
     return _bounded(df, "timestamp", cut[0], cut[1], low_inclusive=True)
 
 
-def in_range(df: DataFrame, rng: TimeRange, as_of: datetime, compat: bool = True) -> DataFrame:
-    """A named or absolute range. The preset ``all`` means the default day under ``compat``, else no filter."""
+def in_range(df: DataFrame, rng: TimeRange, as_of: datetime, compat: bool = False) -> DataFrame:
+    """A named or absolute range. The preset ``all`` means no filter; under ``compat``, the default day."""
     start, end = resolve(rng, as_of)
     if start is None and end is None and not compat:
         return df
@@ -117,24 +116,19 @@ def newer_than(df: DataFrame, since: datetime) -> DataFrame:
     return _bounded(df, "timestamp", since, None, low_inclusive=False)
 
 
-def plausible_ts(df: DataFrame) -> DataFrame:
-    kind = type_of(df, "timestamp")
-    return df.filter((F.col("timestamp") > ts_lit(EARLIEST, kind)) & (F.col("timestamp") < ts_lit(LATEST, kind)))
+def is_plausible(kind) -> Column:
+    return (F.col("timestamp") > ts_lit(EARLIEST, kind)) & (F.col("timestamp") < ts_lit(LATEST, kind))
 
 
-# --- equality and text ------------------------------------------------------------------------------
+def plausible_ts(df: DataFrame) -> DataFrame:
+    return df.filter(is_plausible(type_of(df, "timestamp")))
 
-def equals(df: DataFrame, source: str = "", level: str = "") -> DataFrame:
-    if source:
-        df = df.filter(F.col("source") == source)
-    if level:
-        df = df.filter(F.col("level") == level)
-    return df
 
+# --- equality and text ------------------------------------------------------------------------------
 
 def message_like(term: str) -> Column:
-    """Case-sensitive substring; ``%`` and ``_`` in the term act as wildcards, a backslash is literal."""
-    return F.col("message").like("%" + term.replace("\\", "\\\\") + "%")
+    """Case-sensitive substring; ``%`` and ``_`` in the term act as wildcards unless a backslash precedes them."""
+    return F.col("message").like(like_pattern(term))
 
 
 def message_contains(term: str) -> Column:
@@ -143,7 +137,12 @@ def message_contains(term: str) -> Column:
 
 
 def message_ilike(term: str) -> Column:
-    return F.col("message").ilike("%" + term.replace("\\", "\\\\") + "%")
+    return F.col("message").ilike(like_pattern(term))
+
+
+def like_pattern(term: str) -> str:
+    """Any other backslash stands for itself."""
+    return "%" + re.sub(r"\\(?![%_])", r"\\\\", term) + "%"
 
 
 # --- properties ------------------------------------------------------------------------------------
@@ -171,9 +170,7 @@ def has_key(path: str) -> Column:
 
 
 def with_property_columns(df: DataFrame, paths: list[str]) -> DataFrame:
-    """Up to five dotted paths as text columns named like the paths."""
-    if len(paths) > MAX_PROPERTY_COLUMNS:
-        raise ValueError(f"at most {MAX_PROPERTY_COLUMNS} property columns")
+    """Dotted paths as text columns named like the paths."""
     return df.select("*", *[column_text(prop_nested(F.col("properties"), p)).alias(p) for p in paths])
 
 

@@ -133,19 +133,22 @@ def _status(status: Column) -> Column:
     return F.when(status.isNull(), "OK").otherwise(F.concat(name, note))
 
 
+def _records(groups: Column, scopes: str, records: str) -> Column:
+    """All records of a request, each with its resource's service name, which is found once per resource."""
+    def of_resource(resource: Column) -> Column:
+        return let(service_name(resource["resource"]["attributes"]), lambda name: F.flatten(F.transform(
+            _scopes(resource[scopes]), lambda s: F.transform(F.coalesce(s[records], F.array()), lambda rec: F.struct(
+                name.alias("service"), rec.alias("item"))))))
+    return F.flatten(F.transform(groups, of_resource))
+
+
 def flatten_logs(body: Column) -> Column:
     """All log records of a request, each with its resource's service name."""
-    return let(F.from_json(body, OTLP_LOGS)["resourceLogs"], lambda groups: F.flatten(F.transform(groups, lambda r: F.flatten(
-        F.transform(_scopes(r["scopeLogs"]), lambda s: F.transform(
-            F.coalesce(s["logRecords"], F.array()), lambda rec: F.struct(
-                service_name(r["resource"]["attributes"]).alias("service"), rec.alias("item"))))))))
+    return let(F.from_json(body, OTLP_LOGS)["resourceLogs"], lambda groups: _records(groups, "scopeLogs", "logRecords"))
 
 
 def flatten_spans(body: Column) -> Column:
-    return let(F.from_json(body, OTLP_TRACES)["resourceSpans"], lambda groups: F.flatten(F.transform(groups, lambda r: F.flatten(
-        F.transform(_scopes(r["scopeSpans"]), lambda s: F.transform(
-            F.coalesce(s["spans"], F.array()), lambda rec: F.struct(
-                service_name(r["resource"]["attributes"]).alias("service"), rec.alias("item"))))))))
+    return let(F.from_json(body, OTLP_TRACES)["resourceSpans"], lambda groups: _records(groups, "scopeSpans", "spans"))
 
 
 def _scopes(scopes: Column) -> Column:

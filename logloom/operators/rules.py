@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from logloom.functions.base import let, nonempty, show_ts, ts_lit, type_of
 from logloom.functions.json_text import parse_float
 from logloom.functions.text import service_slug
+from logloom.limits import fetch
 from logloom.operators.filters import LogQuery, last_interval, matches
 from logloom.operators.joins import targets
 from logloom.operators.search import order_by_status
@@ -133,28 +133,28 @@ def first_row_values(result: DataFrame) -> DataFrame:
     return result.limit(1).select(F.create_map(*entries).alias("values"))
 
 
-def evaluate_rules(spark: SparkSession, rules: DataFrame) -> DataFrame:
+RULE_SECONDS = 30
+OUTCOME = "id string, condition string, values map<string,double>, sql_error string"
+
+
+def evaluate_rules(spark: SparkSession, rules: DataFrame, seconds: float = RULE_SECONDS) -> DataFrame:
     """Run every rule's SQL and judge its condition: (id, values, triggered, error).
 
-    The rule table is configuration (a handful of rows) and is read on the driver; the queries themselves are
-    united into one distributed job. Text the analyser refuses becomes an error row.
+    The rule table is configuration (a handful of rows) and is read on the driver. Every rule is a distributed query of its
+    own, of which one row comes back: text the analyser refuses, an error at run time or a query over its time limit makes
+    an error row and leaves the other rules alone. Rules of the usual shape share one scan, see ``rule_counts``.
     """
-    frames = []
+    outcomes = []
     for row in rules.select("id", "query", "condition").collect():
-        sql_error = ""
+        values, error = None, None
         try:
-            values = first_row_values(spark.sql(row["query"]))
-        except Exception as problem:  # analysis and syntax errors of user SQL
-            sql_error = str(problem).splitlines()[0]
-            values = spark.range(0).select(F.lit(None).cast("map<string,double>").alias("values"))
-        # a global aggregate: one row even when the query gave none
-        frames.append(values.agg(F.first("values").alias("values")).select(
-            F.lit(row["id"]).alias("id"), F.lit(row["condition"]).alias("condition"), "values",
-            F.when(F.lit(sql_error) != "", F.lit(sql_error))
-             .when(F.col("values").isNull(), "query returned no rows").alias("sql_error")))
-    if not frames:
-        return spark.createDataFrame([], "id string, values map<string,double>, triggered boolean, error string")
-    judged = reduce(DataFrame.unionByName, frames).withColumn(
+            first = fetch(first_row_values(spark.sql(row["query"])), seconds)
+            values = first[0]["values"] if first else None
+            error = None if first else "query returned no rows"
+        except Exception as problem:  # whatever user SQL does is this rule's own error
+            error = next((line for line in str(problem).splitlines() if line.strip()), type(problem).__name__)
+        outcomes.append((row["id"], row["condition"], values, error))
+    judged = spark.createDataFrame(outcomes, OUTCOME).withColumn(
         "o", F.when(F.col("sql_error").isNull(), evaluate_condition(F.col("condition"), F.col("values"))))
     return judged.select("id", "values", F.coalesce("o.ok", F.lit(False)).alias("triggered"),
                          F.coalesce("sql_error", "o.error").alias("error"))
@@ -176,9 +176,10 @@ def out_of_cooldown(rules: DataFrame, as_of: datetime) -> DataFrame:
 # --- status ------------------------------------------------------------------------------------------
 
 def _minutes_ago(df: DataFrame, as_of: datetime) -> Column:
-    """Whole elapsed minutes."""
-    seconds = F.timestamp_diff("SECOND", F.col("last_triggered_at"), ts_lit(as_of, type_of(df, "last_triggered_at")))
-    return F.floor(seconds / 60).cast("int")
+    """Minute boundaries between the last firing and now."""
+    kind = type_of(df, "last_triggered_at")
+    now, then = (F.date_trunc("MINUTE", t) for t in (ts_lit(as_of, kind), F.col("last_triggered_at")))
+    return F.timestamp_diff("MINUTE", then, now).cast("int")
 
 
 def _within(df: DataFrame, as_of: datetime, seconds: Column) -> Column:

@@ -13,9 +13,9 @@ from logloom.operators.filters import LogQuery, live_range, newer_than, time_bet
 from logloom.schema import EVENT_COLUMNS, LIVE_COLUMNS
 
 # --- fixed values -------------------------------------------------------------------------------
-DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
-LIVE_PAGE, LIVE_KEEP = 100, 500
-ROW_CAP = 10000
+DEFAULT_LIMIT = 100
+LIVE_PAGE, LIVE_KEEP = 100, 500  # sizes a live view may ask for
+ROW_CAP = 10000  # what a web route may ask for
 # ------------------------------------------------------------------------------------------------
 
 
@@ -24,9 +24,9 @@ def project_events(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.select(*[show_ts(F.col(c)).alias(c) if c == "timestamp" else F.col(c) for c in columns or EVENT_COLUMNS])
 
 
-def newest_first(df: DataFrame, n: int = DEFAULT_LIMIT, maximum: int = MAX_LIMIT) -> DataFrame:
+def newest_first(df: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
     """The newest ``n`` rows (each task keeps only its own top ``n``); equal times are ordered by id."""
-    return df.orderBy(F.col("timestamp").desc(), F.col("id").asc()).limit(max(0, min(n, maximum)))
+    return df.orderBy(F.col("timestamp").desc(), F.col("id").asc()).limit(max(0, n))
 
 
 def search_logs(df: DataFrame, query: LogQuery, as_of: datetime, start: datetime | None = None,
@@ -35,17 +35,22 @@ def search_logs(df: DataFrame, query: LogQuery, as_of: datetime, start: datetime
 
 
 def search_live(df: DataFrame, query: LogQuery, as_of: datetime, preset: str | None = None,
-                since: datetime | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+                since: datetime | None = None, start: datetime | None = None, end: datetime | None = None,
+                limit: int = LIVE_PAGE) -> DataFrame:
     df = time_between(df, start, end, as_of) if (start or end) else live_range(df, preset, as_of)
     if since is not None:
         df = newer_than(df, since)
-    return project_events(newest_first(where(df, query), LIVE_PAGE), LIVE_COLUMNS)
+    return project_events(newest_first(where(df, query), limit), LIVE_COLUMNS)
 
 
-def tail_page(shown: DataFrame, arrived: DataFrame, page: int = LIVE_PAGE, keep: int = LIVE_KEEP) -> DataFrame:
-    """Newest page of the arrivals put in front of the shown rows, each id once, at most ``keep`` rows."""
-    fresh = newest_first(unseen(arrived, shown), page)
-    return newest_first(fresh.unionByName(shown), keep)
+def tail_page(shown: DataFrame, arrived: DataFrame, page: int | None = None, keep: int | None = None) -> DataFrame:
+    """The arrivals in front of the shown rows, newest first, each id once.
+
+    All arrivals are shown and all rows kept, unless the caller gives the size of a page or of the view.
+    """
+    fresh = unseen(arrived, shown)
+    both = (fresh if page is None else newest_first(fresh, page)).unionByName(shown)
+    return both.orderBy(F.col("timestamp").desc(), F.col("id").asc()) if keep is None else newest_first(both, keep)
 
 
 def unseen(arrived: DataFrame, shown: DataFrame) -> DataFrame:
@@ -85,5 +90,5 @@ def table_sort(df: DataFrame, column: str | None, descending: bool = True) -> Da
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
 
 
-def cap_rows(df: DataFrame, n: int = ROW_CAP) -> DataFrame:
+def cap_rows(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)

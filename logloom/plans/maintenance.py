@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.base import ts_lit
 from logloom.operators.aggregates import count_rows, retention_policies
-from logloom.operators.filters import LogQuery, matches, require_filter
+from logloom.operators.filters import LogQuery, matches, require_filter, where
 from logloom.operators.joins import cutoffs, expired, retained
 from logloom.sources.event_table import TABLE, read_events, rewrite_days
 from logloom.session import scratch
@@ -24,11 +24,10 @@ def _days(hits: DataFrame) -> dict:
 def delete_where(spark: SparkSession, path: str, query: LogQuery) -> int:
     """Delete matching rows, rewriting only the days that hold some; returns how many there were."""
     require_filter(query, "delete")
-    hit = matches(query)
     table = read_events(spark, path)
-    days = _days(table.filter(hit))
+    days = _days(where(table, query))  # plain conditions reach the scan
     if days:
-        rewrite_days(spark, path, days, table.filter(F.col("dt").isin(list(days)) & ~hit))
+        rewrite_days(spark, path, days, table.filter(F.col("dt").isin(list(days)) & ~matches(query)))
     return sum(days.values())
 
 

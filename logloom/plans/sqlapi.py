@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
-import threading
-import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.search import ROW_CAP, cap_rows
+from logloom import limits
+from logloom.operators.search import cap_rows
 from logloom.operators.shaping import shape
 
 # --- fixed values -------------------------------------------------------------------------------
 TIMEOUT_SECONDS = 30
 PARAMETER_NAME = r"[a-zA-Z_][a-zA-Z0-9_]*"
+_OUTER = "try_element_at(from_json(j, 'map<string,variant>'), k)"
+_MEMBER = f"if(k2 IS NULL, {_OUTER}, try_element_at(try_cast({_OUTER} AS MAP<STRING, VARIANT>), k2))"
 # Scalar helpers under the names that stored queries use; aggregates such as count_if are Spark's own.
 HELPERS = {
     "toStartOfMinute(t TIMESTAMP) RETURNS TIMESTAMP": "date_trunc('MINUTE', t)",
@@ -27,10 +28,12 @@ HELPERS = {
     "formatDateTime(t TIMESTAMP, f STRING) RETURNS STRING":
         "date_format(t, replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'),"
         " '%H', 'HH'), '%i', 'mm'), '%S', 'ss'))",
-    "JSONExtractString(j STRING, k STRING) RETURNS STRING": "coalesce(get_json_object(j, concat('$.', k)), '')",
-    "JSONExtractFloat(j STRING, k STRING) RETURNS DOUBLE":
-        "coalesce(try_cast(get_json_object(j, concat('$.', k)) AS DOUBLE), 0D)",
-    "JSONHas(j STRING, k STRING) RETURNS BOOLEAN": "array_contains(json_object_keys(j), k)",
+    # like the property functions: only text is a string, only numbers are numbers; ``k2`` names a member of a member
+    "JSONExtractString(j STRING, k STRING, k2 STRING DEFAULT NULL) RETURNS STRING":
+        f"if(schema_of_variant({_MEMBER}) = 'STRING', {_MEMBER}::string, '')",
+    "JSONExtractFloat(j STRING, k STRING, k2 STRING DEFAULT NULL) RETURNS DOUBLE":
+        f"if(left(schema_of_variant({_MEMBER}), 3) IN ('BIG', 'DEC', 'DOU', 'FLO'), try_cast({_MEMBER} AS DOUBLE), 0D)",
+    "JSONHas(j STRING, k STRING, k2 STRING DEFAULT NULL) RETURNS BOOLEAN": f"{_MEMBER} IS NOT NULL",
 }
 # ------------------------------------------------------------------------------------------------
 
@@ -48,35 +51,22 @@ def require_select(sql: str) -> None:
         raise ValueError("Only SELECT statements are allowed")
 
 
-def run_select(spark: SparkSession, sql: str, args: dict[str, str] | None = None, cap: int | None = ROW_CAP) -> DataFrame:
-    """The query, its result capped (top-level cap: a LIMIT inside the text never lifts it)."""
+def run_select(spark: SparkSession, sql: str, args: dict[str, str] | None = None, cap: int | None = None) -> DataFrame:
+    """The query; with ``cap`` its result is cut there (a LIMIT inside the text never lifts it), see ``fetch_page``."""
     require_select(sql)
     frame = spark.sql(sql, args=args) if args else spark.sql(sql)
     return frame if cap is None else cap_rows(frame, cap)
 
 
 def fetch(df: DataFrame, seconds: float = TIMEOUT_SECONDS) -> list[Row]:
-    """Rows of a capped query; its jobs are cancelled when the time is over."""
-    spark = df.sparkSession
-    tag = f"query-{uuid.uuid4().hex}"
-    expired = threading.Event()
-
-    def stop() -> None:
-        expired.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
-    try:
-        return df.collect()
-    except Exception as problem:
-        if expired.is_set():
-            raise TimeoutError(f"Query exceeded {seconds} second timeout") from problem
-        raise
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
+    """All rows of a query within the time limit. Bound the result first (``run_select`` with ``cap``, ``fetch_page``)."""
+    return limits.fetch(df, seconds)
+
+
+def fetch_page(df: DataFrame, rows: int, seconds: float = TIMEOUT_SECONDS) -> tuple[list[Row], bool]:
+    """At most ``rows`` rows, and whether there are more."""
+    got = limits.fetch(cap_rows(df, rows + 1), seconds)
+    return got[:rows], len(got) > rows
 
 
 def bind(sql: str, params: dict[str, str]) -> tuple[str, dict[str, str]]:
@@ -98,7 +88,7 @@ def run_endpoint(spark: SparkSession, endpoint: Row | dict | None, params: dict[
     if not row["enabled"]:
         raise LookupError(f"Endpoint is disabled: {row['name']}")
     sql, args = bind(row["sql_query"], params or {})
-    return run_select(spark, sql, args, cap=None)
+    return run_select(spark, sql, args)
 
 
 def find_endpoint(endpoints: DataFrame, name: str) -> Row | None:
@@ -116,7 +106,7 @@ def run_widget(spark: SparkSession, widget: dict, endpoints: DataFrame) -> DataF
         if not source.get("sql"):
             raise ValueError("SQL is required for inline data source")
         sql, args = bind(source["sql"], source.get("params") or {})
-        rows = run_select(spark, sql, args, cap=None)
+        rows = run_select(spark, sql, args)
     else:
         raise ValueError(f"Unknown data source type: {source.get('type')}")
     options = widget.get("visualization")

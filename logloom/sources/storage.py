@@ -26,7 +26,3 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     if not fs.rename(source, target):
         raise OSError(f"cannot rename {old} to {new}")
 
-
-def is_folder(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.getFileStatus(p).isDirectory()

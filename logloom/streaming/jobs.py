@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from logloom.functions.base import show_ts, ts_lit
 from logloom.operators.aggregates import count_rows, error_count
-from logloom.operators.filters import LogQuery, where
+from logloom.operators.filters import LogQuery, matches, where
 from logloom.operators.rules import RuleSpec, rule_counts
 from logloom.plans.ingest import parse_messages
 from logloom.schema import DEAD_LETTER, EVENT
@@ -54,26 +54,29 @@ def landed_dead_letters(spark: SparkSession, root: str) -> DataFrame:
 class LandingWriter:
     """Micro-batch sink for parsed rows.
 
-    Ids depend on the message alone, so the one batch that may be a replay (the first after a start) only has to
-    leave out rows whose id is already in the days it touches. Later batches append without looking.
+    Ids depend on the message alone. From the start of a run on, rows whose id is stored already are left out, until a
+    batch holds none: then the source has passed what was stored, and later batches append without looking. So neither a
+    replayed batch nor a run over a lost checkpoint stores anything twice (messages come in the order they came before).
     """
 
     def __init__(self, root: str):
-        self.root, self.first = root, True
+        self.root, self.replaying = root, True
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        if self.first and exists(spark, self.root):
-            rows = rows.persist()
-            try:
-                days = [r["dt"] for r in rows.select("dt").distinct().collect()]
-                known = spark.read.schema(STORED).parquet(self.root).filter(F.col("dt").isin(days)).select("id")
-                write_landing(rows.join(known, "id", "left_anti").select(*STORED.fieldNames()), self.root)
-            finally:
-                rows.unpersist()
-        else:
+        if not (self.replaying and exists(spark, self.root)):
+            self.replaying = False
             write_landing(rows, self.root)
-        self.first = False
+            return
+        rows = rows.persist()
+        try:
+            # times set by the clock differ between runs, so ids are compared over all days
+            known = spark.read.schema(STORED).parquet(self.root).select("id")
+            fresh = rows.join(known, "id", "left_anti").select(*STORED.fieldNames())
+            self.replaying = not rows.join(known, "id", "left_semi").isEmpty()
+            write_landing(fresh, self.root)
+        finally:
+            rows.unpersist()
 
 
 def ingest_stream(spark: SparkSession, inbox: str, root: str, checkpoint: str, as_of: datetime | str | None = None,
@@ -105,10 +108,13 @@ def rolling_metrics(stream: DataFrame, width: str = "1 minute", late: str = "10
 
 def sliding_rule(stream: DataFrame, query: LogQuery, width: str = "5 minutes", slide: str = "1 minute",
                  late: str = "10 minutes") -> DataFrame:
-    """How many matching rows each sliding window holds."""
-    return (where(event_time(stream).withWatermark("timestamp", late), query)
-            .groupBy(F.window("timestamp", width, slide)).agg(count_rows().alias("cnt"))
-            .select(F.col("window.end").alias("evaluated_at"), "cnt"))
+    """How many matching rows each sliding window holds (windows with none are left out).
+
+    The condition is part of the aggregate, so that every event moves the watermark and rare matches come out in time.
+    """
+    return (event_time(stream).withWatermark("timestamp", late)
+            .groupBy(F.window("timestamp", width, slide)).agg(F.count_if(matches(query)).alias("cnt"))
+            .filter(F.col("cnt") > 0).select(F.col("window.end").alias("evaluated_at"), "cnt"))
 
 
 def tick(events: DataFrame, specs: list[RuleSpec], as_of: datetime) -> DataFrame:
@@ -117,8 +123,8 @@ def tick(events: DataFrame, specs: list[RuleSpec], as_of: datetime) -> DataFrame
 
 
 def tail(stream: DataFrame, query: LogQuery, late: str = "10 minutes") -> DataFrame:
-    """Matching rows, each id once."""
-    return where(event_time(stream).withWatermark("timestamp", late), query).dropDuplicatesWithinWatermark(["id"])
+    """Matching rows, each id once; all events move the watermark, which frees the state."""
+    return where(event_time(stream).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"]), query)
 
 
 COOLDOWN_OUTPUT = "id string, triggered_at timestamp"
@@ -127,9 +133,6 @@ COOLDOWN_OUTPUT = "id string, triggered_at timestamp"
 class Cooldown(StatefulProcessor):
     """Keeps each rule's last firing; lets a trigger through when the cooldown since then is over."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "t timestamp")
 
@@ -140,8 +143,8 @@ class Cooldown(StatefulProcessor):
             last = last.tz_convert("UTC").tz_localize(None)
         fired = []
         # at most one row per rule and evaluation tick arrives here
-        for moment in sorted(t for chunk in rows for t in chunk["triggered_at"]):
-            if last is None or (moment - last).total_seconds() >= self.seconds:
+        for moment, seconds in sorted(pair for chunk in rows for pair in zip(chunk["triggered_at"], chunk["cooldown_seconds"])):
+            if last is None or (moment - last).total_seconds() >= seconds:
                 last = moment
                 fired.append(moment)
         if fired:
@@ -152,13 +155,17 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def cooldown(triggers: DataFrame, seconds: int) -> DataFrame:
-    """Stream of (id, triggered_at) reduced to the firings that respect the cooldown.
+def cooldown(triggers: DataFrame, seconds: int | None = None) -> DataFrame:
+    """Stream of (id, triggered_at, cooldown_seconds) reduced to the firings that respect their rule's cooldown.
+
+    ``seconds`` gives one cooldown to all rules instead.
 
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider.
     """
+    if seconds is not None:
+        triggers = triggers.withColumn("cooldown_seconds", F.lit(seconds))
     return triggers.groupBy("id").transformWithStateInPandas(
-        Cooldown(seconds), outputStructType=COOLDOWN_OUTPUT, outputMode="Append", timeMode="None")
+        Cooldown(), outputStructType=COOLDOWN_OUTPUT, outputMode="Append", timeMode="None")
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:

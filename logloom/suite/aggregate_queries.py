@@ -69,7 +69,7 @@ def _(spark, sf):
 
 @query("error_summary", f"""
 SELECT message_template, level, count(*) AS count, {LAST} AS latest_timestamp, min(message) AS sample_message
-FROM log_events WHERE level IN ('Error', 'Fatal', 'Warning') AND timestamp > {NOW} - INTERVAL 168 HOUR
+FROM log_events WHERE level IN ('Error', 'Fatal', 'Warning') AND timestamp > {NOW} - INTERVAL 1000 HOUR
 GROUP BY message_template, level ORDER BY count DESC, message_template, level LIMIT 100""", "log_events")
 def _(spark, sf):
     return a.error_summary(log_events(spark, sf), AS_OF, hours=1000, limit=500)

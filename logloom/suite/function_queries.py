@@ -190,10 +190,10 @@ def _(spark, sf):
 
 
 @query("detected_urls", """
-SELECT page_id, regexp_matches(url, '^https?://') AS is_url, false AS text_is_url FROM pages""")
+SELECT page_id, regexp_matches(url, '^https?://') AS is_url, regexp_matches(html, '^https?://') AS text_is_url FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", t.is_url(F.col("url")).alias("is_url"),
-                                            t.is_url(F.substring("html", 1, 40)).alias("text_is_url"))
+                                            t.is_url(F.col("html")).alias("text_is_url"))
 
 
 @query("endpoint_parameters", "SELECT name, 'level,like' || substr(sql_query, instr(sql_query, '@like') + 5, 1) AS params FROM endpoints", "endpoints")

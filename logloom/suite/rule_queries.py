@@ -11,7 +11,7 @@ from logloom.suite.base import (
 )
 
 COOL = f"last_triggered_at > TIMESTAMP '1970-01-02' AND last_triggered_at > {NOW} - INTERVAL 1 SECOND * cooldown_seconds"
-AGO = f"CAST(date_sub('minute', last_triggered_at, {NOW}) AS INTEGER)"
+AGO = f"CAST(date_diff('minute', last_triggered_at, {NOW}) AS INTEGER)"
 SHOWN = f"strftime(last_triggered_at, {TEXT_TIME})"
 
 

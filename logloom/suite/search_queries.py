@@ -198,7 +198,7 @@ SELECT id FROM (SELECT * FROM page UNION ALL SELECT * FROM shown) ORDER BY times
 def _(spark, sf):
     ev = log_events(spark, sf).select("id", "timestamp")
     shown = s.newest_first(f.time_between(ev, None, datetime(2024, 1, 30, 12), AS_OF), 450)
-    return s.tail_page(shown, f.newer_than(ev, datetime(2024, 1, 30, 12))).select("id")
+    return s.tail_page(shown, f.newer_than(ev, datetime(2024, 1, 30, 12)), s.LIVE_PAGE, s.LIVE_KEEP).select("id")
 
 
 @query("prepend_event", """
@@ -211,7 +211,7 @@ def _(spark, sf):
 @query("capped_rows", "SELECT CAST(least(10000, count(*)) AS BIGINT) AS n FROM lineitem")
 def _(spark, sf):
     """Counts what is left of a large result under the row cap."""
-    return s.cap_rows(table(spark, sf, "lineitem")).agg(F.count(F.lit(1)).alias("n"))
+    return s.cap_rows(table(spark, sf, "lineitem"), s.ROW_CAP).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rows_by_status", """

@@ -37,11 +37,11 @@ def finish(stream: DataFrame, label: str) -> DataFrame:
 SELECT 'event' AS outcome, CAST(sum(CASE o_orderkey % 10 WHEN 0 THEN 2 WHEN 3 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM orders
 UNION ALL SELECT 'dead_letter', count(*) FROM orders WHERE o_orderkey % 10 IN (4, 5, 6, 7, 9)""")
 def _(spark, sf):
-    """Message files to events and dead letters; a second run over a lost checkpoint adds nothing twice."""
+    """Message files to events and dead letters, a file per batch; a second run over a lost checkpoint adds nothing twice."""
     inbox, root = scratch(spark, "inbox"), scratch(spark, "landing")
-    mixed_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body")).repartition(2).write.json(inbox)
+    mixed_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body")).repartition(3).write.json(inbox)
     for _ in range(2):
-        jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" ")).awaitTermination()
+        jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" "), max_files=1).awaitTermination()
     events = jobs.landed_events(spark, root).agg(count_rows().alias("n")).select(F.lit("event").alias("outcome"), "n")
     dead = jobs.landed_dead_letters(spark, root).agg(count_rows().alias("n")).select(F.lit("dead_letter").alias("outcome"), "n")
     return events.unionByName(dead)
@@ -69,9 +69,9 @@ def _(spark, sf):
 SELECT strftime(e, {TEXT_TIME}) AS evaluated_at, count(*) AS cnt FROM (
   SELECT timestamp, unnest(generate_series(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE, date_trunc('minute', timestamp) + INTERVAL 5 MINUTE,
          INTERVAL 1 MINUTE)) AS e FROM log_events WHERE level = 'Error')
-WHERE e <= (SELECT date_trunc('millisecond', max(timestamp)) FROM log_events WHERE level = 'Error') - INTERVAL 10 MINUTE GROUP BY e""", "log_events")
+WHERE e <= (SELECT date_trunc('millisecond', max(timestamp)) FROM log_events) - INTERVAL 10 MINUTE GROUP BY e""", "log_events")
 def _(spark, sf):
-    """The filter runs before the watermark, which therefore follows the matching rows."""
+    """Every event moves the watermark, so all windows but those of the last ten minutes come out."""
     counts = finish(jobs.sliding_rule(event_stream(spark, sf), LogQuery(level="Error")), "sliding")
     return counts.select(show_ts(F.col("evaluated_at")).alias("evaluated_at"), "cnt")
 
@@ -97,18 +97,18 @@ WITH RECURSIVE log_events AS ({CTES['log_events']}),
 trig AS (SELECT DISTINCT source, date_trunc('minute', timestamp) AS timestamp FROM log_events WHERE level = 'Fatal'),
 fired(id, fired_at) AS (
   SELECT source, min(timestamp) FROM trig GROUP BY source
-  UNION ALL SELECT f.id, min(t.timestamp) FROM fired f JOIN trig t ON t.source = f.id AND t.timestamp >= f.fired_at + INTERVAL 1 DAY GROUP BY f.id)
+  UNION ALL SELECT f.id, min(t.timestamp) FROM fired f JOIN trig t ON t.source = f.id AND t.timestamp >= f.fired_at + INTERVAL 1 HOUR * (12 + 12 * (length(f.id) % 2)) GROUP BY f.id)
 SELECT id, strftime(fired_at, {TEXT_TIME}) AS fired_at FROM fired"""
 
 
 @query("stream_cooldown", COOLDOWN_SQL)
 def _(spark, sf):
-    """Each rule fires at most once a day, counted from its own last firing."""
+    """Each rule has a cooldown of its own (half a day or a day), counted from its own last firing."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path = scratch(spark, "triggers")
     minute = F.date_trunc("MINUTE", F.col("timestamp").cast("timestamp"))
     (log_events(spark, sf).filter(F.col("level") == "Fatal").select(F.col("source").alias("id"), minute.alias("triggered_at"))
-     .distinct().write.parquet(path))
-    stream = spark.readStream.schema("id string, triggered_at timestamp").parquet(path)
-    fired = finish(jobs.cooldown(stream, 86400), "cooldown")
+     .distinct().withColumn("cooldown_seconds", F.when(F.length("id") % 2 == 1, 86400).otherwise(43200)).write.parquet(path))
+    stream = spark.readStream.schema("id string, triggered_at timestamp, cooldown_seconds int").parquet(path)
+    fired = finish(jobs.cooldown(stream), "cooldown")
     return fired.select("id", show_ts(F.col("triggered_at")).alias("fired_at"))

@@ -1,13 +1,13 @@
 """Conditions and rule evaluation."""
 
-from functools import reduce
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.operators.rules import evaluate_condition
+from logloom.operators.rules import evaluate_condition, evaluate_rules
 from logloom.plans import sqlapi
 
 VALUES = {"errors": 12.0, "total": 80.0, "name": None}
@@ -48,7 +48,10 @@ def test_sql_guards(spark):
     spark.range(20000).createOrReplaceTempView("numbers")
     with pytest.raises(ValueError):
         sqlapi.run_select(spark, "WITH x AS (SELECT 1) SELECT * FROM x")
-    assert sqlapi.run_select(spark, "  select * from (select * from numbers limit 15000)").count() == 10000
+    whole = sqlapi.run_select(spark, "  select * from (select * from numbers limit 15000)")
+    assert whole.count() == 15000 and sqlapi.run_select(spark, "select * from numbers", cap=10000).count() == 10000
+    rows, more = sqlapi.fetch_page(whole, 100)
+    assert len(rows) == 100 and more and sqlapi.fetch_page(spark.range(3), 3) == (spark.range(3).collect(), False)
     assert sqlapi.bind("select @a, @ab, @c", {"a": "1", "b-d": "2"}) == ("select :a, @ab, @c", {"a": "1"})
     injected = sqlapi.run_endpoint(spark, {"name": "e", "enabled": 1, "sql_query": "SELECT @x AS x"}, {"x": "' OR 1=1 --"})
     assert injected.first().x == "' OR 1=1 --"
@@ -59,7 +62,27 @@ def test_sql_guards(spark):
 
 
 def test_timeout(spark):
-    endless = reduce(lambda d, _: d.join(d.select(F.col("id").alias("o")), F.col("id") >= F.col("o")).select("id"), range(4), spark.range(400))
+    endless = spark.range(10**14).agg(F.sum(F.sqrt("id")))
+    start = time.monotonic()
     with pytest.raises(TimeoutError):
-        sqlapi.fetch(endless.agg(F.sum("id")), seconds=1)
+        sqlapi.fetch(endless, seconds=1)
+    assert time.monotonic() - start < 30
     assert sqlapi.fetch(spark.range(3)) == spark.range(3).collect()
+
+
+def test_a_failing_rule_leaves_the_others_alone(spark):
+    spark.range(5).createOrReplaceTempView("five")
+    rules = spark.createDataFrame([("bad", "SELECT 1 / (id - id) AS v FROM five", "v > 1"), ("good", "SELECT count(*) AS v FROM five", "v > 1"),
+                                   ("worse", "SELEC", "v > 1"), ("none", "SELECT id AS v FROM five WHERE id > 9", "v > 1"),
+                                   ("slow", "SELECT sum(sqrt(id)) AS v FROM range(100000000000000)", "v > 1")], "id string, query string, condition string")
+    out = {r["id"]: (r["triggered"], r["error"]) for r in evaluate_rules(spark, rules, seconds=5).collect()}
+    assert out["good"] == (True, None) and out["none"] == (False, "query returned no rows")
+    assert not out["bad"][0] and "DIVIDE_BY_ZERO" in out["bad"][1] and out["worse"][1] and "timeout" in out["slow"][1]
+
+
+def test_helpers_agree_with_property_functions(spark):
+    sqlapi.register(spark, {})
+    row = spark.sql("""SELECT JSONExtractString(j, 'k') AS a, JSONExtractString(j, 's') AS b, JSONExtractString(j, 'o', 't') AS c, JSONExtractFloat(j, 'k') AS d,
+                       JSONExtractFloat(j, 's') AS e, JSONExtractFloat(j, 'o', 'n') AS f, JSONHas(j, 'a.b') AS g, JSONHas(j, 'zz') AS h
+                       FROM VALUES ('{"k":5,"s":"7","o":{"t":"x","n":2.5},"a.b":1}') AS t(j)""").first()
+    assert tuple(row) == ("", "7", "x", 5.0, 0.0, 2.5, True, False)
