@@ -93,7 +93,7 @@ UNION ALL SELECT 'week', count(*) FILTER (WHERE timestamp >= TIMESTAMP '2024-01-
 UNION ALL SELECT 'all', count(*) FILTER (WHERE timestamp > {NOW} - INTERVAL 24 HOUR) FROM log_events""", "log_events")
 def _(spark, sf):
     ev = log_events(spark, sf)
-    parts = [f.in_range(ev, TimeRange(p), AS_OF).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("preset"), "n")
+    parts = [f.in_range(ev, TimeRange(p), AS_OF, compat=True).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("preset"), "n")
              for p in ("30m", "6h", "today", "week", "all")]
     return s.union_formats(*parts)
 
