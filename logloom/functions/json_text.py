@@ -123,10 +123,10 @@ ESCAPED = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028",
 def wire_form(text: Column) -> Column:
     """JSON text with the characters above escaped (they occur in strings only) and whole numbers without ``.0``."""
     for char, written in ESCAPED.items():
-        text = F.when(F.contains(text, F.lit(char)), F.replace(text, F.lit(char), F.lit(written))).otherwise(text)
+        text = F.replace(text, F.lit(char), F.lit(written))
     # strings are matched first and kept, so that only numbers change
-    return F.when(F.contains(text, F.lit(".0")), F.regexp_replace(
-        text, r'("(?:[^"\\\\]|\\\\.)*")|(-?[0-9]+)\.0(?=[,}\]])', "$1$2")).otherwise(text)
+    return F.regexp_replace(
+        text, r'("(?:[^"\\]|\\.)*")|(-?[0-9]+)\.0(?=[,}\]])', "$1$2")
 
 
 def without(members: Column, keys: list[str]) -> Column:
