@@ -185,8 +185,7 @@ def tree_maker(ranks_path: str, pattern: str):
             flat = [x for p in pieces for x in p]
             if len(known) > 300_000:
                 known.clear()
-            fresh = [x for x in set(flat) if x not in known]
-            known.update(zip(fresh, map(len, encoding.encode_ordinary_batch(fresh, num_threads=1))))
+            known.update((x, len(encoding.encode_ordinary(x))) for x in set(flat) if x not in known)
             lengths = np.fromiter(map(len, flat), np.int32, len(flat))
             counts = np.fromiter(map(known.__getitem__, flat), np.int32, len(flat))
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
