@@ -66,10 +66,10 @@ def _compare(text: Column, values: Column) -> Column:
         truth = (F.when(symbol == ">=", left >= right).when(symbol == "<=", left <= right)
                  .when(symbol == "!=", left != right).when(symbol == "==", left == right)
                  .when(symbol == ">", left > right).otherwise(left < right))
-        error = (F.when(symbol.isNull(), F.concat(F.lit("could not parse condition: "), F.trim(text)))
-                 .when(~F.map_contains_key(values, name), F.concat(F.lit("variable "), name, F.lit(" not found in result")))
-                 .when(left.isNull(), F.concat(F.lit("cannot convert "), name, F.lit(" to number")))
-                 .when(right.isNull(), F.concat(F.lit("cannot parse comparison value: "), p["number"])))
+        error = (F.when(symbol.isNull(), F.concat(F.lit("no comparison in condition: "), F.trim(text)))
+                 .when(~F.map_contains_key(values, name), F.concat(F.lit("no column "), name, F.lit(" in the result")))
+                 .when(left.isNull(), F.concat(F.lit("column "), name, F.lit(" holds no number")))
+                 .when(right.isNull(), F.concat(F.lit("not a number to compare with: "), p["number"])))
         return _outcome(F.when(error.isNull(), truth), error)
 
     def split(o: Column) -> Column:
@@ -163,7 +163,7 @@ def evaluate_rules(spark: SparkSession, rules: DataFrame, seconds: float = RULE_
 def test_rule(spark: SparkSession, query: str) -> DataFrame:
     """Rows of a rule's query, with no change of state."""
     if not query.strip().lower().startswith("select"):
-        raise ValueError("Only SELECT statements are allowed")
+        raise ValueError("a query has to begin with SELECT")
     return spark.sql(query)
 
 
@@ -254,12 +254,12 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     interval = F.coalesce(F.nullif(F.col("interval_seconds"), F.lit(0)), F.lit(DEFAULT_INTERVAL))
     no_target = (F.size(string_list(F.col("destination_ids"))) <= 0) & (F.size(string_list(F.col("recipients"))) <= 0)
     checks = [
-        F.when(missing("name"), "name: Required field"),
-        F.when(missing("query"), "query: Required field")
-         .when(~F.lower(F.trim("query")).startswith("select"), "query: Only SELECT statements are allowed"),
-        F.when(missing("condition"), "condition: Required field"),
-        F.when(missing("subject"), "subject: Required field"),
-        F.when(no_target, "destination_ids: At least one destination or recipient is required"),
-        F.when(interval < MIN_INTERVAL, "interval_seconds: Interval must be at least 30 seconds"),
+        F.when(missing("name"), "name: must not be empty"),
+        F.when(missing("query"), "query: must not be empty")
+         .when(~F.lower(F.trim("query")).startswith("select"), "query: has to begin with SELECT"),
+        F.when(missing("condition"), "condition: must not be empty"),
+        F.when(missing("subject"), "subject: must not be empty"),
+        F.when(no_target, "destination_ids: nobody to notify (no destination, no recipient)"),
+        F.when(interval < MIN_INTERVAL, "interval_seconds: below the shortest interval of 30 s"),
     ]
     return rules.select("*", F.array_compact(F.array(*checks)).alias("errors"))

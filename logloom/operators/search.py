@@ -78,7 +78,9 @@ def status_rank(status: Column) -> Column:
 
 
 def order_by_status(df: DataFrame) -> DataFrame:
-    return df.orderBy(status_rank(F.col("status")), F.col("triggered_at").desc())
+    """Firing first, then by time, newest first; equal times by id where there is one."""
+    ties = [F.col("id")] if "id" in df.columns else []
+    return df.orderBy(status_rank(F.col("status")), F.col("triggered_at").desc(), *ties)
 
 
 def table_sort(df: DataFrame, column: str | None, descending: bool = True) -> DataFrame:

@@ -107,24 +107,24 @@ def validate_dashboards(dashboards: DataFrame) -> DataFrame:
         kind = w["dataSource"]["type"]
         sql = w["dataSource"]["sql"]
         found = F.array(
-            F.when(blank(w["id"]) | blank(w["type"]) | blank(w["title"]), "Missing required fields (id, type, title)"),
+            F.when(blank(w["id"]) | blank(w["type"]) | blank(w["title"]), "id, type or title is empty"),
             F.when(~F.coalesce(w["type"], F.lit("")).isin(*STORABLE_TYPES),
-                   F.concat(F.lit('Invalid type "'), F.coalesce(w["type"], F.lit("undefined")), F.lit('"'))),
-            F.when(blank(kind), "Missing dataSource")
-             .when((kind == "endpoint") & blank(w["dataSource"]["endpointName"]), "Endpoint name required for endpoint dataSource")
-             .when((kind == "inline") & blank(sql), "SQL required for inline dataSource")
-             .when((kind == "inline") & ~F.lower(F.trim(sql)).startswith("select"), "Only SELECT statements allowed in inline SQL"))
+                   F.concat(F.lit('unknown type "'), F.coalesce(w["type"], F.lit("none")), F.lit('"'))),
+            F.when(blank(kind), "no data source")
+             .when((kind == "endpoint") & blank(w["dataSource"]["endpointName"]), "endpoint source names no endpoint")
+             .when((kind == "inline") & blank(sql), "inline source holds no SQL")
+             .when((kind == "inline") & ~F.lower(F.trim(sql)).startswith("select"), "inline SQL has to begin with SELECT"))
         return F.transform(F.array_compact(found), lambda t: F.concat(head, t))
 
     config = F.from_json("config", DASHBOARD_CONFIG)
     parsed = dashboards.withColumn("_c", config)
     items = F.col("_c.widgets")
     top = F.array_compact(F.array(
-        F.when(blank(F.col("name")), "Name is required")
-         .when(~F.col("name").rlike(NAME_PATTERN), "Name must be URL-safe (letters, numbers, dashes, underscores)"),
-        F.when(blank(F.col("config")), "Config is required"),
+        F.when(blank(F.col("name")), "name is empty")
+         .when(~F.col("name").rlike(NAME_PATTERN), "name may hold only letters, digits, - and _"),
+        F.when(blank(F.col("config")), "config is empty"),
         F.when(~blank(F.col("config")) & ~F.coalesce(F.col("_c.layout"), F.lit("")).isin(*LAYOUTS),
-               "Config must have a valid layout (auto or grid)"),
-        F.when(~blank(F.col("config")) & (F.coalesce(F.size(items), F.lit(0)) <= 0), "Config must have at least one widget")))
+               "layout is neither auto nor grid"),
+        F.when(~blank(F.col("config")) & (F.coalesce(F.size(items), F.lit(0)) <= 0), "no widgets")))
     inner = F.coalesce(F.flatten(F.transform(items, faults)), F.array().cast("array<string>"))
     return parsed.select(*dashboards.columns, F.concat(top, inner).alias("errors"))

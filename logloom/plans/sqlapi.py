@@ -24,6 +24,7 @@ HELPERS = {
     "toYYYYMMDD(t TIMESTAMP) RETURNS INT": "cast(date_format(t, 'yyyyMMdd') AS INT)",
     "toString(x STRING) RETURNS STRING": "x",
     "toDateTime(x STRING) RETURNS TIMESTAMP": "try_to_timestamp(x)",
+    "toDateTime64(x STRING, p INT) RETURNS TIMESTAMP": "timestamp_micros(unix_micros(try_to_timestamp(x)) DIV bigint(pow(10, 6 - p)) * bigint(pow(10, 6 - p)))",
     "toIntervalSecond(n INT) RETURNS INTERVAL DAY TO SECOND": "make_dt_interval(0, 0, 0, n)",
     "formatDateTime(t TIMESTAMP, f STRING) RETURNS STRING":
         "date_format(t, replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'),"
@@ -48,7 +49,7 @@ def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 def require_select(sql: str) -> None:
     if not sql.strip().lower().startswith("select"):
-        raise ValueError("Only SELECT statements are allowed")
+        raise ValueError("a query has to begin with SELECT")
 
 
 def run_select(spark: SparkSession, sql: str, args: dict[str, str] | None = None, cap: int | None = None) -> DataFrame:
@@ -100,11 +101,11 @@ def run_widget(spark: SparkSession, widget: dict, endpoints: DataFrame) -> DataF
     source = widget["dataSource"]
     if source.get("type") == "endpoint":
         if not source.get("endpointName"):
-            raise ValueError("Endpoint name is required for endpoint data source")
+            raise ValueError("endpoint source names no endpoint")
         rows = run_endpoint(spark, find_endpoint(endpoints, source["endpointName"]), source.get("params"))
     elif source.get("type") == "inline":
         if not source.get("sql"):
-            raise ValueError("SQL is required for inline data source")
+            raise ValueError("inline source holds no SQL")
         sql, args = bind(source["sql"], source.get("params") or {})
         rows = run_select(spark, sql, args)
     else:

@@ -61,9 +61,9 @@ def endpoint_errors(endpoints: DataFrame) -> DataFrame:
     """Endpoint definitions with the list of their faults."""
     name, sql = text_or_empty(F.col("name")), text_or_empty(F.col("sql_query"))
     checks = F.array(
-        F.when(name == "", "name: Required field")
-         .when(~name.rlike("^[a-zA-Z0-9_-]+$"), "name: Must be URL-safe (letters, numbers, dashes, underscores)"),
-        F.when(sql == "", "sql_query: Required field")
-         .when(~F.lower(F.trim(sql)).startswith("select"), "sql_query: Must be a SELECT statement"),
-        F.when(F.col("cache_ttl_seconds") < 0, "cache_ttl_seconds: Must be a non-negative number"))
+        F.when(name == "", "name: must not be empty")
+         .when(~name.rlike("^[a-zA-Z0-9_-]+$"), "name: may hold only letters, digits, - and _"),
+        F.when(sql == "", "sql_query: must not be empty")
+         .when(~F.lower(F.trim(sql)).startswith("select"), "sql_query: has to begin with SELECT"),
+        F.when(F.col("cache_ttl_seconds") < 0, "cache_ttl_seconds: below zero"))
     return endpoints.select("*", F.array_compact(checks).alias("errors"))

@@ -275,7 +275,7 @@ def _(spark, sf):
 
 @query("table_sorted", """
 SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN NULL ELSE CAST(properties->>'k' AS BIGINT) END AS k FROM log_events
-ORDER BY k DESC NULLS LAST LIMIT 0""".replace(" LIMIT 0", ""), "log_events")
+ORDER BY k DESC NULLS LAST""", "log_events")
 def _(spark, sf):
     ev = log_events(spark, sf)
     k = F.when(F.col("id").cast("bigint") % 7 == 0, F.lit(None)).otherwise(F.get_json_object("properties", "$.k").cast("bigint"))

@@ -68,13 +68,13 @@ def _(spark, sf):
 
 @query("validated_dashboards", """
 SELECT name, array_to_string(list_filter([
-  CASE WHEN contains(name, ' ') THEN 'Name must be URL-safe (letters, numbers, dashes, underscores)' END,
-  CASE WHEN config = '' THEN 'Config is required' END,
-  CASE WHEN config LIKE '%free%' THEN 'Config must have a valid layout (auto or grid)' END,
-  CASE WHEN config LIKE '%free%' THEN 'Config must have at least one widget' END,
-  CASE WHEN config LIKE '%"endpointName":""%' THEN 'Widget 0: Endpoint name required for endpoint dataSource' END,
-  CASE WHEN config LIKE '%pie_chart%' THEN 'Widget 1: Invalid type "pie_chart"' END,
-  CASE WHEN config LIKE '%drop table%' THEN 'Widget 1: Only SELECT statements allowed in inline SQL' END], lambda x: x IS NOT NULL), '; ') AS errors
+  CASE WHEN contains(name, ' ') THEN 'name may hold only letters, digits, - and _' END,
+  CASE WHEN config = '' THEN 'config is empty' END,
+  CASE WHEN config LIKE '%free%' THEN 'layout is neither auto nor grid' END,
+  CASE WHEN config LIKE '%free%' THEN 'no widgets' END,
+  CASE WHEN config LIKE '%"endpointName":""%' THEN 'Widget 0: endpoint source names no endpoint' END,
+  CASE WHEN config LIKE '%pie_chart%' THEN 'Widget 1: unknown type "pie_chart"' END,
+  CASE WHEN config LIKE '%drop table%' THEN 'Widget 1: inline SQL has to begin with SELECT' END], lambda x: x IS NOT NULL), '; ') AS errors
 FROM dashboards""", "dashboards")
 def _(spark, sf):
     return g.validate_dashboards(dashboards(spark, sf)).select("name", F.array_join("errors", "; ").alias("errors"))

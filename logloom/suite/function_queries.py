@@ -142,6 +142,22 @@ def _(spark, sf):
         FROM helper_events GROUP BY 1""")
 
 
+@query("sql_time_helpers", f"""
+SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day, strftime(date_trunc('minute', ts), {TEXT_MICROS}) AS minute, strftime(date_trunc('day', ts), {TEXT_MICROS}) AS midnight,
+       strftime(date_trunc('second', ts), {TEXT_MICROS}) AS parsed, strftime(date_trunc('millisecond', ts), {TEXT_MICROS}) AS parsed64,
+       strftime(date_trunc('second', ts) + INTERVAL 90 SECOND, {TEXT_MICROS}) AS later, CAST(user_id AS VARCHAR) AS user_text FROM events""")
+def _(spark, sf):
+    """The time and text helpers of stored queries; a text that is no time gives NULL."""
+    written = F.date_format("ts", MICROS)
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), written.alias("whole"), F.left(written, F.lit(19)).alias("short"))
+    register(spark, {"time_helper_events": rows})
+    return spark.sql("""
+        SELECT event_id, toYYYYMMDD(ts) AS day, date_format(toStartOfMinute(ts), '%s') AS minute, date_format(toStartOfDay(ts), '%s') AS midnight,
+               date_format(toDateTime(short), '%s') AS parsed, date_format(toDateTime64(whole, 3), '%s') AS parsed64,
+               date_format(toDateTime(short) + toIntervalSecond(90), '%s') AS later, toString(user_id) AS user_text
+        FROM time_helper_events""" % ((MICROS,) * 5))
+
+
 @query("formatted_sizes", """
 SELECT name, CASE WHEN b < 1048576 THEN printf('%.2f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.2f MiB', b / 1048576.0)
        ELSE printf('%.2f GiB', b / 1073741824.0) END AS readable FROM (SELECT name, CAST(size_bytes AS DOUBLE) AS b FROM snapshots)""", "snapshots")

@@ -296,7 +296,7 @@ def _(spark, sf):
                                                       "cache_ttl_seconds", "enabled")
 
 
-@query("endpoint_checks", "SELECT name, CASE WHEN enabled = 0 THEN 'name: Must be URL-safe (letters, numbers, dashes, underscores)' ELSE '' END AS errors FROM endpoints", "endpoints")
+@query("endpoint_checks", "SELECT name, CASE WHEN enabled = 0 THEN 'name: may hold only letters, digits, - and _' ELSE '' END AS errors FROM endpoints", "endpoints")
 def _(spark, sf):
     e = endpoints(spark, sf)
     spoiled = e.withColumn("shown", F.col("name")).withColumn("name", F.when(F.col("enabled") == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")))

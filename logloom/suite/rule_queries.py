@@ -56,8 +56,8 @@ def _(spark, sf):
 
 @query("rule_evaluation", """
 SELECT 'busy' AS id, n > 100 AS triggered, '' AS error FROM (SELECT count(*) AS n FROM log_events)
-UNION ALL SELECT 'text', false, 'cannot convert who to number' UNION ALL SELECT 'empty', false, 'query returned no rows'
-UNION ALL SELECT 'unknown', false, 'variable total not found in result'""", "log_events")
+UNION ALL SELECT 'text', false, 'column who holds no number' UNION ALL SELECT 'empty', false, 'query returned no rows'
+UNION ALL SELECT 'unknown', false, 'no column total in the result'""", "log_events")
 def _(spark, sf):
     """Rule SQL over the whole table, judged by its condition; errors stay with their rule."""
     ev = log_events(spark, sf)
@@ -76,7 +76,7 @@ _LINE = "CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS n, l_o
 @query("rule_conditions", f"""
 SELECT id, CASE c WHEN 0 THEN q >= 25 WHEN 1 THEN (q > 40 OR n == 1) AND q < 45 WHEN 2 THEN q != 10 AND n <= 3 WHEN 3 THEN NULL WHEN 4 THEN NULL
   ELSE n == 2 OR n == 3 END AS ok,
-  CASE c WHEN 3 THEN 'variable total not found in result' WHEN 4 THEN 'could not parse condition: q about 5' ELSE '' END AS error
+  CASE c WHEN 3 THEN 'no column total in the result' WHEN 4 THEN 'no comparison in condition: q about 5' ELSE '' END AS error
 FROM (SELECT {_LINE} FROM lineitem)""")
 def _(spark, sf):
     """One condition per row; ``||`` splits inside ``&&``."""
@@ -140,10 +140,10 @@ def _(spark, sf):
 
 @query("validated_rules", """
 SELECT id, array_to_string(list_filter([
-  CASE query WHEN '' THEN 'query: Required field' WHEN 'DELETE FROM events' THEN 'query: Only SELECT statements are allowed' END,
-  CASE WHEN condition = '' THEN 'condition: Required field' END, CASE WHEN subject = '' THEN 'subject: Required field' END,
-  CASE WHEN NOT starts_with(destination_ids, '["') AND recipients = '[]' THEN 'destination_ids: At least one destination or recipient is required' END,
-  CASE WHEN interval_seconds != 0 AND interval_seconds < 30 THEN 'interval_seconds: Interval must be at least 30 seconds' END], lambda x: x IS NOT NULL), '; ') AS errors
+  CASE query WHEN '' THEN 'query: must not be empty' WHEN 'DELETE FROM events' THEN 'query: has to begin with SELECT' END,
+  CASE WHEN condition = '' THEN 'condition: must not be empty' END, CASE WHEN subject = '' THEN 'subject: must not be empty' END,
+  CASE WHEN NOT starts_with(destination_ids, '["') AND recipients = '[]' THEN 'destination_ids: nobody to notify (no destination, no recipient)' END,
+  CASE WHEN interval_seconds != 0 AND interval_seconds < 30 THEN 'interval_seconds: below the shortest interval of 30 s' END], lambda x: x IS NOT NULL), '; ') AS errors
 FROM alerts""", "alerts")
 def _(spark, sf):
     return r.validate_rules(alerts(spark, sf)).select("id", F.array_join("errors", "; ").alias("errors"))

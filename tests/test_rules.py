@@ -21,10 +21,10 @@ def judge(spark, conditions, strict=False):
 def test_conditions(spark):
     cases = {
         "errors >= 10 && total > 100": (False, None), "errors >= 10": (True, None), "total == 80.0": (True, None), "total != 80": (False, None),
-        "errors > 50 || total < 100": (True, None), "missing > 1": (None, "variable missing not found in result"),
-        "errors": (None, "could not parse condition: errors"), "errors > ten": (None, "cannot parse comparison value: ten"),
-        "name > 1": (None, "cannot convert name to number"), "errors > 100 && missing > 1": (None, "variable missing not found in result"),
-        "errors > 1 &&": (None, "could not parse condition: ")}
+        "errors > 50 || total < 100": (True, None), "missing > 1": (None, "no column missing in the result"),
+        "errors": (None, "no comparison in condition: errors"), "errors > ten": (None, "not a number to compare with: ten"),
+        "name > 1": (None, "column name holds no number"), "errors > 100 && missing > 1": (None, "no column missing in the result"),
+        "errors > 1 &&": (None, "no comparison in condition: ")}
     assert judge(spark, cases) == list(cases.values())
 
 
