@@ -280,14 +280,17 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of a stored (doc_id, fp) table."""
+    """(fp, root, component_id) for the distinct fingerprints of a stored (doc_id, fp) table.
+
+    ``root`` is a fingerprint and tells components apart; ``component_id`` only names them (null or repeated ids may share one).
+    """
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-points")
     roots = connected(links(points, radius, shard_points))
     nodes = roots.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     members = stored(nodes.join(points, "fp"), "simhash-members")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(members.join(least, "root").select("fp", "component_id"), "simhash-named")
-    out = points.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = stored(members.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    out = points.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
     return stored(out, "simhash-components")
 
 
@@ -310,8 +313,8 @@ def dedupe(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int =
     schema = StructType([*plain.schema, StructField("fp", LongType())])
     rows = stored(plain.mapInArrow(fingerprinter(size, seed, text), schema).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
     keys = rows.select(F.col(f"_{doc}").alias("doc_id"), "fp", "row")
-    grouped = keys.join(components(keys.select("doc_id", "fp"), radius).withColumnRenamed("component_id", "c"), "fp")
-    # a component's root is a fingerprint set; the smallest id names it, the smallest row settles ties
+    grouped = keys.join(components(keys.select("doc_id", "fp"), radius).select("fp", F.col("root").alias("c")), "fp")
+    # the root tells components apart (ids may be null or repeat); the smallest id is kept, the smallest row settles ties
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
     first = grouped.groupBy("c").agg(F.min(order).alias("m")).select(F.col("m.c").alias("row"))
     return rows.join(first, "row", "left_semi").select(*(f"_{i}" for i in range(len(names)))).toDF(*names)

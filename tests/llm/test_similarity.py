@@ -77,6 +77,14 @@ def test_dedupe_keeps_one_of_each_component(docs):
     assert kept.filter("text in ('one', 'ONE')").count() == 1
 
 
+def test_dedupe_tells_components_apart_without_ids(spark):
+    texts = {n: " ".join(f"{n}{i * i % 97}" for i in range(40)) for n in "abcd"}
+    rows = [(None, texts["a"]), (None, texts["a"]), (None, texts["b"]), (5, texts["c"]), (5, texts["d"]), (6, texts["d"])]
+    kept = simhash.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == sorted(texts.values())
+    assert sorted(repr(r["doc_id"]) for r in kept) == ["5", "5", "None", "None"]
+
+
 def test_empty(docs):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.dedupe(docs.limit(0)).count() == 0
 
