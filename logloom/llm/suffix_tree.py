@@ -1,17 +1,19 @@
 """Language-model scoring with a probabilistic suffix tree, beside a word unigram baseline.
 
 The tree's symbols are the UTF-8 bytes of a text's words (A-Z lower-cased), each word followed by a blank, and an end symbol
-after the last; contexts are the up to ``depth`` bytes before a symbol, across words. A context is a candidate if it makes
-up at least the share ``least_share`` of all training positions (so each depth has at most ``1 / least_share`` candidates:
-the tree's size is bounded whatever the corpus). A candidate is retained if its next-symbol distribution diverges from that
-of its longest retained suffix by at least ``least_gain`` nats over all its occurrences, and so are the retained ones' own
-suffixes. Distributions are smoothed towards the next shorter retained suffix with weight ``types`` (Witten-Bell), the root
-towards all 257 symbols. A symbol is scored by the longest retained suffix of what precedes it.
-
-Two passes over the text. The first turns each task's documents into chunks (a dictionary of distinct words, and codes) and
-counts their (depth + 1)-grams and training words; the chunks are stored. Words and grams are then pre-aggregated per
-chunk, shuffled by themselves (a hot word is one row per chunk), and word counts return to the chunks, never to documents.
-The tree, bounded as above, is learned on the driver from candidate contexts and broadcast. The second pass scores chunks.
+after the last; contexts are the up to ``depth`` bytes before a symbol, across words. A context is a candidate if it was seen
+at least ``least_count`` times, so what the model keeps grows with the corpus. A candidate is retained if its next-symbol
+distribution diverges from that of its longest retained suffix by at least ``least_gain`` nats over all its occurrences.
+Distributions are smoothed towards the next shorter retained suffix with weight ``types`` (Witten-Bell), the root towards all
+257 symbols. A symbol is scored by the longest retained suffix of what precedes it.
+
+Three passes. The first turns each task's documents into chunks (a dictionary of distinct words, and codes), counts their
+(depth + 1)-grams and training words, and stores them. Word counts return to the chunks, never to documents. Grams are dealt
+into parts by the two symbols before the last, so that all grams of a context of two or more symbols are in one part; a
+chunk's grams of a part are one packed row. The second pass adds up each part and stores its counts; contexts of less than
+two symbols (at most 258 * 257 codes, whatever the corpus) are learned on the driver, all others part by part. The third
+joins the chunks' grams with their part's counts, learns the part's subtrees and returns a probability per distinct gram to
+the chunks, which are then scored. A task holds the distinct grams of one part and one row of a chunk at a time.
 
 Null or empty text is the end symbol alone. Rows repeat freely; ``held_out`` follows from the id (a null id is training
 text). A null id is kept. Without training rows the unigram is uniform over the unseen and the tree is its smoothed root.
@@ -34,7 +36,10 @@ from logloom.llm.common import filled, lowered, pick, split_words, stored
 END = 256
 SYMBOLS = 257
 DEPTH = 5
-LEAST_SHARE = 2e-5
+LEAST_COUNT = 2
+NEAR = 2  # symbols before the last by which grams are dealt into parts
+PARTS = 8  # parts a shuffle partition
+MERGE = 2_000_000  # grams gathered before they are added up
 LEAST_GAIN = 20.0
 CHUNK_WORDS = 1_000_000
 BASE_SMOOTHING = 0.1
@@ -103,10 +108,13 @@ def suffix(codes: np.ndarray, depth: int) -> np.ndarray:
     return codes & ((1 << (9 * depth)) - 1)
 
 
-def learn(levels: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, least_gain: float) -> Tree:
-    """``levels[d]``: sorted (context of d symbols, next symbol) codes of the candidate contexts, and their counts."""
-    tree = Tree(depth)
-    for d in range(depth + 1):
+def learn(levels: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, least_gain: float, low: Tree | None = None) -> Tree:
+    """``levels[d]``: sorted (context of d symbols, next symbol) codes of the candidate contexts, and their counts.
+
+    ``low`` is a tree of the first levels, which the new one goes on from.
+    """
+    tree = Tree(depth) if low is None else Tree(depth, *map(list, (low.contexts, low.entries, low.chances, low.escape)))
+    for d in range(len(tree.contexts), depth + 1):
         codes, counts = levels.get(d, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         contexts, first, types = np.unique(codes >> 9, return_index=True, return_counts=True)
         totals = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
@@ -146,6 +154,25 @@ def probability(tree: Tree, codes: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def level(keys: np.ndarray, counts: np.ndarray, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (context, symbol) codes of the contexts of ``depth`` symbols that were seen at least ``least`` times, and counts."""
+    codes, n = added(suffix(keys, depth + 1), counts)
+    _, owner = np.unique(codes >> 9, return_inverse=True)
+    often = np.bincount(owner, n)[owner] >= least
+    return codes[often], n[often]
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums."""
+    out, back = np.unique(keys, return_inverse=True)
+    return out, np.bincount(back, counts, len(out)).astype(np.int64)
+
+
+def part_of(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    near = (keys >> 9) & ((1 << (9 * min(NEAR, depth))) - 1)
+    return ((near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
 def piece_end(starts: np.ndarray, a: int) -> int:
     """Documents from ``a`` on with together about PIECE bytes: at least one."""
     b = int(np.searchsorted(starts, starts[a] + PIECE // 8, "right")) - 1
@@ -155,7 +182,7 @@ def piece_end(starts: np.ndarray, a: int) -> int:
 # --- first pass: chunks --------------------------------------------------------------------------------
 
 CHUNK = ("chunk bigint, doc_ids binary, no_id binary, held binary, starts binary, codes binary, words array<string>, "
-         "train array<bigint>, grams array<bigint>, gram_counts array<bigint>")
+         "train array<bigint>, low array<bigint>, low_counts array<bigint>, part array<int>, grams array<binary>, gram_counts array<binary>")
 
 
 def one_list(values: pa.Array) -> pa.Array:
@@ -171,7 +198,16 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
 
 
-def chunker(depth: int, chunk_words: int):
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as differences, all lowest bytes first."""
+    return np.diff(numbers.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1))
+
+
+def chunker(depth: int, chunk_words: int, parts_: int):
     def chunk(name: int, parts: list[tuple]) -> pa.RecordBatch:
         ids, missing, held, texts = (pa.concat_arrays(x) for x in zip(*parts))
         flat, starts = split_words(lowered(filled(texts)))
@@ -184,15 +220,21 @@ def chunker(depth: int, chunk_words: int):
         while a < len(out):  # documents in pieces of bounded size
             b = piece_end(starts, a)
             data, at = symbols(coded.dictionary, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
-            seen.append(np.unique(grams(data, at, depth)[np.repeat(~out[a:b], np.diff(at))], return_counts=True))
+            # grams of held-out documents have count 0: they are scored, not learned from
+            seen.append(added(grams(data, at, depth), np.repeat(~out[a:b], np.diff(at)).astype(np.int64)))
             a = b
-        keys, back = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
-        number = np.bincount(back, np.concatenate([n for _, n in seen]), len(keys)).astype(np.int64)
+        keys, number = added(np.concatenate([k for k, _ in seen]), np.concatenate([n for _, n in seen]))
+        low, low_number = added(suffix(keys, max(1, min(NEAR, depth))), number)
+        part = part_of(keys, depth, parts_)
+        order = np.argsort(part, kind="stable")
+        which, first = np.unique(part[order], return_index=True)
+        split = [np.split(x[order], first[1:]) for x in (keys, number)]
         single = [ids.to_numpy().tobytes(), missing.to_numpy(zero_copy_only=False).tobytes(), out.tobytes(), starts.astype(np.int64).tobytes(), planes(codes)]
         return pa.RecordBatch.from_arrays(
             [pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in single), one_list(coded.dictionary.cast(pa.string())),
-             *(one_list(pa.array(x, pa.int64())) for x in (counts, keys, number))],
-            names=["chunk", "doc_ids", "no_id", "held", "starts", "codes", "words", "train", "grams", "gram_counts"])
+             *(one_list(pa.array(x, pa.int64())) for x in (counts, low, low_number)), one_list(pa.array(which, pa.int32())),
+             *(one_list(pa.array([packed(x) for x in s], pa.binary())) for s in split)],
+            names=["chunk", "doc_ids", "no_id", "held", "starts", "codes", "words", "train", "low", "low_counts", "part", "grams", "gram_counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,12 +261,63 @@ def chunker(depth: int, chunk_words: int):
     return run
 
 
-# --- second pass: scores -------------------------------------------------------------------------------
+# --- second and third pass: parts ----------------------------------------------------------------------
+
+def run_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, grams, gram_counts) in order of parts: one row per part with its training grams and their sums."""
+    now, held, size = None, [], 0
+
+    def merged() -> list[tuple[np.ndarray, np.ndarray]]:
+        return [added(*map(np.concatenate, zip(*held)))]
+
+    def row() -> pa.RecordBatch:
+        (keys, n), = merged()
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([packed(x)], pa.binary()) for x in (keys, n))],
+                                          names=["part", "grams", "gram_counts"])
+
+    for batch in batches:
+        for part, keys, n in zip(*(batch.column(c) for c in ("part", "grams", "gram_counts"))):
+            if part.as_py() != now:
+                if held:
+                    yield row()
+                now, held, size = part.as_py(), [], 0
+            keys, n = unpacked(keys.as_py()), unpacked(n.as_py())
+            held.append((keys[n > 0], n[n > 0]))
+            size += len(keys)
+            if size > MERGE + 2 * len(held[0][0]):
+                held, size = merged(), 0
+    if held:
+        yield row()
+
+
+def run_chances(low: Tree, depth: int, least: float, least_gain: float):
+    """Of rows (part, chunk, grams, gram_counts) in order, a part's sums (no chunk) first: log10 probabilities of each chunk's grams."""
+    def grown(keys: np.ndarray, n: np.ndarray) -> Tree:
+        return learn({d: level(keys, n, d, least) for d in range(len(low.contexts), depth + 1)}, depth, least_gain, low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree = None, None
+        for batch in batches:
+            out = []
+            for part, chunk, keys, n in zip(*(batch.column(c) for c in ("part", "chunk", "grams", "gram_counts"))):
+                keys = unpacked(keys.as_py())
+                if chunk.as_py() is None:
+                    now, tree = part.as_py(), grown(keys, unpacked(n.as_py()))
+                    continue
+                if part.as_py() != now:
+                    now, tree = part.as_py(), grown(np.zeros(0, np.int64), np.zeros(0, np.int64))
+                out.append((chunk.as_py(), now, np.log10(probability(tree, keys, depth)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()))],
+                                             names=["chunk", "part", "chances"])
+    return run
+
+
+# --- last pass: scores -------------------------------------------------------------------------------
 
 SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def scorer(tree: Tree, total: int, distinct: int, ends: int):
+def scorer(depth: int, total: int, distinct: int, ends: int):
     def per_document(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
         return sums[starts[1:]] - sums[starts[:-1]]
@@ -254,12 +347,17 @@ def scorer(tree: Tree, total: int, distinct: int, ends: int):
                 each = base(counts)[codes] if len(codes) else np.zeros(0)
                 known = (counts > 0)[codes].astype(np.int64) if len(codes) else np.zeros(0, np.int64)
                 score = np.zeros(len(ids))
+                found = dict(zip(batch.column("chance_parts")[i].as_py(), batch.column("chances")[i].values))
+                known_grams = np.concatenate([unpacked(g.as_py()) for g in batch.column("grams")[i].values])
+                chance = np.concatenate([np.frombuffer(found[p].as_buffer()) for p in batch.column("part")[i].as_py()])
+                order = np.argsort(known_grams)
+                known_grams, chance = known_grams[order], chance[order]
                 a = 0
                 while a < len(ids):  # documents in pieces of bounded size
                     b = piece_end(starts, a)
                     data, at = symbols(dictionary, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
-                    keys, back = np.unique(grams(data, at, tree.depth), return_inverse=True)
-                    score[a:b] = exact_sums(np.log10(probability(tree, keys, tree.depth))[back], at)
+                    keys, back = np.unique(grams(data, at, depth), return_inverse=True)
+                    score[a:b] = exact_sums(chance[np.searchsorted(known_grams, keys)][back], at)
                     a = b
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, mask=np.frombuffer(row["no_id"], bool)), pa.array(np.frombuffer(row["held"], bool)),
@@ -269,28 +367,19 @@ def scorer(tree: Tree, total: int, distinct: int, ends: int):
     return run
 
 
-def candidates(counted: DataFrame, depth: int, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(context, symbol) counts of the contexts seen at least ``least`` times, per depth; at most total / least contexts each."""
-    out = {}
-    for d in range(depth + 1):
-        code = F.col("gram").bitwiseAND(F.lit((1 << (9 * (d + 1))) - 1))
-        level = counted.groupBy(code.alias("code")).agg(F.sum("n").alias("n"))
-        often = level.groupBy(F.shiftright("code", 9).alias("context")).agg(F.sum("n").alias("t")).filter(F.col("t") >= least)
-        rows = level.withColumn("context", F.shiftright("code", 9)).join(often.select("context"), "context", "left_semi").select("code", "n").toPandas()
-        codes, counts = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        order = np.argsort(codes)
-        out[d] = (codes[order], counts[order])
-    return out
-
+def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, least_share: float = 0.0, least_gain: float = LEAST_GAIN,
+                    chunk_words: int = CHUNK_WORDS, least_count: int = LEAST_COUNT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a condition over doc_id.
 
-def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN,
-                    chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a condition over doc_id."""
+    A ``least_share`` above 0 asks for a smaller tree: contexts below that share of all training positions are left out too.
+    """
     if depth > 6:
         raise ValueError("contexts of more than 6 symbols do not fit a long")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * partitions
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"),
                                                F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    chunks = stored(rows.mapInArrow(chunker(depth, chunk_words), CHUNK), "pst-chunks")
+    chunks = stored(rows.mapInArrow(chunker(depth, chunk_words, parts), CHUNK), "pst-chunks")
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("place", "w"))
     # a word is at most one row per chunk: its rows meet once, get their sum, and only numbers go on
     same = Window.partitionBy("word")
@@ -300,14 +389,25 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, least_share:
     sums = counts.filter("first").agg(F.sum("c"), F.count("*")).first()
     ends = rows.filter(~F.col("held_out")).count()
     total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    grams_ = chunks.select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select(F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("n"))
-    counted = stored(grams_.groupBy("gram").agg(F.sum("n").alias("n")), "pst-grams")
-    positions = counted.agg(F.sum("n")).first()[0] or 0
-    tree = learn(candidates(counted, depth, max(2.0, positions * least_share)), depth, least_gain)
+    pairs = chunks.select(F.explode(F.arrays_zip("low", "low_counts")).alias("g")).groupBy(F.col("g.low").alias("code")).agg(F.sum("g.low_counts").alias("n"))
+    seen = pairs.filter("n > 0").collect()  # at most 258 * 257 rows: contexts of one symbol
+    codes, n = (np.array([r[c] for r in seen], np.int64) for c in ("code", "n"))
+    least = max(least_count, float(n.sum()) * least_share)
+    near = min(NEAR, depth)
+    low = learn({d: level(codes, n, d, least) for d in range(near)}, near - 1, least_gain)
+    packs = chunks.select("chunk", F.inline(F.arrays_zip("part", "grams", "gram_counts")))
+    sums = stored(packs.repartition(partitions, "part").sortWithinPartitions("part").select("part", "grams", "gram_counts")
+                  .mapInArrow(run_sums, "part int, grams binary, gram_counts binary"), "pst-sums")
+    asked = sums.select(F.lit(None).cast("bigint").alias("chunk"), "part", "grams", "gram_counts").union(
+        packs.select("chunk", "part", "grams", F.lit(None).cast("binary").alias("gram_counts")))
+    chances = (asked.repartition(partitions, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
+               .mapInArrow(run_chances(low, depth, least, least_gain), "chunk bigint, part int, chances binary")
+               .groupBy("chunk").agg(F.collect_list(F.struct("part", "chances")).alias("found")))
     back = counts.groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
-    joined = chunks.select("chunk", "doc_ids", "no_id", "held", "starts", "codes", "words").join(back, "chunk", "left").select(
-        "doc_ids", "no_id", "held", "starts", "codes", "words",
+    joined = chunks.select("chunk", "doc_ids", "no_id", "held", "starts", "codes", "words", "part", "grams").join(back, "chunk", "left").join(chances, "chunk").select(
+        "doc_ids", "no_id", "held", "starts", "codes", "words", "part", "grams",
+        F.col("found.part").alias("chance_parts"), F.col("found.chances").alias("chances"),
         F.coalesce(F.col("known.place"), F.array().cast("array<int>")).alias("places"),
         F.coalesce(F.col("known.c"), F.array().cast("array<bigint>")).alias("counts"))
-    return joined.mapInArrow(scorer(tree, total, distinct, ends), SCORE).select(
+    return joined.mapInArrow(scorer(depth, total, distinct, ends), SCORE).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -175,6 +175,20 @@ def test_scores_match_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_rare_contexts_are_kept_in_a_large_corpus(spark):
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(common) for _ in range(9000)) for _ in range(40)] + ["zqxjvk zqxjvk"] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 9 * 2 < 2e-5 * sum(map(len, texts))  # a share of 2e-5 would drop every context of the rare word
+    few = spark.createDataFrame(list(enumerate(texts[-9:])), "doc_id long, text string")
+    whole, alone = ([r["score"] for r in suffix_tree.score_documents(d, F.lit(False)).filter(F.col("doc_id") >= least).collect()]
+                    for d, least in ((docs, 40), (few, 0)))
+    assert len(whole) == len(alone) == 9 and min(whole) > -12 and min(alone) > -12
+    kept = [r["score"] for r in suffix_tree.score_documents(docs, F.lit(False), least_share=2e-5).filter("doc_id >= 40").collect()]
+    assert max(kept) < min(whole) - 5
+
+
 def test_tree_is_a_distribution(spark):
     rows = [(i, "some words of a text " * (i % 4), ) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
