@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import mixing, packing, pii, simhash, toxicity
+from logloom.llm import mixing, packing, pii, simhash, similar, toxicity
 from logloom.llm.common import stored, table
 from logloom.llm.queries import WORD_TOKENIZER, remainder
 
@@ -22,6 +22,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.dedupe(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-identical fingerprints first, then what shares at least 0.8 of its five-word shingles."""
+    return similar.dedupe(drop_near_duplicates(spark, docs, sf_dir))
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask(docs, pii.fit(docs))
 
@@ -34,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, WORD_TOKENIZER)
 
 
-STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_duplicates), ("personal_data", mask_personal_data),
+STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_similar), ("personal_data", mask_personal_data),
           ("mixing", mix_sources), ("packing", pack)]
 
 #: No SQL expresses a trained model or a tokenizer; tests/llm checks the stages against brute force.

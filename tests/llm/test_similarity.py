@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from logloom.llm import ball_tree, simhash
+import corpus_pipeline
+from logloom.llm import ball_tree, simhash, similar
 
 
 def lower(text):
@@ -89,6 +90,43 @@ def test_empty(docs):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.dedupe(docs.limit(0)).count() == 0
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_match_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["", None, "one two", "ONE two", "one three"]
+    for _ in range(25):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(1, 4)):
+            copy = list(base)
+            for _ in range(max(1, len(base) * rng.choice([3, 10, 18, 22, 30, 40]) // 1000)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 9999)}"
+            texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    prints = [fingerprint(t) for t in texts]
+    assert sum(0.8 <= jaccard(sets[i], sets[j]) < 0.95 and (prints[i] ^ prints[j]).bit_count() > 4 for i, j in near) > 10
+    parent = list(range(len(sets)))
+    for i, j in near * 8:
+        parent[i] = parent[j] = min(parent[i], parent[j])
+    docs = spark.createDataFrame([(None if i == 4 else i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, row int")
+    want = sorted(repr(None if i == 4 else i) for i in set(parent))
+    for band_docs in (similar.BAND_DOCS, 2):  # with chunks of about two every band is split
+        kept = similar.dedupe(docs, band_docs)
+        assert kept.columns == docs.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == want
+    staged = [shingles(r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    assert not any(jaccard(staged[i], staged[j]) >= 0.8 for i in range(len(staged)) for j in range(i))
+    assert similar.dedupe(docs.limit(0)).count() == 0
+
+
 def clustered(rng, n):
     centres = rng.integers(0, 2**63, max(1, n // 40), dtype=np.uint64)
     points = centres[rng.integers(0, len(centres), n)]
