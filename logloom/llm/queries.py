@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import (ball_tree, chat, host_rules, mixing, packing, pii, simhash, suffix_tree, token_counts, toxicity)
+from logloom.llm import (ball_tree, chat, host_rules, mixing, packing, piece_bpe, pii, simhash, suffix_tree, token_counts, toxicity)
 from logloom.llm.common import table
 
 #: Files of public tokenizers; a user may put own files in their place.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -139,6 +140,14 @@ verdict AS (SELECT source, CASE WHEN s IS NULL THEN m ELSE (x + m * s) / (n + s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source"""
 
+
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_bpe.encode_texts(table(spark, sf_dir, "documents"), PIECE_MODEL, ["doc_id"])
+    digest = F.sha2("ids", 256).alias("ids_sha256")
+    back = piece_bpe.decode_ids(coded.select("doc_id", "n_tokens", "ids", digest), PIECE_MODEL, ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_token_counts, op4_mixing, op5_pii, op6_suffix_tree, op7_ball_tree, op8_simhash,
-                                   op9_toxicity, op10_host_rules)}
+                                   op9_toxicity, op10_host_rules, op11_piece_bpe)}
 ORACLES = {"op2_chat": OP2_SQL, "op7_ball_tree": OP7_SQL, "op10_host_rules": OP10_SQL}
