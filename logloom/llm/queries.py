@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import (ball_tree, chat, host_rules, mixing, packing, piece_bpe, pii, simhash, suffix_tree, token_counts, toxicity)
+from logloom.llm import (ball_tree, chat, host_rules, mixing, packing, piece_bpe, pii, prefix_trie, simhash, suffix_tree, token_counts, toxicity,
+                         whitening)
 from logloom.llm.common import table
 
 #: Files of public tokenizers; a user may put own files in their place.
@@ -148,6 +149,42 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.build_trie(*prefix_trie.with_shared_openings(turns))
+
+
+OP13_SQL = """
+WITH o AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS p, digest, bytes FROM (
+    SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS bytes,
+           sha256(concat(strlen(coalesce(role, '')), ':', role, text)) AS digest FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT c, count(*) AS own FROM o GROUP BY c),
+hidden AS (SELECT c, own, c - c % 5 AS base, xor(list_reduce(list_concat([4294967295], [ascii(x) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h FROM n),
+convs AS (SELECT hidden.c, h, base, least(h, coalesce(n.own, 0)) AS lent FROM hidden LEFT JOIN n ON n.c = base),
+turns AS (SELECT c, lent + p - h AS d, digest, bytes FROM o JOIN convs USING (c) WHERE p > h
+          UNION ALL SELECT convs.c, p, digest, bytes FROM o JOIN convs ON o.c = base WHERE p <= h),
+q AS (SELECT c, 0 AS d, '' AS k, 0 AS bytes FROM convs
+      UNION ALL SELECT c, d, sha256(string_agg(digest, ',') OVER (PARTITION BY c ORDER BY d)), bytes FROM turns),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM q GROUP BY d, k),
+up AS (SELECT DISTINCT a.d, a.k, b.k AS parent FROM q a JOIN q b ON a.c = b.c AND b.d = a.d - 1),
+children AS (SELECT d - 1 AS d, parent AS k, count(*) AS n_children FROM up GROUP BY d, parent),
+below AS (SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk FROM q a JOIN q b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT below.d, below.k, count(*) FILTER (children.k IS NULL) AS n_leaves, sum((n - 1) * bytes) AS saved
+         FROM below JOIN node ON node.d = bd AND node.k = bk LEFT JOIN children ON children.d = bd AND children.k = bk GROUP BY below.d, below.k),
+ends AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d, arg_max(k, d) AS k FROM q GROUP BY c) GROUP BY d, k)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM (SELECT node.*, parent FROM node LEFT JOIN up USING (d, k)) node LEFT JOIN (SELECT d AS ad, k AS ak, conv_id FROM node) above ON ad = node.d - 1 AND ak = parent
+LEFT JOIN children ON children.d = node.d AND children.k = node.k JOIN sums ON sums.d = node.d AND sums.k = node.k
+LEFT JOIN ends ON ends.d = node.d AND ends.k = node.k"""
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_token_counts, op4_mixing, op5_pii, op6_suffix_tree, op7_ball_tree, op8_simhash,
-                                   op9_toxicity, op10_host_rules, op11_piece_bpe)}
-ORACLES = {"op2_chat": OP2_SQL, "op7_ball_tree": OP7_SQL, "op10_host_rules": OP10_SQL}
+                                   op9_toxicity, op10_host_rules, op11_piece_bpe, op12_whitening, op13_prefix_trie)}
+ORACLES = {"op2_chat": OP2_SQL, "op7_ball_tree": OP7_SQL, "op10_host_rules": OP10_SQL, "op13_prefix_trie": OP13_SQL}
