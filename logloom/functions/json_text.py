@@ -66,42 +66,82 @@ def number_or_numeric_text(value: Column) -> Column:
     return F.coalesce(as_number(value), parse_float(as_text(value)))
 
 
-_GENERAL = """
-CASE WHEN {x} = 0 THEN '0'
-     WHEN abs({x}) >= 1e-3 AND abs({x}) < 1e6 THEN regexp_replace(string({x}), '[.]0$', '')
-     WHEN abs({x}) >= 1e-4 AND abs({x}) < 1e-3
-       THEN concat(if({x} < 0, '-', ''), '0.000', regexp_replace(regexp_replace(string({x}), '[-.]|E.*', ''), '0+$', ''))
-     ELSE get(transform(array(
-            if(abs({x}) >= 1e6 AND abs({x}) < 1e7,
-               concat(if({x} < 0, '-', ''), left(regexp_replace(string(abs({x})), '[.]', ''), 1), '.',
-                      substring(regexp_replace(string(abs({x})), '[.]', ''), 2), 'E6'),
-               string({x}))),
-          sci -> concat(regexp_replace(regexp_extract(sci, '^([^E]*)', 1), '[.]?0+$', ''), 'e',
-                        if(sci LIKE '%E-%', '-', '+'),
-                        lpad(regexp_extract(sci, 'E-?([0-9]+)$', 1),
-                             greatest(2, length(regexp_extract(sci, 'E-?([0-9]+)$', 1))), '0'))), 0)
-END"""
+def _shortest_sql(x: str) -> str:
+    """Scientific text of a double with as few digits as read back to it."""
+    tries = [f"format_string('%.{digits}e', {x})" for digits in (14, 15, 16)]
+    return f"CASE WHEN double({tries[0]}) = {x} THEN {tries[0]} WHEN double({tries[1]}) = {x} THEN {tries[1]} ELSE {tries[2]} END"
+
+
+def _written_sql(x: str, powered: str, exponent: str) -> str:
+    """A double in its shortest form: ``exponent`` is its exponent's text, used where ``powered`` holds for its ``power``."""
+    plain = ("CASE WHEN digits = '' THEN '0' WHEN power < 0 THEN concat('0.', repeat('0', -power - 1), digits) "
+             "WHEN length(digits) <= power + 1 THEN rpad(digits, power + 1, '0') "
+             "ELSE concat(left(digits, power + 1), '.', substring(digits, power + 2)) END")
+    scientific = f"concat(left(digits, 1), if(length(digits) > 1, concat('.', substring(digits, 2)), ''), 'e', if(power < 0, '-', '+'), {exponent})"
+    body = f"concat(if(sci LIKE '-%', '-', ''), if({x} <> 0 AND ({powered}), {scientific}, {plain}))"
+    digits = "rtrim('0', translate(split_part(sci, 'e', 1), '-.', ''))"
+    finite = let_sql(_shortest_sql(x), "sci", let_sql("int(split_part(sci, 'e', 2))", "power", let_sql(digits, "digits", body)))
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) OR abs({x}) = double('Infinity') THEN string({x}) ELSE {finite} END"
 
 
 def general_sql(x: str) -> str:
-    """Shortest form of a double: plain for 1e-4 <= |x| < 1e6, else with a signed two-digit exponent."""
-    return _GENERAL.format(x=x)
+    """Shortest form of a double: plain for 1e-4 <= |x| < 1e6, else with a signed exponent of two digits at least."""
+    return _written_sql(x, "power < -4 OR power >= 6", "lpad(string(abs(power)), greatest(2, length(string(abs(power)))), '0')")
+
+
+def number_sql(x: str) -> str:
+    """A double as JSON writes it: shortest form, plain for 1e-6 <= |x| < 1e21, else with a signed exponent."""
+    return _written_sql(x, "power < -6 OR power >= 21", "string(abs(power))")
 
 
 def general_number(x: Column) -> Column:
     return apply_sql(x, "x", general_sql("x"))
 
 
+# --- fixed values: characters that JSON text writes as escapes, and what it writes -----------------
+ESCAPED = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029"}
+# ------------------------------------------------------------------------------------------------
+
+#: A string, a number, or what stands between them. Possessive, so that long strings need no stack.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][-+.0-9eE]*+|[^"0-9-]++'
+#: Whether a text may hold something that is written in another way (long numbers, exponents, trailing zeros, escapes).
+_ODD = r"[&<>\u2028\u2029]|[0-9][eE]|[.][0-9]*0[,}\]]|[0-9.]{16}|0[.]00000"
+
+
+def _literal(text: str) -> str:
+    return "r'" + text + "'"
+
+
+def wire_sql(text: str, exact: bool) -> str:
+    """JSON text as it goes over the wire: the characters above escaped in strings, every number as ``number_sql`` writes
+    it. ``exact`` leaves whole numbers without point and exponent as they are (64-bit integers); otherwise all are doubles.
+
+    One test decides whether a text needs any of this; most do not.
+    """
+    string = "tok"
+    for char, written in ESCAPED.items():
+        string = f"replace({string}, '{char}', r'{written}')"
+    odd = "tok RLIKE '[.eE]'" + ("" if exact else " OR length(tok) >= 16")
+    token = (f"CASE WHEN left(tok, 1) = '\"' THEN {string} WHEN tok RLIKE '^-?[0-9]' AND ({odd}) THEN "
+             + let_sql("double(tok)", "num", number_sql("num")) + " ELSE tok END")
+    tokens = f"transform(regexp_extract_all({text}, {_literal(_TOKEN)}, 0), tok -> {token})"
+    return f"if({text} RLIKE {_literal(_ODD)}, array_join({tokens}, ''), {text})"
+
+
+def wire_form(text: Column, exact: bool = False) -> Column:
+    """``wire_sql`` of a column that is computed once."""
+    return apply_sql(text, "t", wire_sql("t", exact))
+
+
+_WHOLE = "if(d = floor(d) AND abs(d) < double(9223372036854775807L), string(bigint(d)), " + general_sql("d") + ")"
 _DISPLAY = f"""
 CASE left(schema_of_variant(v), 3)
   WHEN 'STR' THEN try_variant_get(v, '$', 'string')
-  WHEN 'BIG' THEN try_variant_get(v, '$', 'string')
   WHEN 'BOO' THEN try_variant_get(v, '$', 'string')
   WHEN 'VOI' THEN 'null'
-  WHEN 'OBJ' THEN to_json(v)
-  WHEN 'ARR' THEN to_json(v)
-  ELSE {let_sql("try_variant_get(v, '$', 'double')", "d",
-                "if(d = floor(d) AND abs(d) < 9.2e18, string(bigint(d)), " + general_sql("d") + ")")}
+  WHEN 'OBJ' THEN {let_sql("to_json(v)", "j", wire_sql("j", False))}
+  WHEN 'ARR' THEN {let_sql("to_json(v)", "j", wire_sql("j", False))}
+  ELSE {let_sql("try_variant_get(v, '$', 'double')", "d", _WHOLE)}
 END"""
 
 
@@ -115,20 +155,6 @@ def canonical(members: Column) -> Column:
     return F.when(F.coalesce(F.size(members), F.lit(0)) <= 0, F.lit("{}")).otherwise(wire_form(F.to_json(members)))
 
 
-# --- fixed values: characters that JSON text writes as escapes, and what it writes -----------------
-ESCAPED = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029"}
-# ------------------------------------------------------------------------------------------------
-
-
-def wire_form(text: Column) -> Column:
-    """JSON text with the characters above escaped (they occur in strings only) and whole numbers without ``.0``."""
-    for char, written in ESCAPED.items():
-        text = F.replace(text, F.lit(char), F.lit(written))
-    # strings are matched first and kept, so that only numbers change
-    return F.regexp_replace(
-        text, r'("(?:[^"\\]|\\.)*")|(-?[0-9]+)\.0(?=[,}\]])', "$1$2")
-
-
 def without(members: Column, keys: list[str]) -> Column:
     return F.map_filter(members, lambda k, _: ~k.isin(*keys)) if keys else members
 
@@ -152,9 +178,10 @@ def missing_entries(members: Column, extra: Column) -> Column:
 
 
 def without_entries(members: Column, needed: Column) -> Column:
-    """Canonical text of the members whose key is not among ``needed``."""
+    """JSON text of the members whose key is not among ``needed``, for ``filled``."""
     has = F.coalesce(F.size(needed), F.lit(0)) > 0
-    return F.when(has, F.to_json(F.map_filter(members, lambda k, _: ~F.map_contains_key(needed, k)))).otherwise(canonical(members))
+    kept = F.when(has, F.map_filter(members, lambda k, _: ~F.map_contains_key(needed, k))).otherwise(members)
+    return F.coalesce(F.to_json(kept), F.lit("{}"))
 
 
 def filled(own: Column, added: Column) -> Column:
@@ -164,4 +191,4 @@ def filled(own: Column, added: Column) -> Column:
     """
     head = F.when(own == "{}", F.lit("{")).otherwise(F.concat(F.left(own, F.length(own) - 1), F.lit(",")))
     merged = F.to_json(F.parse_json(F.concat(head, F.substring(added, F.lit(2), F.length(added)))))
-    return F.when(F.coalesce(added, F.lit("{}")) == "{}", own).otherwise(merged)
+    return wire_form(F.when(F.coalesce(added, F.lit("{}")) == "{}", own).otherwise(merged))

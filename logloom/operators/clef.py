@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from logloom.functions.base import let, text_or_empty
 from logloom.functions.json_text import as_text, filled, object_members, render_template, without
 from logloom.functions.timeparse import rfc3339
-from logloom.schema import MAX_LINE_BYTES
 
 # --- fixed values: reserved member names ----------------------------------------------------------
 RESERVED = ["@t", "@l", "@mt", "@m", "@x", "@i"]
@@ -21,11 +20,6 @@ def split_lines(body: Column) -> Column:
     return F.filter(trimmed, lambda line: line != "")
 
 
-def has_oversize_line(body: Column) -> Column:
-    return (F.octet_length(body) >= MAX_LINE_BYTES) & F.exists(
-        F.split(body, "\n"), lambda line: F.octet_length(line) >= MAX_LINE_BYTES)
-
-
 def member_text(members: Column, key: str) -> Column:
     return as_text(F.try_element_at(members, F.lit(key)))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.base import apply_sql, let, let_sql, nonempty, text_or_empty
-from logloom.functions.json_text import canonical, general_sql
+from logloom.functions.json_text import general_sql, wire_form, wire_sql
 from logloom.functions.timeparse import nanos_text
 from logloom.schema import OTLP_LOGS, OTLP_TRACES
 
@@ -18,8 +19,6 @@ SPAN_KINDS = ["UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUM
 SPAN_TEMPLATE = "{Name} [{Kind}] {Status}"
 SEVERITY_GROUPS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
 # ------------------------------------------------------------------------------------------------
-NESTING = 3
-
 
 def _hex_sql(text: str) -> str:
     """Bytes fields are Base64 in the JSON form (either alphabet, padding optional)."""
@@ -35,61 +34,84 @@ def _get(v: str, path: str, kind: str) -> str:
     return f"try_variant_get({v}, '$.{path}', '{kind}')"
 
 
-def _last_wins_sql(pairs: str, tag: str) -> str:
-    """Key-value structs to a map with ascending keys; the last value of a repeated key wins."""
-    p, k = f"p{tag}", f"k{tag}"
-    keys = f"array_sort(array_distinct(transform({pairs}, {p} -> {p}.key)))"
-    last = f"coalesce(element_at(filter({pairs}, {p} -> {p}.key = {k}), -1).value, parse_json('null'))"
-    return f"map_from_arrays({keys}, transform({keys}, {k} -> {last}))"
-
-
-def _plain_sql(v: str, depth: int) -> str:
-    """A typed value as ordinary JSON (SQL text); the members of lists are converted by the same text one level down."""
-    number = let_sql(_get(v, "doubleValue", "double"), f"n{depth}",
-                     f"if(n{depth} = floor(n{depth}) AND abs(n{depth}) < 9e15, cast(try_cast(n{depth} AS bigint) AS variant),"
-                     f" cast(n{depth} AS variant))")
-    scalar = (f"cast({_get(v, 'stringValue', 'string')} AS variant), cast({_get(v, 'intValue', 'bigint')} AS variant), {number}, "
-              f"cast({_get(v, 'boolValue', 'boolean')} AS variant), cast({_hex_sql(_get(v, 'bytesValue', 'string'))} AS variant)")
-    if depth == 0:
-        return f"coalesce({scalar}, {v})"
-    q, e, x, i, z = (f"{c}{depth}" for c in "qexiz")
-    pairs = _get(v, "kvlistValue.values", "array<variant>")
-    items = f"coalesce({_get(v, 'arrayValue.values', 'array<variant>')}, transform({q}, {e} -> {_get(e, 'value', 'variant')}))"
-    inner = f"transform({items}, {x} -> coalesce({_plain_sql(x, depth - 1)}, parse_json('null')))"
-    keyed = let_sql(f"zip_with({q}, {i}, ({e}, {z}) -> named_struct('key', coalesce({_get(e, 'key', 'string')}, ''), 'value', {z}))",
-                    f"w{depth}", f"to_variant_object({_last_wins_sql(f'w{depth}', str(depth))})")
-    shaped = (f"CASE WHEN {i} IS NULL THEN coalesce(if({_get(v, 'arrayValue', 'variant')} IS NOT NULL, parse_json('[]'), NULL),"
-              f" if({_get(v, 'kvlistValue', 'variant')} IS NOT NULL, parse_json('{{}}'), NULL))"
-              f" WHEN {q} IS NOT NULL THEN {keyed} ELSE to_variant_object({i}) END")
-    return f"coalesce({scalar}, {let_sql(pairs, q, let_sql(inner, i, shaped))})"
-
-
-def plain_value(value: Column, depth: int = NESTING) -> Column:
-    """A typed attribute value as ordinary JSON; lists and key-value lists to ``depth`` levels, deeper ones as they are."""
-    return apply_sql(value, "v", _plain_sql("v", depth))
+# --- typed values to ordinary JSON, as one pass over the JSON text ---------------------------------
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: Rewriting steps in order. In the text, brackets inside strings are escaped, so all brackets are structure. The marks are
+#: control characters, which JSON text never holds: 1 the end of a list (of values or of entries), 2 an empty object,
+#: 3 and 4 the opening and closing bracket of an object.
+_STEPS = [
+    (rf'\{{"(?:stringValue|bytesValue)":({_STRING})\}}', "$1"),
+    (r'\{"boolValue":(true|false)\}', "$1"),
+    (r'\{"intValue":"?(-?[0-9]++)"?\}', "$1"),
+    (r'\{"doubleValue":"?(-?[0-9.]++[eE][-+]?[0-9]++)"?\}', "$1"),
+    (r'\{"doubleValue":"?(-?[0-9.]++)"?\}', "$1e0"),
+    (r'\{(?:"[a-z]+Value":null)?\}', "null"),
+    (r'\{"arrayValue":(?:null|\{"values":\[\]\})\}', "[]"),
+    (r'\{"kvlistValue":(?:null|\{"values":\[\]\})\}', "\u0002"),
+    (rf'\{{"key":({_STRING})\}}', '{"key":$1,"value":null}'),
+    (r'\{"value":', '{"key":"","value":'),
+    (r'\{"arrayValue":\{"values":\[', "["),
+    (r'\{"kvlistValue":\{"values":\[', "\u0003"),
+    # what is left of closing brackets: those of lists, three at a time, and those of entries
+    (r"\]\}\}", "\u0001"),
+    ("\\}\u0001", "\u0004"),
+    ("\u0001", "]"),
+    (rf'\{{"key":({_STRING}),"value":', "$1:"),
+    (r"\},", ","),
+    ("\u0002", "{}"),
+    ("\u0003", "{"),
+    ("\u0004", "}"),
+]
+
+
+def _listed_sql(v: str) -> str:
+    """A typed list or key-value list of any depth as ordinary JSON; a value of another shape stays as it is."""
+    escaped = "t"
+    for char in "{}[]":
+        escaped = f"replace({escaped}, '{char}', r'\\u{ord(char):04x}')"
+    # the Base64 text of a bytes value follows its name and a colon
+    is_bytes = "i > 1 AND get(all, i - 1) = ':' AND get(all, i - 2) = '\"bytesValue\"'"
+    base64 = "concat('\"', " + _hex_sql("substring(t, 2, length(t) - 2)") + ", '\"')"
+    tokens = f"transform(all, (t, i) -> CASE WHEN left(t, 1) <> '\"' THEN t WHEN {is_bytes} THEN {base64} ELSE {escaped} END)"
+    text = let_sql(f"regexp_extract_all(to_json({v}), r'{_STRING}|[^\"]++', 0)", "all", f"array_join({tokens}, '')")
+    for pattern, written in _STEPS:
+        text = f"regexp_replace({text}, r'{pattern}', '{written}')"
+    return f"coalesce(try_parse_json({text}), {v})"
+
+
+def _plain_sql(v: str) -> str:
+    """A typed value as ordinary JSON (SQL text)."""
+    kinds = [("stringValue", "string"), ("intValue", "bigint"), ("doubleValue", "double"), ("boolValue", "boolean")]
+    scalars = ", ".join(f"cast({_get(v, path, kind)} AS variant)" for path, kind in kinds)
+    listed = (f"CASE WHEN {_get(v, 'arrayValue', 'variant')} IS NOT NULL OR {_get(v, 'kvlistValue', 'variant')} IS NOT NULL "
+              f"THEN {_listed_sql(v)} ELSE {v} END")
+    return f"coalesce({scalars}, cast({_hex_sql(_get(v, 'bytesValue', 'string'))} AS variant), {listed})"
+
+
+def plain_value(value: Column) -> Column:
+    """A typed attribute value as ordinary JSON; lists and key-value lists at every depth."""
+    return apply_sql(value, "v", _plain_sql("v"))
 
 
 def plain_text(value: Column) -> Column:
     """A typed value as message text: scalars as they are, others as JSON, a missing value as ''."""
     number = let_sql(_get("v", "doubleValue", "double"), "n", general_sql("n"))
+    json = let_sql(f"to_json(coalesce({_plain_sql('v')}, parse_json('null')))", "j", wire_sql("j", True))
     return apply_sql(value, "v", f"if(v IS NULL, '', coalesce({_get('v', 'stringValue', 'string')},"
                      f" string({_get('v', 'intValue', 'bigint')}), {number}, {_get('v', 'boolValue', 'string')},"
-                     f" {_hex_sql(_get('v', 'bytesValue', 'string'))}, to_json(coalesce({_plain_sql('v', NESTING)}, parse_json('null')))))")
-
-
-def last_wins(pairs: Column) -> Column:
-    """Key-value structs to a map with ascending keys; the last value of a repeated key wins."""
-    return apply_sql(pairs, "w", _last_wins_sql("w", ""))
+                     f" {_hex_sql(_get('v', 'bytesValue', 'string'))}, {json}))")
 
 
-def _number(x: Column) -> Column:
-    whole = (x == F.floor(x)) & (F.abs(x) < 9.0e15)
-    return F.when(whole, x.try_cast("bigint").cast("variant")).otherwise(x.cast("variant"))
+def properties_text(pairs: Column) -> Column:
+    """Key-value structs as canonical JSON text, keys ascending; the last value of a repeated key wins (by the session's
+    ``spark.sql.mapKeyDedupPolicy``, see ``RUNTIME_CONF``)."""
+    whole = F.to_json(F.to_variant_object(F.map_from_entries(pairs)))
+    return F.when(F.size(pairs) > 0, wire_form(whole, exact=True)).otherwise("{}")
 
 
 def attribute_pairs(attributes: Column) -> Column:
     plain = F.transform(attributes, lambda a: F.struct(
-        text_or_empty(a["key"]).alias("key"), plain_value(a["value"]).alias("value")))
+        text_or_empty(a["key"]).alias("key"), F.coalesce(plain_value(a["value"]), F.parse_json(F.lit("null"))).alias("value")))
     return F.coalesce(plain, F.array().cast("array<struct<key:string,value:variant>>"))
 
 
@@ -142,13 +164,18 @@ def _records(groups: Column, scopes: str, records: str) -> Column:
     return F.flatten(F.transform(groups, of_resource))
 
 
-def flatten_logs(body: Column) -> Column:
-    """All log records of a request, each with its resource's service name."""
-    return let(F.from_json(body, OTLP_LOGS)["resourceLogs"], lambda groups: _records(groups, "scopeLogs", "logRecords"))
+def _groups(parsed: Column, schema: T.StructType) -> Column:
+    """The resources of a request that ``strict_json`` has parsed."""
+    return F.try_variant_get(parsed, f"$[0].{schema[0].name}", schema[0].dataType.simpleString())
+
+
+def flatten_logs(parsed: Column) -> Column:
+    """All log records of a parsed request, each with its resource's service name."""
+    return let(_groups(parsed, OTLP_LOGS), lambda groups: _records(groups, "scopeLogs", "logRecords"))
 
 
-def flatten_spans(body: Column) -> Column:
-    return let(F.from_json(body, OTLP_TRACES)["resourceSpans"], lambda groups: _records(groups, "scopeSpans", "spans"))
+def flatten_spans(parsed: Column) -> Column:
+    return let(_groups(parsed, OTLP_TRACES), lambda groups: _records(groups, "scopeSpans", "spans"))
 
 
 def _scopes(scopes: Column) -> Column:
@@ -166,7 +193,7 @@ def log_fields(record: Column, source: Column) -> dict[str, Column]:
         "exception": F.lit(""),
         "given_type": F.lit(""),
         "source": F.coalesce(record["service"], source),
-        "properties": canonical(last_wins(attribute_pairs(item["attributes"]))),
+        "properties": properties_text(attribute_pairs(item["attributes"])),
     }
 
 
@@ -185,7 +212,7 @@ def span_fields(record: Column, source: Column) -> dict[str, Column]:
                 _pair("spanId", text_or_empty(_hex_bytes(item["spanId"])))),
         F.when(parent != "", F.array(_pair("parentSpanId", parent))).otherwise(none),
         F.when((start > 0) & (end > 0), F.array(F.struct(
-            F.lit("durationMs").alias("key"), _number((end - start).cast("double") / F.lit(1e6)).alias("value")))).otherwise(none))
+            F.lit("durationMs").alias("key"), ((end - start).cast("double") / F.lit(1e6)).cast("variant").alias("value")))).otherwise(none))
     return {
         "timestamp": nanos_text(item["startTimeUnixNano"]),
         "level": F.when(item["status"]["code"].isin("2", "STATUS_CODE_ERROR"), "Error").otherwise("Information"),
@@ -194,5 +221,5 @@ def span_fields(record: Column, source: Column) -> dict[str, Column]:
         "exception": F.lit(""),
         "given_type": F.lit(""),
         "source": F.coalesce(record["service"], source),
-        "properties": canonical(last_wins(pairs)),
+        "properties": properties_text(pairs),
     }

@@ -57,17 +57,18 @@ def _records(payloads: DataFrame) -> DataFrame:
     """
     form, body, ok = F.col("format"), F.col("body"), F.col("reason").isNull()
     line_based = form.isin(CLEF, WEBHOOK)
-    staged = payloads.withColumn("lines", F.when(ok & line_based, clef.split_lines(body)))
-    no_json = form.isin(OTLP_LOGS, OTLP_TRACES) & ~is_whole(strict_json(body))
+    request = form.isin(OTLP_LOGS, OTLP_TRACES)
+    staged = payloads.withColumns({"lines": F.when(ok & line_based, clef.split_lines(body)),
+                                   "parsed": F.when(ok & request, strict_json(body))})
+    no_json = request & ~is_whole(F.col("parsed"))
     reason = (F.when(~ok, F.col("reason"))
               .when(~form.isin(*FORMATS), F.concat(F.lit("unknown format: "), form))
-              .when(line_based & clef.has_oversize_line(body), "line too long")
               .when((form == CLEF) & (F.size("lines") > 0) & ~clef.any_valid(F.col("lines")), "all lines failed")
               .when(no_json, "bad request json"))
     records = (F.when(F.col("why").isNotNull(), F.array(_record(reason=F.col("why"), raw=F.col("raw"))))
                .when(line_based, F.transform("lines", lambda line: _record(line=line)))
-               .when(form == OTLP_LOGS, F.transform(otlp.flatten_logs(body), lambda r: _record(log=r)))
-               .otherwise(F.transform(otlp.flatten_spans(body), lambda r: _record(span=r))))
+               .when(form == OTLP_LOGS, F.transform(otlp.flatten_logs(F.col("parsed")), lambda r: _record(log=r)))
+               .otherwise(F.transform(otlp.flatten_spans(F.col("parsed")), lambda r: _record(span=r))))
     return staged.withColumn("why", reason).select(*_CARRIED, records.alias("records"))
 
 

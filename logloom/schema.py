@@ -10,7 +10,6 @@ ERROR_LEVELS = ["Error", "Fatal"]
 PROBLEM_LEVELS = ["Error", "Fatal", "Warning"]
 FORMATS = ["clef", "webhook", "otlp-logs", "otlp-traces"]
 TIMESTAMP_PATTERN = "yyyy-MM-dd HH:mm:ss"
-MAX_LINE_BYTES = 1024 * 1024
 # ------------------------------------------------------------------------------------------------
 
 EVENT_COLUMNS = [

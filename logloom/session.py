@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# All timestamps are UTC; duplicate JSON keys keep the last value.
+# All timestamps are UTC; duplicate JSON and map keys keep the last value.
 RUNTIME_CONF = {
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.plans.ingest import dead_letters_of, events_of, parse_messages
-from logloom.schema import MAX_LINE_BYTES
 
 NOW = "2026-02-01 00:00:00"
 ADDED = {"rack": "r-17", "zone": "north", "canary": "no", "build": "2.4.1"}
@@ -83,9 +82,25 @@ def test_duplicate_member_last_wins(parse):
     assert rows[0]["properties"] == '{"a":2}'
 
 
-def test_oversize_line_rejects_payload(parse):
-    parsed = parse(clef(line(), line(big="x" * MAX_LINE_BYTES)), envelope("webhook", '{"a":"' + "x" * MAX_LINE_BYTES + '"}'))
-    assert [r.reason for r in dead_letters_of(parsed).collect()] == ["line too long"] * 2
+def test_a_long_line_costs_nothing(parse):
+    parsed = parse(clef(line(), line(big="x" * 3_000_000), "{"), envelope("webhook", '{"a":"' + "\\n<" * 500_000 + '"}'))
+    assert dead_letters_of(parsed).count() == 0
+    assert sorted(len(r["properties"]) for r in events(parsed)) == [2, 3_000_010, 8 + 8 * 500_000]
+
+
+@pytest.mark.parametrize("given,written,shown", [
+    ("1.5e10", "15000000000", "15000000000"), ("1e21", "1e+21", "1e+21"), ("1e-7", "1e-7", "1e-07"), ("1e7", "10000000", "10000000"),
+    ("123456789012345678901", "123456789012345680000", "1.2345678901234568e+20"), ("12345678901234567", "12345678901234568", "12345678901234568"),
+    ("1.50", "1.5", "1.5"), ("0.000001", "0.000001", "1e-06"), ("0.00000012345", "1.2345e-7", "1.2345e-07"), ("2e23", "2e+23", "2e+23"),
+    ("-12.5E+2", "-1250", "-1250"), ("0.30000000000000004", "0.30000000000000004", "0.30000000000000004"), ("100", "100", "100"),
+    ("1234567.5", "1234567.5", "1.2345675e+06"), ("9007199254740993", "9007199254740992", "9007199254740992")])
+def test_number_text(parse, given, written, shown):
+    rows = events(parse(envelope("webhook", '{"n":[%s,"%s"]}' % (given, given)),
+                        clef('{"@t":"2026-01-01T00:00:00Z","@mt":"{n} {o}","n":%s,"o":[%s]}' % (given, given), enrich={"rack": "<r>"})))
+    texts = {r["message_template"]: r for r in rows}
+    assert texts[""]["properties"] == texts[""]["message"] == '{"n":[%s,"%s"]}' % (written, given)
+    assert texts["{n} {o}"]["message"] == f"{shown} [{written}]"
+    assert texts["{n} {o}"]["properties"] == '{"n":%s,"o":[%s],"rack":"\\u003cr\\u003e"}' % (written, written)
 
 
 def test_webhook_times(parse):
@@ -122,6 +137,28 @@ def test_otlp_values(parse):
     assert (rows[1]["level"], rows[1]["message"], rows[1]["event_type"], str(rows[1]["timestamp"])) == ("Information", "", "", NOW)
 
 
+def test_otlp_values_of_any_depth(parse):
+    def plain(value):
+        kind, held = next(iter(value.items()), (None, None))
+        if kind == "arrayValue":
+            return [plain(v) for v in held.get("values", [])]
+        if kind == "kvlistValue":
+            return {e.get("key", ""): plain(e.get("value", {})) for e in held.get("values", [])}
+        return {"AQI=": "0102"}.get(held, int(held) if kind == "intValue" else held)
+
+    deep = {"stringValue": "]}}{\"key\":\u2028 &"}
+    for level in range(12):
+        deep = {"arrayValue": {"values": [deep, {}, {"kvlistValue": {"values": [
+            {"key": "a}", "value": deep if level < 6 else {"boolValue": True}}, {"key": "gone"}, {"value": {"intValue": "9223372036854775807"}},
+            {"key": "twice", "value": {"intValue": 1}}, {"key": "twice", "value": {"doubleValue": 2.5}}, {"key": "b", "value": {"bytesValue": "AQI="}},
+            {"key": "bytesValue", "value": {"stringValue": "bytesValue"}}, {"key": "e", "value": {"kvlistValue": {}}}]}}, {"arrayValue": {}}]}}
+    odd = {"arrayValue": {"values": [{"unheardOf": 1}]}}
+    record = {"body": deep, "attributes": [{"key": "deep", "value": deep}, {"key": "odd", "value": odd}, {"key": "huge", "value": {"doubleValue": 1e22}}]}
+    row, = events(parse(envelope("otlp-logs", {"resourceLogs": [{"scopeLogs": [{"logRecords": [record]}]}]})))
+    assert json.loads(row["properties"]) == {"deep": plain(deep), "odd": odd, "huge": 1e22}
+    assert json.loads(row["message"]) == plain(deep) and '"huge":1e+22' in row["properties"] and "\\u0026" in row["message"]
+
+
 @pytest.mark.parametrize("number,level", [(0, "Information"), (1, "Verbose"), (4, "Verbose"), (5, "Debug"), (8, "Debug"), (9, "Information"),
                                           (12, "Information"), (13, "Warning"), (16, "Warning"), (17, "Error"), (20, "Error"), (21, "Fatal")])
 def test_severity_numbers(spark, number, level):
