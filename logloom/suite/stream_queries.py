@@ -12,7 +12,7 @@ from logloom.operators.search import newest_first
 from logloom.session import scratch
 from logloom.streaming import jobs
 from logloom.suite.base import AS_OF, CTES, TEXT_TIME, log_events, query
-from logloom.suite.ingest_queries import clef_messages, mixed_messages
+from logloom.suite.ingest_queries import _ID, _N, LINES_PER_MESSAGE, clef_messages, mixed_messages
 from logloom.suite.rule_queries import SPECS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,6 +26,17 @@ def event_stream(spark, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def kept(spark, sf: str, upkeep) -> DataFrame:
+    """Buckets kept over events that land in four batches, each with rows of all days: most come a day late or more."""
+    path, table = scratch(spark, "landed"), scratch(spark, "buckets")
+    events = log_events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    events.repartition(4, F.crc32("id")).withColumn("dt", F.to_date("timestamp")).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    upkeep(lambda s: s.read.schema(schema).parquet(path), table).run(stream, scratch(spark, "buckets-checkpoint")).awaitTermination()
+    return jobs.kept_buckets(spark, table)
+
+
 def finish(stream: DataFrame, label: str) -> DataFrame:
     spark = stream.sparkSession
     out = scratch(spark, label)
@@ -56,32 +67,35 @@ def _(spark, sf):
 
 
 @query("stream_rolling_metrics", f"""
-SELECT strftime(b, {TEXT_TIME}) AS bucket, n AS count, errors, warnings FROM (
-  SELECT date_trunc('minute', timestamp) AS b, count(*) AS n, count(*) FILTER (WHERE level IN ('Error', 'Fatal')) AS errors,
-         count(*) FILTER (WHERE level = 'Warning') AS warnings FROM log_events GROUP BY 1)
-WHERE b + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(timestamp)) FROM log_events) - INTERVAL 10 MINUTE""", "log_events")
+SELECT strftime(date_trunc('minute', timestamp), {TEXT_TIME}) AS bucket, count(*) AS count, count(*) FILTER (WHERE level IN ('Error', 'Fatal')) AS errors,
+       count(*) FILTER (WHERE level = 'Warning') AS warnings FROM log_events GROUP BY 1""", "log_events")
 def _(spark, sf):
-    """Windows appear once the watermark (newest event less ten minutes) has passed their end."""
-    return jobs.shown(finish(jobs.rolling_metrics(event_stream(spark, sf)), "rolling"))
+    """Every window of the whole table, the last ones and those of late rows included."""
+    return jobs.shown(kept(spark, sf, jobs.rolling_metrics))
 
 
 @query("stream_sliding_rule", f"""
 SELECT strftime(e, {TEXT_TIME}) AS evaluated_at, count(*) AS cnt FROM (
-  SELECT timestamp, unnest(generate_series(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE, date_trunc('minute', timestamp) + INTERVAL 5 MINUTE,
-         INTERVAL 1 MINUTE)) AS e FROM log_events WHERE level = 'Error')
-WHERE e <= (SELECT date_trunc('millisecond', max(timestamp)) FROM log_events) - INTERVAL 10 MINUTE GROUP BY e""", "log_events")
+  SELECT unnest(generate_series(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE, date_trunc('minute', timestamp) + INTERVAL 5 MINUTE,
+         INTERVAL 1 MINUTE)) AS e FROM log_events WHERE level = 'Error') GROUP BY e""", "log_events")
 def _(spark, sf):
-    """Every event moves the watermark, so all windows but those of the last ten minutes come out."""
-    counts = finish(jobs.sliding_rule(event_stream(spark, sf), LogQuery(level="Error")), "sliding")
-    return counts.select(show_ts(F.col("evaluated_at")).alias("evaluated_at"), "cnt")
+    """Every window that holds a match, however late it came."""
+    counts = kept(spark, sf, lambda events, table: jobs.sliding_rule(events, table, LogQuery(level="Error")))
+    return counts.select(show_ts(F.col("bucket_end")).alias("evaluated_at"), "cnt")
 
 
-@query("stream_tail", "SELECT id FROM log_events WHERE source = 'svc-6' ORDER BY timestamp DESC, id LIMIT 500", "log_events")
+@query("stream_tail", f"""
+SELECT id FROM (SELECT {_ID} AS id, date_trunc('millisecond', timestamp) AS t FROM log_events WHERE ({_N} // {LINES_PER_MESSAGE}) % 3 = 1)
+ORDER BY t DESC, id LIMIT 500""", "log_events")
 def _(spark, sf):
-    """Every event arrives twice, each id is shown once; the page keeps the newest 500."""
-    stream = event_stream(spark, sf)
-    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return newest_first(finish(jobs.tail(twice, LogQuery("svc-6")), "tail"), 500).select("id")
+    """Every message is delivered twice, each id lands and is shown once; the page keeps the newest 500."""
+    inbox, root = scratch(spark, "inbox"), scratch(spark, "landing")
+    messages = clef_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body"))
+    for _ in range(2):
+        messages.coalesce(1).write.mode("append").json(inbox)
+    jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" "), max_files=1).awaitTermination()
+    landed = spark.readStream.schema(jobs.STORED).parquet(root).filter(F.col("outcome") == jobs.EVENTS)
+    return newest_first(finish(jobs.tail(landed, LogQuery("app-1")), "tail"), 500).select("id")
 
 
 @query("stream_tick", """
