@@ -4,19 +4,23 @@ Documents whose sets of five-word shingles have a similarity of ``LEAST`` or mor
 reach. Candidates share one of ``BANDS`` bands of ``BAND_ROWS`` min-hashes (a pair at 0.8 is missed with probability
 (1 - 0.8**4)**24, about 3 in a million, less above); each link is checked on the exact sets before it counts.
 
-Only documents that share a band with another have their sets sent to the bands. Inside a band pairs that are already
-connected are skipped, so a large group of near copies costs no quadratic work and gives at most one edge a document; a band
-of more than ``band_docs`` documents is split into chunks, and every pair of chunks is a group of its own: same links.
+Documents with equal sets are one from the start. The bands are then taken in ``ROUNDS``: after each, what its links connect
+is one component, and a band all of whose documents are in one component is not looked at again. So most documents have
+their sets sent to one band, not to every band they share. Inside a band pairs that are already connected are skipped, so a
+large group of near copies costs no quadratic work and gives at most one edge a document; a band of more than ``band_docs``
+documents is split into chunks, and every pair of chunks is a group of its own: same links.
 
 Texts without words are copies of each other. Repeated rows and null ids are fine. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,10 @@ from logloom.llm.simhash import ROWS, SEED, connected, shingle_hashes
 SHINGLE = 5
 LEAST = (4, 5)
 BANDS, BAND_ROWS = 24, 4
+ROUNDS = [(0, 1), (1, 4), (4, BANDS)]
 BAND_DOCS = 2000
 PIECE = 10_000  # shingles hashed at a time
+SETS = 64  # sets sent at a time
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -49,17 +55,27 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def run_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def run_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each text's set, and its bands."""
     for batch in batches_of(batches, ROWS):
         sets = shingle_sets(batch.column("text"))
-        keys = np.concatenate([bands_of(s) for s in sets]) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("row").to_numpy(), BANDS)), pa.array(keys)], names=["row", "band"])
+        whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        bands = pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.binary()), bands], names=["row", "whole", "bands"])
 
 
 def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_of(batches, ROWS):
+    """The set of each text once for every group it goes to."""
+    names = ["shard", "side", "row", "component", "shingles"]
+    for batch in batches_of(batches, SETS):
         sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), sets], names=["row", "shingles"])
+        groups = batch.column("groups")
+        at = pc.list_parent_indices(groups)
+        flat = groups.flatten()
+        for start in range(0, len(at), SETS):
+            part = at.slice(start, SETS)
+            yield pa.RecordBatch.from_arrays([flat.field("shard").slice(start, SETS), flat.field("side").slice(start, SETS),
+                                              batch.column("row").take(part), batch.column("component").take(part), sets.take(part)], names=names)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -67,10 +83,10 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
-def checked(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``, or between the sides 1 and 2 only."""
+def checked(sets: list[np.ndarray], side: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``sets``, or between the sides 1 and 2 only, beyond what is connected already."""
     size = np.array([len(s) for s in sets])
-    root, out = np.arange(len(sets)), []
+    root, out = np.unique(component, return_inverse=True)[1], []
     for i in range(1, len(sets)):
         open_ = (LEAST[1] * np.minimum(size[:i], size[i]) >= LEAST[0] * np.maximum(size[:i], size[i])) & ((side[:i] != side[i]) | (side[i] == 0))
         left = np.flatnonzero(open_ & (root[:i] != root[i]))
@@ -88,34 +104,56 @@ def run_checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def settled() -> pa.RecordBatch:
-        rows = [r for r, _, _ in held]
-        pairs = checked([s for _, _, s in held], np.array([side for _, side, _ in held]))
+        side, rows, component, sets = zip(*held)
+        pairs = checked(list(sets), np.array(side), np.array(component))
         return pa.RecordBatch.from_arrays([pa.array([rows[i] for i, _ in pairs], pa.int64()), pa.array([rows[j] for _, j in pairs], pa.int64())], names=["u", "v"])
 
     for batch in batches:
-        for shard, side, row, shingles in zip(*(batch.column(c) for c in ("shard", "side", "row", "shingles"))):
+        for shard, side, row, component, shingles in zip(*(batch.column(c) for c in ("shard", "side", "row", "component", "shingles"))):
             if shard.as_py() != now:
                 if held:
                     yield settled()
                 now, held = shard.as_py(), []
-            held.append((row.as_py(), side.as_py(), np.frombuffer(shingles.as_py(), np.uint64)))
+            held.append((side.as_py(), row.as_py(), component.as_py(), np.frombuffer(shingles.as_py(), np.uint64)))
     if held:
         yield settled()
 
 
-def links(rows: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
-    """Edges (u, v) between rows of a stored (row, text) table: a spanning forest per band."""
+def round_links(rows: DataFrame, bands: DataFrame, components: DataFrame | None, band_docs: int) -> DataFrame:
+    """Edges (u, v) that the bands (row, band) add to the components (u, v: row and root) known so far."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = stored(rows.mapInArrow(run_bands, "row bigint, band bigint"), "similar-bands")
-    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / band_docs).cast("int"))
-    mine = bands.join(several, "band").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    if components is None:
+        marked = bands.withColumn("component", F.col("row"))
+    else:
+        known = components.select(F.col("u").alias("row"), "v")
+        marked = bands.join(known, "row", "left").select("row", "band", F.coalesce("v", "row").alias("component"))
+    marked = stored(marked, "similar-bands")
+    open_ = (marked.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .filter("lo < hi").select("band", F.ceil(F.col("n") / band_docs).cast("int").alias("chunks")))
+    mine = marked.join(open_, "band").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
         F.least(c, F.col("chunk")).alias("lo"), F.greatest(c, F.col("chunk")).alias("hi"),
         F.when(c == F.col("chunk"), 0).when(F.col("chunk") < c, 1).otherwise(2).alias("side")))
-    keyed = stored(mine.select("row", "band", F.inline(pairs)).select("row", F.xxhash64("band", "lo", "hi").alias("shard"), "side"), "similar-shards")
-    sets = rows.join(keyed.select("row").distinct(), "row", "left_semi").mapInArrow(run_sets, "row bigint, shingles binary")
-    together = keyed.join(sets, "row").repartition(n, "shard").sortWithinPartitions("shard", "row")
-    return together.select("shard", "side", "row", "shingles").mapInArrow(run_checks, "u bigint, v bigint")
+    keyed = mine.select("row", "component", "band", F.inline(pairs)).select(
+        "row", "component", F.struct(F.xxhash64("band", "lo", "hi").alias("shard"), "side").alias("group"))
+    groups = keyed.groupBy("row", "component").agg(F.collect_list("group").alias("groups"))
+    sets = rows.join(groups, "row").mapInArrow(run_sets, "shard bigint, side int, row bigint, component bigint, shingles binary")
+    together = sets.repartition(n, "shard").sortWithinPartitions("shard", "row")
+    return together.mapInArrow(run_checks, "u bigint, v bigint")
+
+
+def links(rows: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
+    """Edges (u, v) between rows of a stored (row, text) table that connect what is linked, and nothing else."""
+    signed = stored(rows.mapInArrow(run_signatures, "row bigint, whole binary, bands array<bigint>"), "similar-signatures")
+    firsts = signed.groupBy("whole").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    edges = stored(signed.select("row", "whole").join(firsts.filter("n > 1"), "whole").filter("row > first").select(
+        F.col("row").alias("u"), F.col("first").alias("v")), "similar-edges")
+    alone = signed.join(edges.select(F.col("u").alias("row")), "row", "left_anti")
+    for turn, (start, stop) in enumerate(ROUNDS):
+        bands = alone.select("row", F.explode(F.slice("bands", start + 1, stop - start)).alias("band"))
+        found = round_links(rows, bands, connected(edges) if turn else None, band_docs)
+        edges = edges.union(stored(found, "similar-edges"))
+    return edges
 
 
 def dedupe(docs: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
