@@ -5,8 +5,8 @@ reach. Candidates share one of ``BANDS`` bands of ``BAND_ROWS`` min-hashes (a pa
 (1 - 0.8**4)**24, about 3 in a million, less above); each link is checked on the exact sets before it counts.
 
 Documents with equal sets are one from the start. The bands are then taken in ``ROUNDS``: after each, what its links connect
-is one component, and a band all of whose documents are in one component is not looked at again. So most documents have
-their sets sent to one band, not to every band they share. Inside a band pairs that are already connected are skipped, so a
+is one component, and a band all of whose documents are in one component is not looked at again. So most texts are sent
+to one band, not to every band they share. Inside a band pairs that are already connected are skipped, so a
 large group of near copies costs no quadratic work and gives at most one edge a document; a band of more than ``band_docs``
 documents is split into chunks, and every pair of chunks is a group of its own: same links.
 
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ BANDS, BAND_ROWS = 24, 4
 ROUNDS = [(0, 1), (1, 4), (4, BANDS)]
 BAND_DOCS = 2000
 PIECE = 10_000  # shingles hashed at a time
-SETS = 64  # sets sent at a time
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -64,20 +62,6 @@ def run_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.binary()), bands], names=["row", "whole", "bands"])
 
 
-def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text once for every group it goes to."""
-    names = ["shard", "side", "row", "component", "shingles"]
-    for batch in batches_of(batches, SETS):
-        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
-        groups = batch.column("groups")
-        at = pc.list_parent_indices(groups)
-        flat = groups.flatten()
-        for start in range(0, len(at), SETS):
-            part = at.slice(start, SETS)
-            yield pa.RecordBatch.from_arrays([flat.field("shard").slice(start, SETS), flat.field("side").slice(start, SETS),
-                                              batch.column("row").take(part), batch.column("component").take(part), sets.take(part)], names=names)
-
-
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
@@ -100,7 +84,7 @@ def checked(sets: list[np.ndarray], side: np.ndarray, component: np.ndarray) ->
 
 
 def run_checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Checked links of sorted (shard, side, row, shingles) rows."""
+    """Checked links of sorted (shard, side, row, component, text) rows."""
     now, held = None, []
 
     def settled() -> pa.RecordBatch:
@@ -108,13 +92,14 @@ def run_checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = checked(list(sets), np.array(side), np.array(component))
         return pa.RecordBatch.from_arrays([pa.array([rows[i] for i, _ in pairs], pa.int64()), pa.array([rows[j] for _, j in pairs], pa.int64())], names=["u", "v"])
 
-    for batch in batches:
-        for shard, side, row, component, shingles in zip(*(batch.column(c) for c in ("shard", "side", "row", "component", "shingles"))):
-            if shard.as_py() != now:
+    for batch in batches_of(batches, ROWS):
+        columns = [batch.column(c).to_pylist() for c in ("shard", "side", "row", "component")]
+        for shard, side, row, component, shingles in zip(*columns, shingle_sets(batch.column("text"))):
+            if shard != now:
                 if held:
                     yield settled()
-                now, held = shard.as_py(), []
-            held.append((side.as_py(), row.as_py(), component.as_py(), np.frombuffer(shingles.as_py(), np.uint64)))
+                now, held = shard, []
+            held.append((side, row, component, shingles))
     if held:
         yield settled()
 
@@ -134,12 +119,12 @@ def round_links(rows: DataFrame, bands: DataFrame, components: DataFrame | None,
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
         F.least(c, F.col("chunk")).alias("lo"), F.greatest(c, F.col("chunk")).alias("hi"),
         F.when(c == F.col("chunk"), 0).when(F.col("chunk") < c, 1).otherwise(2).alias("side")))
-    keyed = mine.select("row", "component", "band", F.inline(pairs)).select(
-        "row", "component", F.struct(F.xxhash64("band", "lo", "hi").alias("shard"), "side").alias("group"))
-    groups = keyed.groupBy("row", "component").agg(F.collect_list("group").alias("groups"))
-    sets = rows.join(groups, "row").mapInArrow(run_sets, "shard bigint, side int, row bigint, component bigint, shingles binary")
-    together = sets.repartition(n, "shard").sortWithinPartitions("shard", "row")
-    return together.mapInArrow(run_checks, "u bigint, v bigint")
+    keyed = stored(mine.select("row", "component", "band", F.inline(pairs)).select(
+        "row", "component", F.xxhash64("band", "lo", "hi").alias("shard"), "side"), "similar-shards")
+    # texts go to the bands, not sets: a set is larger and cannot be compressed. Spark broadcasts the stored table of
+    # shards where its size is below the session's threshold, and shuffles the texts beyond it
+    together = keyed.join(rows, "row").repartition(n, "shard").sortWithinPartitions("shard", "row")
+    return together.select("shard", "side", "row", "component", "text").mapInArrow(run_checks, "u bigint, v bigint")
 
 
 def links(rows: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
@@ -149,9 +134,14 @@ def links(rows: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
     edges = stored(signed.select("row", "whole").join(firsts.filter("n > 1"), "whole").filter("row > first").select(
         F.col("row").alias("u"), F.col("first").alias("v")), "similar-edges")
     alone = signed.join(edges.select(F.col("u").alias("row")), "row", "left_anti")
+    every = alone.select("row", F.posexplode("bands").alias("at", "band"))
+    several = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    shared = stored(every.join(several, "band", "left_semi"), "similar-shared")
+    # only texts that share a band with another are sent anywhere
+    texts = stored(rows.join(shared.select("row").distinct(), "row", "left_semi"), "similar-texts")
     for turn, (start, stop) in enumerate(ROUNDS):
-        bands = alone.select("row", F.explode(F.slice("bands", start + 1, stop - start)).alias("band"))
-        found = round_links(rows, bands, connected(edges) if turn else None, band_docs)
+        bands = shared.filter((F.col("at") >= start) & (F.col("at") < stop)).select("row", "band")
+        found = round_links(texts, bands, connected(edges) if turn else None, band_docs)
         edges = edges.union(stored(found, "similar-edges"))
     return edges
 
