@@ -27,11 +27,6 @@ def apply_sql(value: Column, name: str, body: str) -> Column:
     return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
 
 
-def sql_text(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def ts_lit(moment: datetime | str | Column, like: T.DataType | None = None) -> Column:
     """A timestamp literal of type ``like``, so that comparisons need no cast on the column side.
 
