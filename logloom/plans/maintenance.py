@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from logloom.functions.base import ts_lit
 from logloom.operators.aggregates import count_rows, retention_policies
-from logloom.operators.filters import LogQuery, matches, require_filter, where
-from logloom.operators.joins import cutoffs, expired, retained
-from logloom.sources.event_table import TABLE, read_events, rewrite_days
+from logloom.operators.filters import LogQuery, matches, require_filter
+from logloom.operators.joins import expired
+from logloom.sources.event_table import compact, drop_days, file_list, mark_deleted, mark_rows, marked_shares, read_events, rewrite_days
 from logloom.session import scratch
-from logloom.sources.storage import remove
 
 
 def _days(hits: DataFrame) -> dict:
@@ -22,28 +21,45 @@ def _days(hits: DataFrame) -> dict:
 
 
 def delete_where(spark: SparkSession, path: str, query: LogQuery) -> int:
-    """Delete matching rows, rewriting only the days that hold some; returns how many there were."""
+    """Delete matching rows by marking them; returns how many there were. No day is rewritten."""
     require_filter(query, "delete")
-    table = read_events(spark, path)
-    days = _days(where(table, query))  # plain conditions reach the scan
-    if days:
-        rewrite_days(spark, path, days, table.filter(F.col("dt").isin(list(days)) & ~matches(query)))
-    return sum(days.values())
+    return mark_deleted(spark, path, matches(query)).count()
+
 
+def apply_retention(spark: SparkSession, path: str, policies: DataFrame, as_of: datetime) -> DataFrame:
+    """Trim every source by its policy in one pass; returns (source, removed).
 
-def apply_retention(spark: SparkSession, path: str, policies: DataFrame, as_of: datetime) -> dict[str, int]:
-    """Trim every source by its policy in one pass; returns the rows removed per source."""
+    Days of which nothing remains lose their folder, without a row being read or written again; in the others the
+    expired rows are marked. The counts are a written table: their number grows with the sources.
+    """
+    listed = _files(spark, path)
     table = read_events(spark, path)
-    counts = expired(table, policies, as_of).groupBy("dt", "source").agg(count_rows().alias("n"))
+    late = expired(table, policies, as_of)
     saved = scratch(spark, "expired")
-    counts.write.parquet(saved)
+    late.groupBy("dt", "source").agg(count_rows().alias("n")).write.parquet(saved)
     counts = spark.read.parquet(saved)
-    days = [r["dt"] for r in counts.select("dt").distinct().collect()]
-    removed = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    remove(spark, saved)
+    gone = counts.groupBy("dt").agg(F.sum("n").alias("n"))
+    rows = table.groupBy("dt").agg(count_rows().alias("rows"))
+    days = {r["dt"]: r["n"] == r["rows"] for r in gone.join(rows, "dt").collect()}
+    now = _files(spark, path)  # a day that got a file meanwhile keeps its folder
+    whole = [d for d, empty in days.items() if empty and listed.get(d) == now.get(d)]
+    partial = [d for d in days if d not in set(whole)]
+    if partial:
+        mark_rows(spark, path, expired(table.filter(F.col("dt").isin(partial)), policies, as_of))
+    drop_days(spark, path, whole)
+    return counts.groupBy("source").agg(F.sum("n").alias("removed"))
+
+
+def _files(spark: SparkSession, path: str) -> dict:
+    return {r["dt"]: r["n"] for r in file_list(spark, path).groupBy("dt").agg(count_rows().alias("n")).collect()}
+
+
+def fold_marks(spark: SparkSession, path: str, share: float = 0.1) -> list:
+    """Compact the days of which at least ``share`` of the rows is marked; returns these days."""
+    days = [r["dt"] for r in marked_shares(spark, path).filter(F.col("marked") >= share * F.col("rows")).select("dt").collect()]
     if days:
-        rewrite_days(spark, path, days, retained(table.filter(F.col("dt").isin(days)), policies, as_of))
-    return removed
+        compact(spark, path, days)
+    return sorted(days)
 
 
 def unmatched_policies(events: DataFrame, policies: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Full and incremental snapshots of the event table.
 
-A snapshot keeps a fingerprint per day. An incremental one reads only the days whose fingerprint differs from
-its base: where the base's rows are all still there it stores the new rows alone, otherwise the whole day.
+A snapshot keeps its table's file list and a fingerprint per day. An incremental one reads only the days whose files
+(or marks of deleted rows) differ from its base's and stores only those whose fingerprint differs, too: where the base's rows are all still there it stores the new rows alone, otherwise the whole day.
 Restoring therefore reproduces deletions and changes too, not only additions.
 """
 
@@ -17,7 +17,7 @@ from logloom.functions.text import readable_size, snapshot_kind
 from logloom.operators.aggregates import count_rows
 from logloom.operators.joins import delta
 from logloom.operators.windows import newest, snapshot_stamp
-from logloom.sources.event_table import TABLE, arranged, read_events
+from logloom.sources.event_table import TABLE, arranged, file_list, read_events
 from logloom.sources.storage import exists, remove
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -39,6 +39,27 @@ def fingerprints(events: DataFrame) -> DataFrame:
                                     F.sum(F.shiftrightunsigned("h", 33)).alias("s"))
 
 
+def touched_days(files: DataFrame, base: DataFrame) -> DataFrame:
+    """Days of ``files`` whose list of files differs from ``base``'s: their fingerprint has to be taken anew.
+
+    A file is the same with equal name, size, time and number of marked rows. A day that lost a file is touched, one
+    without any file left is not listed.
+    """
+    key = ["dt", "file", "bytes", "modified", "marked"]
+    fresh = files.join(base, key, "left_anti").select("dt")
+    lost = base.join(files, key, "left_anti").select("dt").join(files.select("dt").distinct(), "dt", "left_semi")
+    return fresh.union(lost).distinct()
+
+
+def _fingerprint(spark: SparkSession, events: DataFrame, files: DataFrame, base: str) -> DataFrame:
+    """Fingerprints of all days; those of days with unchanged files are the base's."""
+    touched = touched_days(files, spark.read.parquet(f"{base}/files"))
+    days = [r["dt"] for r in touched.collect()]
+    kept = (spark.read.parquet(f"{base}/fingerprints").filter(~F.col("dt").isin(days))
+            .join(files.select("dt").distinct(), "dt", "left_semi"))
+    return fingerprints(events.filter(F.col("dt").isin(days))).unionByName(kept)
+
+
 def snapshot_type(names: list[str], as_of: datetime, full_weekday: int) -> str:
     """``full`` without any full snapshot, or on the given weekday (0 = Sunday) unless done that day."""
     latest = latest_full(names)
@@ -77,8 +98,12 @@ def take_snapshot(spark: SparkSession, table_path: str, root: str, as_of: dateti
     base = latest_full(names) if kind == "incremental" else None
     name = f"logs-{'full' if kind == 'full' else 'incr'}-{as_of.strftime(STAMP)}"
     home = f"{root}/{name}"
+    file_list(spark, table_path).write.parquet(f"{home}/files")  # before the rows: a later file shows as a change next time
+    files = spark.read.parquet(f"{home}/files")
     events = read_events(spark, table_path)
-    fingerprints(events).write.parquet(f"{home}/fingerprints")
+    known = base is not None and exists(spark, f"{root}/{base}/files")
+    taken = _fingerprint(spark, events, files, f"{root}/{base}") if known else fingerprints(events)
+    taken.write.parquet(f"{home}/fingerprints")
     current = spark.read.parquet(f"{home}/fingerprints")
     if base is None:
         _store(events, f"{home}/events")
@@ -105,15 +130,23 @@ def _store_increment(spark: SparkSession, events: DataFrame, current: DataFrame,
     now = events.filter(F.col("dt").isin(days)).withColumn("_h", row_hash())
     before = read_events(spark, f"{base}/events").filter(F.col("dt").isin(days)).withColumn("_h", row_hash())
     keys = ["dt", "id", "_h"]
-    lost = [r["dt"] for r in delta(before, now, keys).select("dt").distinct().collect()]
-    appended = [d for d in days if d not in set(lost)]
+    lost = {r["dt"] for r in delta(before, now, keys).select("dt").distinct().collect()}
+    lost |= _repeated(spark, delta(now, before, keys), compared.filter("changed"), base)
+    appended = [d for d in days if d not in lost]
     added = delta(now.filter(F.col("dt").isin(appended)), before.filter(F.col("dt").isin(appended)), keys)
-    whole = now.filter(F.col("dt").isin(lost))
+    whole = now.filter(F.col("dt").isin(list(lost)))
     _store(added.unionByName(whole), f"{home}/events")
-    mode = F.when(F.col("dt").isin(lost), "replace").when(F.col("changed"), "delta").otherwise("same")
+    mode = F.when(F.col("dt").isin(list(lost)), "replace").when(F.col("changed"), "delta").otherwise("same")
     compared.select("dt", mode.alias("mode")).write.parquet(f"{home}/days")
 
 
+def _repeated(spark: SparkSession, added: DataFrame, changed: DataFrame, base: str) -> set:
+    """Days whose new rows do not account for the growth: some repeat a row that is there already, so the day is stored whole."""
+    grown = changed.join(spark.read.parquet(f"{base}/fingerprints").select("dt", F.col("rows").alias("b_rows")), "dt")
+    counted = grown.join(added.groupBy("dt").agg(count_rows().alias("n")), "dt", "left")
+    return {r["dt"] for r in counted.filter(F.col("rows") - F.col("b_rows") != F.coalesce("n", F.lit(0))).select("dt").collect()}
+
+
 def restored_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of a snapshot: the base's unchanged and extended days, then the increment."""
     entry = read_manifest(spark, root).filter(F.col("name") == name).first()

@@ -20,6 +20,20 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file: the mark that what lies beside it is whole."""
+    fs, p = _fs(spark, path)
+    fs.create(p, True).close()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below ``path``, in order of their names; none if it does not exist."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     fs, source = _fs(spark, old)
     _, target = _fs(spark, new)

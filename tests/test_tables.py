@@ -9,10 +9,11 @@ from logloom.operators import aggregates as a
 from logloom.operators.filters import LogQuery, from_saved_query, time_between
 from logloom.operators.search import newest_first
 from logloom.operators.timerange import TimeRange, resolve_preset, shift_range
-from logloom.plans.maintenance import apply_retention, delete_where
-from logloom.plans.snapshots import latest_full, prune_snapshots, read_manifest, restore, snapshot_type, take_snapshot
+from logloom.plans.maintenance import apply_retention, delete_where, fold_marks
+from logloom.plans.snapshots import latest_full, prune_snapshots, read_manifest, restore, restored_rows, snapshot_type, take_snapshot, touched_days
 from logloom.session import scratch
-from logloom.sources.event_table import append_event, read_events, write_events
+from logloom.sources.event_table import append_event, compact, file_list, mark_deleted, marked_shares, read_events, write_events
+from logloom.sources.storage import children, remove
 from logloom.streaming.jobs import ingest_stream, landed_events
 from logloom.suite.base import AS_OF, log_events
 from logloom.suite.ingest_queries import clef_messages
@@ -80,8 +81,95 @@ def test_retention_reports_counts(spark):
     policies = spark.createDataFrame([("svc-1", 10), ("svc-2", 1)], "source string, retention_days bigint")
     old = {s: read_events(spark, path).filter((F.col("source") == s) & (F.col("timestamp") < F.lit(AS_OF - timedelta(days=d)))).count()
            for s, d in (("svc-1", 10), ("svc-2", 1))}
-    assert apply_retention(spark, path, policies, AS_OF) == old
-    assert apply_retention(spark, path, policies, AS_OF) == {}
+    assert {r["source"]: r["removed"] for r in apply_retention(spark, path, policies, AS_OF).collect()} == old
+    assert apply_retention(spark, path, policies, AS_OF).isEmpty()
+
+
+def test_retention_drops_whole_days_and_marks_the_rest(spark):
+    path = scratch(spark, "wholedays")
+    ev = log_events(spark, SF).filter(F.col("source").isin("svc-1", "svc-2"))
+    write_events(ev, path)
+    before = {r.dt for r in file_list(spark, path).collect()}
+    policies = spark.createDataFrame([("svc-1", 10), ("svc-2", 10)], "source string, retention_days bigint")
+    apply_retention(spark, path, policies, AS_OF)
+    cutoff = (AS_OF - timedelta(days=10)).date()
+    assert {r.dt for r in file_list(spark, path).collect()} == {d for d in before if d >= cutoff}
+    assert read_events(spark, path).count() == ev.filter(F.col("timestamp") >= F.lit(AS_OF - timedelta(days=10))).count()
+
+
+def test_a_delete_marks_rows_and_writes_none(spark):
+    path = scratch(spark, "marks")
+    ev = log_events(spark, SF)
+    write_events(ev, path)
+    files = {(r.dt, r.file, r.modified) for r in file_list(spark, path).collect()}
+    reader = read_events(spark, path)  # read before the delete: sees all, now and later
+    gone = ev.filter("source = 'svc-2' and level = 'Error'").count()
+    assert delete_where(spark, path, LogQuery("svc-2", "Error")) == gone and gone > 0
+    assert delete_where(spark, path, LogQuery("svc-2", "Error")) == 0
+    assert {(r.dt, r.file, r.modified) for r in file_list(spark, path).collect()} == files
+    assert reader.count() == ev.count() and read_events(spark, path).count() == ev.count() - gone
+    write_events(ev.filter("source = 'svc-2' and level = 'Error'"), path)  # equal rows that come later stay
+    assert read_events(spark, path).count() == ev.count()
+    assert file_list(spark, path).agg(F.sum("marked")).first()[0] == gone
+
+
+def test_an_uncommitted_delete_does_not_count(spark):
+    path = scratch(spark, "uncommitted")
+    write_events(log_events(spark, SF), path)
+    count = read_events(spark, path).count()
+    delete_where(spark, path, LogQuery("svc-1"))
+    left = read_events(spark, path).count()
+    (folder,) = children(spark, f"{path}/_deleted")
+    remove(spark, f"{folder}/_COMMITTED")
+    assert left < count == read_events(spark, path).count()
+
+
+def test_compaction_folds_marks_in(spark):
+    path = scratch(spark, "fold")
+    write_events(log_events(spark, SF), path)
+    delete_where(spark, path, LogQuery("svc-1"))
+    left = sorted(r.id for r in read_events(spark, path).select("id").collect())
+    shares = {r.dt: r.marked / r.rows for r in marked_shares(spark, path).collect()}
+    limit = sorted(shares.values())[len(shares) // 2]
+    assert fold_marks(spark, path, limit) == sorted(d for d, share in shares.items() if share >= limit)
+    assert {r.dt for r in marked_shares(spark, path).collect()} == {d for d, share in shares.items() if share < limit}
+    assert sorted(r.id for r in read_events(spark, path).select("id").collect()) == left
+    fold_marks(spark, path, 0.0)
+    assert marked_shares(spark, path).isEmpty() and children(spark, f"{path}/_deleted") == []
+    assert spark.read.parquet(path).count() == len(left)
+
+
+def test_filters_pass_below_the_marks(spark):
+    path = scratch(spark, "pushed")
+    write_events(log_events(spark, SF), path)
+    delete_where(spark, path, LogQuery("svc-1"))
+    plan = plan_of(a.service_stats(read_events(spark, path), AS_OF))
+    assert "PartitionFilters: [isnotnull(dt" in plan and "PushedFilters: [IsNotNull(timestamp), GreaterThan(timestamp" in plan
+    assert "LeftAnti" in plan
+
+
+def test_snapshots_read_only_days_with_other_files(spark):
+    path, root = scratch(spark, "touched"), scratch(spark, "snaps")
+    ev = log_events(spark, SF)
+    write_events(ev, path)
+    full = take_snapshot(spark, path, root, datetime(2026, 2, 1, 3))
+    base = spark.read.parquet(f"{root}/{full}/files")
+    assert touched_days(file_list(spark, path), base).isEmpty()
+    first, second, third = (r.dt for r in base.select("dt").distinct().orderBy("dt").limit(3).collect())
+    write_events(ev.filter(F.to_date("timestamp") == F.lit(first)), path)
+    mark_deleted(spark, path, F.col("dt") == F.lit(second))
+    compact(spark, path, [third])  # other files, the same rows
+    assert {r.dt for r in touched_days(file_list(spark, path), base).collect()} == {first, second, third}
+    # a fingerprint of the base that is wrong on purpose stays as it is where no file changed: the day was not read
+    wrong = spark.read.parquet(f"{root}/{full}/fingerprints").withColumn("rows", F.lit(-1).cast("bigint"))
+    wrong.write.parquet(f"{root}/wrong")
+    remove(spark, f"{root}/{full}/fingerprints")
+    spark.read.parquet(f"{root}/wrong").write.parquet(f"{root}/{full}/fingerprints")
+    name = take_snapshot(spark, path, root, datetime(2026, 2, 2, 3))
+    anew = {r.dt for r in spark.read.parquet(f"{root}/{name}/fingerprints").filter("rows >= 0").collect()}
+    assert anew == {first, third}  # nothing is left of the second day
+    restored = sorted(r.id for r in restored_rows(spark, root, name).select("id").collect())
+    assert restored == sorted(r.id for r in read_events(spark, path).select("id").collect())
 
 
 def test_snapshot_rules(spark):
