@@ -15,6 +15,7 @@ from logloom.functions.base import percent, show_ts, ts_lit, type_of
 from logloom.operators.filters import LogQuery, has_props, is_plausible, last_interval, require_filter, time_between, where
 from logloom.operators.search import newest_first
 from logloom.schema import ERROR_LEVELS, PROBLEM_LEVELS
+from logloom.session import scratch
 
 # --- fixed values -------------------------------------------------------------------------------
 GRANULARITIES = {"minute": "MINUTE", "hour": "HOUR", "day": "DAY"}
@@ -68,6 +69,11 @@ def current_metrics(df: DataFrame, as_of: datetime) -> DataFrame:
     minute_ago = ts_lit(as_of - timedelta(minutes=1), type_of(df, "timestamp"))
     per_source = last_interval(df, DAY, as_of).groupBy("source").agg(
         F.count_if(F.col("timestamp") > minute_ago).alias("m"), count_rows().alias("n"), error_count().alias("e"))
+    return _totals(per_source)
+
+
+def _totals(per_source: DataFrame) -> DataFrame:
+    """The figures of a day from (source, n rows, e errors, m of the last minute)."""
     total, errors = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("e"), F.lit(0))
     return per_source.agg(
         F.coalesce(F.sum("m"), F.lit(0)).alias("logs_per_minute"),
@@ -196,11 +202,29 @@ def _exploded() -> DataFrame:
     return SparkSession.active().tvf.variant_explode(F.col("_v").outer()).select("key", "value")
 
 
-def overview(df: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
-    """The three parts of the landing page, all from the same 24-hour slice."""
-    recent = last_interval(df, DAY, as_of)
-    return {"metrics": current_metrics(recent, as_of), "services": service_stats(recent, as_of),
-            "errors": error_summary(recent, as_of, hours=24, limit=10)}
+def overview(df: DataFrame, as_of: datetime, limit: int = 10) -> dict[str, DataFrame]:
+    """The three parts of the landing page from one scan of the last 24 hours.
+
+    One aggregation by source and, for problem levels, template and level is written to the shared folder; it grows with
+    sources and templates, not with rows. The parts, with the columns of ``current_metrics``, ``service_stats`` and
+    ``error_summary``, add its rows up and do not read the events again.
+    """
+    spark, minute_ago = df.sparkSession, ts_lit(as_of - timedelta(minutes=1), type_of(df, "timestamp"))
+    problem = F.col("level").isin(*PROBLEM_LEVELS)
+    saved = scratch(spark, "overview")
+    (last_interval(df, DAY, as_of)
+     .groupBy("source", F.when(problem, F.col("message_template")).alias("message_template"), F.when(problem, F.col("level")).alias("problem"))
+     .agg(count_rows().alias("n"), error_count().alias("e"), F.count_if(F.col("timestamp") > minute_ago).alias("m"),
+          F.max("timestamp").alias("last"), F.min("message").alias("sample")).write.parquet(saved))
+    slice_ = spark.read.parquet(saved)
+    per_source = slice_.groupBy("source").agg(*[F.sum(c).alias(c) for c in "nem"], F.max("last").alias("last"))
+    services = (per_source.orderBy(F.desc("n"), "source")
+                .select("source", F.col("n").alias("total_count"), F.col("e").alias("error_count"), show_ts(F.col("last")).alias("last_log")))
+    errors = (slice_.filter(F.col("problem").isNotNull()).groupBy("message_template", F.col("problem").alias("level"))
+              .agg(F.sum("n").alias("count"), F.max("last").alias("_last"), F.min("sample").alias("sample_message"))
+              .orderBy(F.desc("count"), "message_template", "level").limit(limit)
+              .select("message_template", "level", "count", show_ts(F.col("_last")).alias("latest_timestamp"), "sample_message"))
+    return {"metrics": _totals(per_source), "services": services, "errors": errors}
 
 
 def totals_from_services(stats: DataFrame) -> DataFrame:

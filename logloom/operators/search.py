@@ -83,12 +83,12 @@ def order_by_status(df: DataFrame) -> DataFrame:
     return df.orderBy(status_rank(F.col("status")), F.col("triggered_at").desc(), *ties)
 
 
-def table_sort(df: DataFrame, column: str | None, descending: bool = True) -> DataFrame:
-    """Numbers by value, anything else by its text; missing values last either way."""
+def table_sort(df: DataFrame, column: str | None, descending: bool = True, collation: str = "UNICODE") -> DataFrame:
+    """Numbers by value, anything else by its text in the order of a collation; missing values last either way."""
     if not column:
         return df
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    key = F.col(column) if numeric else F.col(column).cast("string")
+    key = F.col(column) if numeric else F.collate(F.col(column).cast("string"), collation)
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import aggregates as a
 from logloom.operators.filters import LogQuery, from_saved_query, time_between
-from logloom.operators.search import newest_first
+from logloom.operators.search import newest_first, table_sort
 from logloom.operators.timerange import TimeRange, resolve_preset, shift_range
 from logloom.plans.maintenance import apply_retention, delete_where, fold_marks
 from logloom.plans.snapshots import latest_full, prune_snapshots, read_manifest, restore, restored_rows, snapshot_type, take_snapshot, touched_days
@@ -55,6 +55,35 @@ def test_rules_and_totals_scan_once(spark):
     assert plan_of(a.current_metrics(log_events(spark, SF), AS_OF)).count("FileScan") == 1
 
 
+def test_overview_reads_the_events_once(spark):
+    ev = log_events(spark, SF)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(source):
+        seen.add(1)
+        return source
+    parts = a.overview(ev.filter(counted("source").isNotNull()), AS_OF)
+    for name, one in (("metrics", a.current_metrics(ev, AS_OF)), ("services", a.service_stats(ev, AS_OF)),
+                      ("errors", a.error_summary(ev, AS_OF, hours=24, limit=10))):
+        assert parts[name].collect() == one.collect() and parts[name].columns == one.columns
+        assert all("/overview-" in f for f in parts[name].inputFiles())
+    assert 0 < seen.value <= ev.count()
+
+
+def test_overview_of_nothing(spark):
+    parts = a.overview(log_events(spark, SF).filter("false"), AS_OF)
+    assert parts["metrics"].first()["total_logs_24h"] == 0 and parts["services"].isEmpty() and parts["errors"].isEmpty()
+
+
+def test_table_text_sorts_by_collation(spark):
+    rows = spark.createDataFrame([(t,) for t in ["b", "Z", "\u00e4", "a", None, "B", "z", "A", "\u00c4b"]], "t string")
+    assert [r.t for r in table_sort(rows, "t", descending=False).collect()] == ["a", "A", "\u00e4", "\u00c4b", "b", "B", "z", "Z", None]
+    assert [r.t for r in table_sort(rows, "t").collect()] == ["Z", "z", "B", "b", "\u00c4b", "\u00e4", "A", "a", None]
+    assert [r.t for r in table_sort(rows, "t", False, "UTF8_BINARY").collect()][:3] == ["A", "B", "Z"]
+    assert table_sort(rows, "t").schema == rows.schema
+
+
 def test_append_event(spark):
     row = append_event(spark, "Error", "boom", "svc", datetime(2026, 1, 2, 3, 4, 5, 678901), properties={"a": 1}).first()
     assert (row.message_template, row.event_type, row.properties, len(row.id)) == ("boom", "", '{"a": 1}', 36)
