@@ -47,56 +47,76 @@ def due(rules: DataFrame, state: DataFrame, as_of: datetime) -> DataFrame:
 
 # --- conditions ------------------------------------------------------------------------------------
 
-_OUTCOME = "struct<ok:boolean,error:string>"
-
-
-def _outcome(ok: Column, error: Column) -> Column:
-    return F.struct(ok.cast("boolean").alias("ok"), error.cast("string").alias("error"))
-
-
-def _compare(text: Column, values: Column) -> Column:
-    """``name op number`` against the value map."""
+def _step(text: Column, last: Column) -> Column:
+    """One comparison ``name op number``, ready to run; ``last`` closes its group."""
     op = None
     for symbol in COMPARISONS:
         hit = F.contains(text, F.lit(symbol))
         op = F.when(hit, symbol) if op is None else op.when(hit, symbol)
 
-    def parts(p: Column) -> Column:
-        name, left, right, symbol = p["name"], F.try_element_at(values, p["name"]), parse_float(p["number"]), p["op"]
-        truth = (F.when(symbol == ">=", left >= right).when(symbol == "<=", left <= right)
-                 .when(symbol == "!=", left != right).when(symbol == "==", left == right)
-                 .when(symbol == ">", left > right).otherwise(left < right))
-        error = (F.when(symbol.isNull(), F.concat(F.lit("no comparison in condition: "), F.trim(text)))
-                 .when(~F.map_contains_key(values, name), F.concat(F.lit("no column "), name, F.lit(" in the result")))
-                 .when(left.isNull(), F.concat(F.lit("column "), name, F.lit(" holds no number")))
-                 .when(right.isNull(), F.concat(F.lit("not a number to compare with: "), p["number"])))
-        return _outcome(F.when(error.isNull(), truth), error)
-
-    def split(o: Column) -> Column:
+    def parts(o: Column) -> Column:
         at = F.instr(text, o)
-        return F.struct(o.alias("op"), F.coalesce(F.trim(F.substring(text, F.lit(1), at - 1)), F.lit("")).alias("name"),
-                        F.coalesce(F.trim(F.substring(text, at + F.length(o), F.length(text))), F.lit("")).alias("number"))
-    return let(let(op, split), parts)
-
+        name = F.coalesce(F.trim(F.substring(text, F.lit(1), at - 1)), F.lit(""))
+        number = F.coalesce(F.trim(F.substring(text, at + F.length(o), F.length(text))), F.lit(""))
+        value = parse_float(number)
+        return F.struct(
+            name.alias("name"), o.alias("op"), value.alias("number"), last.alias("last"),
+            F.when(o.isNull(), F.concat(F.lit("no comparison in condition: "), F.trim(text))).alias("unreadable"),
+            F.when(value.isNull(), F.concat(F.lit("not a number to compare with: "), number)).alias("no_number"))
+    return let(op, parts)
+
+
+def condition_program(condition: Column, strict: bool = False) -> Column:
+    """The comparisons of a condition in order, as an array of steps: all work on its text is done here."""
+    outer, inner = ("\\|\\|", "&&") if strict else ("&&", "\\|\\|")
 
-def _combine(outcomes: Column, all_of: bool) -> Column:
-    def body(items: Column) -> Column:
-        error = F.get(F.filter(F.transform(items, lambda i: i["error"]), lambda e: e.isNotNull()), F.lit(0))
-        truth = (F.forall if all_of else F.exists)(items, lambda i: i["ok"])
-        return _outcome(F.when(error.isNull(), truth), error)
-    return let(outcomes, body)
+    def group(part: Column) -> Column:
+        return let(F.split(part, inner), lambda items: F.transform(items, lambda c, i: _step(c, i == F.size(items) - 1)))
+    return F.flatten(F.transform(F.split(condition, outer), group))
+
+
+def run_program(program: Column, values: Column, strict: bool = False) -> Column:
+    """Struct ``(ok, error)``: one fold over the steps. A group's truth is kept in ``inner``, the whole in ``total``."""
+    def step(state: Column, s: Column) -> Column:
+        left, right = F.try_element_at(values, s["name"]), s["number"]
+        error = (F.when(s["unreadable"].isNotNull(), s["unreadable"])
+                 .when(~F.map_contains_key(values, s["name"]), F.concat(F.lit("no column "), s["name"], F.lit(" in the result")))
+                 .when(left.isNull(), F.concat(F.lit("column "), s["name"], F.lit(" holds no number")))
+                 .otherwise(s["no_number"]))
+        op = s["op"]
+        truth = (F.when(op == ">=", left >= right).when(op == "<=", left <= right).when(op == "!=", left != right)
+                 .when(op == "==", left == right).when(op == ">", left > right).otherwise(left < right))
+        inner = state["inner"] & truth if strict else state["inner"] | truth
+        total = state["total"] | inner if strict else state["total"] & inner
+        return F.struct(F.coalesce(state["error"], error).alias("error"),
+                        F.when(s["last"], F.lit(strict)).otherwise(inner).alias("inner"),
+                        F.when(s["last"], total).otherwise(state["total"]).alias("total"))
+    start = F.struct(F.lit(None).cast("string").alias("error"), F.lit(strict).alias("inner"), F.lit(not strict).alias("total"))
+    return F.aggregate(program, start, step, lambda end: F.struct(
+        F.when(end["error"].isNull(), end["total"]).alias("ok"), end["error"].alias("error")))
 
 
 def evaluate_condition(condition: Column, values: Column, strict: bool = False) -> Column:
     """Struct ``(ok, error)`` of a condition over a map of numbers.
 
     ``&&`` splits first, so ``a || b && c`` reads ``(a || b) && c``; ``strict`` gives ``&&`` its usual
-    higher rank. All comparisons are evaluated; the first error wins.
+    higher rank. All comparisons are evaluated; the first error wins. A column of few different conditions
+    over many rows is better served by ``judge``.
     """
-    outer, inner = ("\\|\\|", "&&") if strict else ("&&", "\\|\\|")
-    groups = F.transform(F.split(condition, outer), lambda part: _combine(
-        F.transform(F.split(part, inner), lambda c: _compare(c, values)), all_of=strict))
-    return _combine(groups, all_of=not strict)
+    return run_program(condition_program(condition, strict), values, strict)
+
+
+def judge(rows: DataFrame, condition: str, values: str, strict: bool = False, name: str = "outcome") -> DataFrame:
+    """``rows`` with the outcome of each row's condition; every distinct condition is parsed once.
+
+    The programs come back by a join on the text. They are as many as there are different conditions, and are broadcast
+    only if their measured size allows it; otherwise the rows of a frequent condition are a skewed side that adaptive
+    execution splits. A null condition has a null outcome.
+    """
+    programs = (rows.select(F.col(condition).alias("_condition")).distinct()
+                .select("_condition", condition_program(F.col("_condition"), strict).alias("_program")))
+    joined = rows.join(programs, rows[condition] == programs["_condition"], "left")
+    return joined.select(*[rows[c] for c in rows.columns], run_program(programs["_program"], rows[values], strict).alias(name))
 
 
 # --- evaluation ------------------------------------------------------------------------------------
@@ -154,8 +174,8 @@ def evaluate_rules(spark: SparkSession, rules: DataFrame, seconds: float = RULE_
         except Exception as problem:  # whatever user SQL does is this rule's own error
             error = next((line for line in str(problem).splitlines() if line.strip()), type(problem).__name__)
         outcomes.append((row["id"], row["condition"], values, error))
-    judged = spark.createDataFrame(outcomes, OUTCOME).withColumn(
-        "o", F.when(F.col("sql_error").isNull(), evaluate_condition(F.col("condition"), F.col("values"))))
+    judged = judge(spark.createDataFrame(outcomes, OUTCOME), "condition", "values", name="_o").withColumn(
+        "o", F.when(F.col("sql_error").isNull(), F.col("_o")))
     return judged.select("id", "values", F.coalesce("o.ok", F.lit(False)).alias("triggered"),
                          F.coalesce("sql_error", "o.error").alias("error"))
 

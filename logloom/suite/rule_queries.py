@@ -84,8 +84,8 @@ def _(spark, sf):
     texts = ["q >= 25", "q > 40 || n == 1 && q < 45", "q != 10 && n <= 3", "q > 1 && total > 5", "q about 5", "n == 2 || n == 3.0"]
     condition = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("l_orderkey") % 6 + 1).cast("int"))
     values = F.create_map(F.lit("q"), F.col("l_quantity").cast("double"), F.lit("n"), F.col("l_linenumber").cast("double"))
-    rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), r.evaluate_condition(condition, values).alias("o"))
-    return rows.select("id", F.col("o.ok").alias("ok"), F.coalesce("o.error", F.lit("")).alias("error"))
+    rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), condition.alias("condition"), values.alias("values"))
+    return r.judge(rows, "condition", "values", name="o").select("id", F.col("o.ok").alias("ok"), F.coalesce("o.error", F.lit("")).alias("error"))
 
 
 @query("firing_alerts", f"""

@@ -8,14 +8,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.operators.rules import evaluate_condition, evaluate_rules
+from logloom.operators.rules import judge as judge_rows
 from logloom.plans import sqlapi
 
 VALUES = {"errors": 12.0, "total": 80.0, "name": None}
 
 
 def judge(spark, conditions, strict=False):
+    """Outcomes by the column function, after checking that the frame function, which parses each text once, agrees."""
     df = spark.createDataFrame([(c, VALUES) for c in conditions], "c string, v map<string,double>")
-    return [(r.o.ok, r.o.error) for r in df.select(evaluate_condition(F.col("c"), F.col("v"), strict).alias("o")).collect()]
+    out = [(r.o.ok, r.o.error) for r in df.select(evaluate_condition(F.col("c"), F.col("v"), strict).alias("o")).collect()]
+    once = {r.c: (r.outcome.ok, r.outcome.error) for r in judge_rows(df, "c", "v", strict).collect()}
+    assert once == dict(zip(conditions, out))
+    return out
 
 
 def test_conditions(spark):
@@ -33,6 +38,16 @@ def test_or_binds_tighter_unless_strict(spark):
     assert judge(spark, text) == [(False, None)] and judge(spark, text, strict=True) == [(True, None)]
 
 
+def test_rows_keep_their_number_and_columns(spark):
+    rows = spark.createDataFrame([(1, "a > 1", {"a": 2.0}, "x"), (1, "a > 1", {"a": 2.0}, "x"), (2, None, {"a": 2.0}, "y"), (3, "a > 1", None, "z"),
+                                  (4, "", {}, "w")], "id int, c string, v map<string,double>, _program string")
+    out = {}
+    for r in judge_rows(rows, "c", "v").collect():
+        out.setdefault(r.id, []).append((r._program, r.outcome and r.outcome.ok))
+    assert out == {1: [("x", True)] * 2, 2: [("y", None)], 3: [("z", None)], 4: [("w", None)]}
+    assert judge_rows(rows.limit(0), "c", "v").isEmpty()
+
+
 comparison = st.tuples(st.sampled_from(["errors", "total"]), st.sampled_from([">", "<", ">=", "<=", "==", "!="]), st.integers(0, 100))
 
 
