@@ -2,14 +2,18 @@
 
 Every source gets a share of the tokens in proportion to its weight, at most ``max_repeats`` times what it has; what a
 capped source cannot take goes to the others by weight. A source's repetition rate is its target over its size. A document
-is emitted ``floor(rate)`` times, and once more if a hash of its id, seeded, falls below the rate's fraction.
+is emitted ``floor(rate)`` times, and once more if a seeded hash of its id and text falls below the rate's fraction.
 
 Sizes are pre-aggregated per source before the shuffle, so a hot source costs one row per task; per-source targets come
 back to the documents by a join whose skewed side adaptive execution splits. Targets are found by rounds of two sums over
 the sources, never by collecting them.
 
-Null text has size 0. A null source is a source of its own, after all others. A document with a null id draws the same
-hash as others with a null id; repeated rows draw the same hash, too. A source of size 0 has target 0. Reruns agree.
+Null text has size 0. A null source is a source of its own, after all others. Documents with a null or equal id draw by
+their texts. In ``mix_plan`` rows with equal source, id and text draw by their number among these, 0, 1, 2 and so on:
+which row has which number is of no account, so they are counted before the shuffle and written out again in pieces,
+and a source that repeats one row comes near its target, too. ``mix_documents``, which keeps all columns, emits each such
+row ``floor(rate)`` times and the further copies of all of them from the one with the smallest hash. A source of size 0
+has target 0. Reruns agree.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from logloom.llm.common import WORD, dropped, pick, running_total, stored
 
 CYCLE = (5.0, 2.0, 1.0)
+PIECE = 4096  # equal rows written out by one task at a time
 
 
 def word_count(column: str = "text") -> Column:
@@ -78,18 +83,38 @@ def with_rates(sized: DataFrame, max_repeats: float = 3.0, weights: DataFrame |
     return joined.withColumn("rate", rate)
 
 
-def copies(rate: Column, doc_id: Column, seed: int) -> Column:
-    """How often a document is emitted: floor(rate), and once more by a seeded hash of its id."""
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def numbered(keyed: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The rows again, equal ones numbered from 0 as ``nth``.
+
+    Equal rows meet as one row a task with their count; more than ``piece`` of them are written out by several tasks.
+    """
+    keys, n = keyed.columns, F.col("_n")
+    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.filter(n <= piece).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("nth"))
+    starts = F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(piece).cast("bigint"))
+    many = (counted.filter(n > piece).select(*keys, "_n", F.explode(starts).alias("_from")).repartition(*keys, "_from")
+            .select(*keys, F.explode(F.sequence(F.col("_from"), F.least(n, F.col("_from") + piece) - 1)).alias("nth")))
+    return few.unionByName(many)
+
+
+def copies(rate: Column, doc_id: Column, key: Column, nth: Column, seed: int) -> Column:
+    """How often a document is emitted: floor(rate), and once more by a seeded hash of id, text key and number among equals."""
     whole = F.floor(rate)
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11)).cast("double") / F.lit(float(1 << 53))
+    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, key, nth), 11)).cast("double") / F.lit(float(1 << 53))
     return whole + F.when(draw < rate - whole, 1).otherwise(0)
 
 
 def mix_plan(docs: DataFrame, seed: int = 7, max_repeats: float = 3.0, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken (words the mix takes, repeats counted), per document."""
-    sized = stored(pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    keyed = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count().alias("size"), text_key(F.col("text")).alias("key"))
+    sized = stored(numbered(keyed), "mix-sizes")
     planned = with_rates(sized, max_repeats, weights)
-    return (planned.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed).cast("int"))
+    times = copies(F.col("rate"), F.col("doc_id"), F.col("key"), F.col("nth"), seed)
+    return (planned.withColumn("copies", times.cast("int")).drop("key", "nth")
             .withColumn("taken", (F.col("copies") * F.col("size")).cast("bigint")))
 
 
@@ -98,7 +123,7 @@ def mix_documents(docs: DataFrame, seed: int = 7, max_repeats: float = 3.0, weig
     names = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
     sized = plain.withColumns({"source": F.col(f"_{names.index('source')}"), "_doc": F.col(f"_{names.index('doc_id')}"),
-                               "size": word_count(f"_{names.index('text')}")})
+                               "size": word_count(f"_{names.index('text')}"), "_key": text_key(F.col(f"_{names.index('text')}"))})
     sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
     weighted = cycle_weights(sources) if weights is None else (
         sources.join(pick(weights, "source", "weight").withColumnRenamed("source", "_s"),
@@ -107,7 +132,27 @@ def mix_documents(docs: DataFrame, seed: int = 7, max_repeats: float = 3.0, weig
         F.col("source").alias("_s"), F.when(F.col("source_size") > 0, F.least(
             F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0).alias("_rate"))
     dropped(sources)
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_s")), "left")
-    taken = joined.withColumn("_copies", copies(F.col("_rate"), F.col("_doc"), seed).cast("int"))
-    return (taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    keys = ["source", "_doc", "_key"]
+    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    many = stored(repeated_extras(sized.select(*keys), rates, seed), "mix-repeated")
+    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    met = joined.join(many, same[0] & same[1] & same[2], "left")
+    alone = copies(F.col("_rate"), F.col("_doc"), F.col("_key"), F.lit(0).cast("bigint"), seed)
+    own = met.withColumn("_copies", F.when(F.col("_extra").isNull(), alone).otherwise(F.floor("_rate")))
+    row = F.struct(*(F.col(f"_{i}") for i in range(len(names))))
+    first = (joined.join(many, same[0] & same[1] & same[2], "inner").groupBy(*keys)
+             .agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"), F.max("_extra").alias("_copies")))
+    taken = own.select(*(F.col(f"_{i}") for i in range(len(names))), "_copies").unionByName(
+        first.select(*(F.col("_row")[f"_{i}"].alias(f"_{i}") for i in range(len(names))), "_copies"))
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(PIECE).cast("bigint"))
+    spread = taken.filter("_copies > 0").withColumn("_from", F.explode(pieces))
+    return (spread.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least("_copies", F.col("_from") + PIECE) - 1)))
             .select(*(F.col(f"_{i}") for i in range(len(names)))).toDF(*names))
+
+
+def repeated_extras(keyed: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """For rows equal in source, id and text key: (_r0, _r1, _r2, _extra), how many copies beyond floor(rate) all of them get."""
+    drawn = numbered(keyed).join(rates, F.col("source").eqNullSafe(F.col("_s")), "left")
+    more = copies(F.col("_rate"), F.col("_doc"), F.col("_key"), F.col("nth"), seed) - F.floor("_rate")
+    return (drawn.groupBy(*(F.col(k).alias(f"_r{i}") for i, k in enumerate(keyed.columns)))
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum(more).cast("bigint").alias("_extra")).filter("_n > 1").drop("_n"))

@@ -117,3 +117,26 @@ def test_mix_given_weights_and_empty(spark):
     assert plan == {"a": 400.0, "b": 0.0}
     assert mixing.mix_documents(docs, weights=weights).filter("source = 'b'").count() == 0
     assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_mix_is_near_its_target_with_null_ids_and_equal_rows(spark):
+    null_ids = [(None if i % 3 == 0 else i, "abc"[i % 7 % 3], f"w{i} " + "x " * (i % 40)) for i in range(9000)]
+    one_row = [(5 if i % 3 == 0 else i, "abc"[i % 7 % 3], "same words here" if i % 3 == 0 else f"w{i} " + "x " * (i % 40)) for i in range(9000)]
+    for rows in (null_ids, one_row):
+        docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+        plan = mixing.mix_plan(docs)
+        per = plan.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+        assert sum(r["n"] for r in per) == 9000
+        assert all(abs(r["t"] / r["target"] - 1) < 0.05 for r in per), per
+        assert plan.filter("taken > 3 * size").isEmpty()
+        planned = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).filter("n > 0")
+        mixed = mixing.mix_documents(docs).select("doc_id", "source", mixing.word_count().alias("size"))
+        assert sorted(map(repr, planned.collect())) == sorted(map(repr, mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).collect()))
+        assert sorted(map(repr, plan.collect())) == sorted(map(repr, mixing.mix_plan(docs.repartition(5)).collect()))
+
+
+def test_equal_rows_are_numbered_whole(spark):
+    rows = spark.createDataFrame([("a",)] * 25 + [("b",)] * 10 + [(None,)] * 21 + [("c",)], "k string")
+    got = sorted((r["k"] or "", r["nth"]) for r in mixing.numbered(rows, piece=10).collect())
+    assert got == sorted((k, i) for k, n in (("a", 25), ("b", 10), ("", 21), ("c", 1)) for i in range(n))
+    assert mixing.numbered(rows.limit(0)).isEmpty()
