@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -38,19 +39,22 @@ def local_session(cores: str | int = "*", app: str = "logloom", partitions: int
     return configure(spark)
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="logloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting (tests) falls back to a temporary folder.
+    Only a local session without that setting (tests) takes a temporary folder, the same one for the whole process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-    fallback = tempfile.mkdtemp(prefix="logloom-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _own_folder()
 
 
 def scratch(spark: SparkSession, label: str) -> str:

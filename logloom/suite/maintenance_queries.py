@@ -14,7 +14,7 @@ from logloom.plans import snapshots as sn
 from logloom.plans import sqlapi
 from logloom.session import scratch
 from logloom.sources.config_tables import delete_rows, read_config, update_where, upsert_rows, write_config
-from logloom.sources.event_table import compact, read_events, write_events
+from logloom.sources.event_table import append_event, compact, file_list, marked_shares, read_events, write_events
 from logloom.suite.base import AS_OF, NOW, TEXT_TIME, alerts, api_keys, endpoints, log_events, policy_log, query, snapshots
 from logloom.suite.join_queries import POLICY_CTES, TOO_OLD
 
@@ -38,6 +38,42 @@ def _(spark, sf):
     return left.withColumn("deleted", F.lit(gone).cast("bigint"))
 
 
+GONE_TWICE = "source = 'svc-2' OR level = 'Error'"
+
+
+@query("folded_marks", f"""
+SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS n, sum(CAST(id AS BIGINT)) AS ids, (SELECT count(*) FROM log_events WHERE {GONE_TWICE}) AS deleted,
+  0 AS marked FROM log_events WHERE NOT ({GONE_TWICE}) GROUP BY 1""", "log_events")
+def _(spark, sf):
+    """Two deletes that overlap, with an append between them; then the marks are folded into the files."""
+    path = scratch(spark, "fold")
+    ev = log_events(spark, sf)
+    late = F.col("id").cast("bigint") % 3 == 0
+    write_events(ev.filter(~late), path)
+    gone = m.delete_where(spark, path, LogQuery("svc-2"))
+    write_events(ev.filter(late), path)
+    gone += m.delete_where(spark, path, LogQuery(level="Error")) + m.delete_where(spark, path, LogQuery("svc-2"))
+    m.fold_marks(spark, path, 0.0)
+    left = spark.read.parquet(path).groupBy("dt").agg(count_rows().alias("n"), F.sum(F.col("id").cast("bigint")).alias("ids"))
+    return left.select(F.date_format("dt", "yyyy-MM-dd").alias("day"), "n", "ids", F.lit(gone).cast("bigint").alias("deleted"),
+                       F.lit(marked_shares(spark, path).count()).alias("marked"))
+
+
+@query("retention_removed", f"SELECT source, count(*) AS removed FROM log_events e WHERE {TOO_OLD} GROUP BY source", POLICY_CTES)
+def _(spark, sf):
+    """What a retention pass reports per source; whole days go as folders, the rest as marks."""
+    return m.apply_retention(spark, stored(spark, sf, "removed"), current_policies(policy_log(spark, sf)), AS_OF)
+
+
+@query("appended_event", """
+SELECT source, level, count(*) AS n FROM (SELECT source, level FROM log_events UNION ALL SELECT 'svc-1', 'Audit') GROUP BY source, level""", "log_events")
+def _(spark, sf):
+    """One event of the engine's own beside the stored ones."""
+    path = stored(spark, sf, "append")
+    write_events(append_event(spark, "Audit", "rows deleted", "svc-1", AS_OF), path)
+    return read_events(spark, path).groupBy("source", "level").agg(count_rows().alias("n"))
+
+
 @query("applied_retention", f"SELECT id, source FROM log_events e WHERE NOT {TOO_OLD}", POLICY_CTES)
 def _(spark, sf):
     path = stored(spark, sf, "retention")
@@ -145,6 +181,17 @@ def _(spark, sf):
     return read_events(spark, target).select("id", "source", "level")
 
 
+@query("snapshot_touched_days", """
+SELECT DISTINCT strftime(timestamp, '%Y-%m-%d') AS day FROM log_events
+WHERE timestamp >= TIMESTAMP '2024-01-20 12:00:00' OR (source = 'svc-1' AND level = 'Debug')""", "log_events")
+def _(spark, sf):
+    """The days an increment has to read: those with another list of files or marks than the base."""
+    path, root = _history(spark, sf)
+    (base,) = [r["name"] for r in sn.read_manifest(spark, root).collect()]
+    touched = sn.touched_days(file_list(spark, path), spark.read.parquet(f"{root}/{base}/files"))
+    return touched.select(F.date_format("dt", "yyyy-MM-dd").alias("day"))
+
+
 @query("snapshot_manifest", """
 SELECT 'logs-full-2024-01-21-030000' AS name, 'full' AS type, 'none' AS base, (SELECT count(*) FROM log_events WHERE timestamp < TIMESTAMP '2024-01-20 12:00:00') AS rows
 UNION ALL SELECT 'logs-incr-2024-01-22-030000', 'incremental', 'logs-full-2024-01-21-030000',

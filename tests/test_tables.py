@@ -1,6 +1,7 @@
 """Stored tables, plans and time ranges."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from logloom.operators.search import newest_first, table_sort
 from logloom.operators.timerange import TimeRange, resolve_preset, shift_range
 from logloom.plans.maintenance import apply_retention, delete_where, fold_marks
 from logloom.plans.snapshots import latest_full, prune_snapshots, read_manifest, restore, restored_rows, snapshot_type, take_snapshot, touched_days
-from logloom.session import scratch
+from logloom.session import scratch, shared_dir
 from logloom.sources.event_table import append_event, compact, file_list, mark_deleted, marked_shares, read_events, write_events
 from logloom.sources.storage import children, remove
 from logloom.streaming.jobs import ingest_stream, landed_events
@@ -232,6 +233,15 @@ def test_stream_resumes_and_adds_new_files(spark):
     assert events.count() == events.select("id").distinct().count() == log_events(spark, SF).count()
 
 
+def test_shared_folder():
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("yarn", "hdfs:/x/")) == shared_dir(session("local[2]", "hdfs:/x")) == "hdfs:/x"
+    assert shared_dir(session("local[2]", "")) == shared_dir(session("local", None))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("yarn", ""))
+
+
 def test_ranges():
     now = datetime(2024, 1, 31, 15, 30)
     assert resolve_preset("week", now) == (datetime(2024, 1, 29), None) and resolve_preset("all", now) == (None, None)
