@@ -93,7 +93,7 @@ def numbered(keyed: DataFrame, piece: int = PIECE) -> DataFrame:
     Equal rows meet as one row a task with their count; more than ``piece`` of them are written out by several tasks.
     """
     keys, n = keyed.columns, F.col("_n")
-    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = stored(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "mix-counted")  # else both branches read the texts
     few = counted.filter(n <= piece).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("nth"))
     starts = F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(piece).cast("bigint"))
     many = (counted.filter(n > piece).select(*keys, "_n", F.explode(starts).alias("_from")).repartition(*keys, "_from")
