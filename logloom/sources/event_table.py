@@ -2,7 +2,8 @@
 
 A delete marks rows by day, file and row number in a small table beside the files; readers leave marked rows out, and
 ``compact`` folds the marks into rewritten days. A delete shows as a whole: its marks count from the moment their
-commit file exists. Appends may run at any time; deletes, rewrites and compaction want one maintenance job at a time.
+commit file exists. Appends may run at any time, but not into a day that is being rewritten or compacted, since its files
+are replaced; deletes, rewrites and compaction want one maintenance job at a time.
 """
 
 from __future__ import annotations
