@@ -230,6 +230,46 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean(np.array(good) >= 0.5) < 0.03 and np.mean(np.array(bad) >= 0.5) > 0.5
 
 
+def worded(texts, words, rng):
+    """Each text with a few of the words put between its own."""
+    out = []
+    for t in texts:
+        own = t.split(" ")
+        for _ in range(rng.randint(3, 8)):
+            own.insert(rng.randint(0, len(own)), rng.choice(words))
+        out.append(" ".join(own))
+    return out
+
+
+def test_toxic_dictionary_finds_wording_of_every_language(spark):
+    """Invented wording, written into documents of all languages; half of them are learned from, the other half is found."""
+    rng, bad = random.Random(8), ["qazmolk", "wuxtriv", "zobbelan", "krympfot"]
+    texts = sorted({r["text"].lower() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+                    if r["text"] and len(r["text"]) < 8000})
+    rng.shuffle(texts)
+    texts, known, clean = texts[:900], texts[:400], texts[600:]
+    toxic = [t.encode() for t in worded(texts[300:600], bad, rng)]
+    model = toxicity.train(toxic[:150], [t.encode() for t in known[:300]], 1 / 3)
+    found = toxicity.score_texts(model, [t.decode() for t in toxic[150:]])
+    left = toxicity.score_texts(model, clean)
+    assert (found >= 0.5).mean() >= 0.9 and (left >= 0.5).mean() <= 0.05
+
+
+def test_few_toxic_labels_still_make_a_dictionary(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3), F.lit(True))
+    assert model.toxic and model.toxic == again.toxic
+    two = toxicity.train([b"only one toxic zzz text", b""], [b"an ordinary text"], 0.5)
+    assert two.toxic is not None and np.isfinite(toxicity.score_texts(two, ["", "zzz", "an ordinary text"])).all()
+
+
+def test_near_copies_count_once():
+    one = b" ".join(b"w%d" % i for i in range(60))
+    assert toxicity.without_near_copies([one, one, one + b" tail", b"something else entirely"]) == [one, b"something else entirely"]
+    assert toxicity.some([b"%d" % i for i in range(50)], 9) == toxicity.some([b"%d" % i for i in range(50)], 9)
+
+
 def test_skipped_windows_gain_nothing():
     rng = random.Random(3)
     syllables = ["the", "er", "on", "an", "re", "stup", "id", " ", " ", "clo", "wn", "é"]
