@@ -2,7 +2,8 @@
 
 Each document gets counts and a base verdict from its own text. Failures are then aggregated per host (``source``), each
 host's failure rate is shrunk towards all hosts' by a beta prior fitted to the hosts themselves (method of moments, hosts
-weighted by their documents), and a host whose shrunken rate exceeds ``host_limit`` fails all its documents.
+weighted by their documents). A host whose shrunken rate lies more than ``deviations`` standard deviations of that prior above
+its mean, or above ``host_limit``, fails all its documents. Hosts that differ by chance only have no such limit but the last.
 
 Failures are pre-aggregated before the shuffle; the fit is one row of sums over hosts; verdicts return to the documents by
 a join on the host whose skewed side adaptive execution splits, over a stored table of counts (no text is shuffled).
@@ -21,6 +22,7 @@ from logloom.llm.common import BLANK, let, pick, stored, words_of
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent
 HOST_LIMIT = 0.8
+DEVIATIONS = 3.0  # of the fitted prior
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 3
 
@@ -67,7 +69,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def host_verdicts(counts: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(counts: DataFrame, host_limit: float = HOST_LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
     """source, documents, failures, shrunken rate and ``host_failed``, from (source, base_failed) rows.
 
     The prior Beta(a, b) matches the mean m and the variance v between hosts: a + b = m (1 - m) / v - 1 after the
@@ -86,13 +88,15 @@ def host_verdicts(counts: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
     prior = fitted.select("m", strength.alias("strength"))  # one row
     rate = F.when(F.col("strength").isNull(), F.col("m")).otherwise(
         (F.col("failures") + F.col("m") * F.col("strength")) / (F.col("documents") + F.col("strength")))
+    spread = F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("strength") + 1))  # standard deviation of the prior
+    limit = F.least(F.lit(host_limit), F.col("m") + deviations * spread)  # least() leaves a null out
     return (hosts.join(F.broadcast(prior)).withColumn("host_rate", rate)
-            .select("source", "documents", "failures", "host_rate", (F.col("host_rate") > host_limit).alias("host_failed")))
+            .select("source", "documents", "failures", "host_rate", (F.col("host_rate") > limit).alias("host_failed")))
 
 
-def apply_host_rules(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def apply_host_rules(docs: DataFrame, host_limit: float = HOST_LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
     """The counts of each document with base_failed, host_rate and kept."""
     counts = stored(document_counts(docs).withColumn("base_failed", base_failed()), "host-counts")
-    verdicts = host_verdicts(counts, host_limit).select(F.col("source").alias("_s"), "host_rate", "host_failed")
+    verdicts = host_verdicts(counts, host_limit, deviations).select(F.col("source").alias("_s"), "host_rate", "host_failed")
     joined = counts.join(verdicts, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host_failed")

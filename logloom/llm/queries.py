@@ -137,7 +137,8 @@ hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_faile
 sums AS (SELECT count(*) AS k, sum(n) AS n1, sum(x) / sum(n) AS m, sum(n * n) AS n2, sum(x * x / n) AS f2 FROM hosts),
 fit AS (SELECT m, CASE WHEN n1 - n2 / n1 - (k - 1) > 0 THEN ((f2 - n1 * m * m) - (k - 1) * m * (1 - m)) / (n1 - n2 / n1 - (k - 1)) END AS v FROM sums),
 prior AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) END AS s FROM fit),
-verdict AS (SELECT source, CASE WHEN s IS NULL THEN m ELSE (x + m * s) / (n + s) END > {host_rules.HOST_LIMIT} AS bad FROM hosts, prior)
+verdict AS (SELECT source, CASE WHEN s IS NULL THEN m ELSE (x + m * s) / (n + s) END
+            > least({host_rules.HOST_LIMIT}, CASE WHEN s IS NULL THEN 1 ELSE m + {host_rules.DEVIATIONS} * sqrt(m * (1 - m) / (s + 1)) END) AS bad FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source"""
 

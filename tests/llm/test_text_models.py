@@ -331,6 +331,23 @@ def test_equal_hosts_share_the_overall_rate(spark):
     assert {round(r["host_rate"], 9) for r in host_rules.host_verdicts(counts).collect()} == {0.25}
 
 
+def test_outlying_host_fails_by_the_fitted_prior(spark):
+    """Forty hosts near one in ten and one at one in two: far below 0.8, far above what the prior allows."""
+    rows = [(f"h{k}", i % 10 == 0 if k % 2 else i % 9 == 0) for k in range(40) for i in range(90)]
+    rows += [("odd", i % 2 == 0) for i in range(90)]
+    counts = spark.createDataFrame(rows, "source string, base_failed boolean")
+    bad = {r["source"] for r in host_rules.host_verdicts(counts).collect() if r["host_failed"]}
+    assert bad == {"odd"}
+    found = {r["source"]: (r["host_rate"], r["host_failed"]) for r in host_rules.host_verdicts(counts, deviations=1e9).collect()}
+    assert not any(failed for _, failed in found.values())
+    x = {f"h{k}": 9 if k % 2 else 10 for k in range(40)} | {"odd": 45}  # the same by hand
+    n1, m = 41 * 90, sum(x.values()) / (41 * 90)
+    between = (sum(v * v / 90 for v in x.values()) - n1 * m * m - 40 * m * (1 - m)) / (n1 - 90 - 40)
+    strength = m * (1 - m) / between - 1
+    assert found["odd"][0] == pytest.approx((45 + m * strength) / (90 + strength))
+    assert found["odd"][0] > m + 3 * math.sqrt(m * (1 - m) / (strength + 1))
+
+
 def test_host_rules_stay_native(spark):
     plan = host_rules.apply_host_rules(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEval", "Arrow") and "CartesianProduct" not in plan
