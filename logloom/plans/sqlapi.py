@@ -14,8 +14,15 @@ from logloom.operators.shaping import shape
 # --- fixed values -------------------------------------------------------------------------------
 TIMEOUT_SECONDS = 30
 PARAMETER_NAME = r"[a-zA-Z_][a-zA-Z0-9_]*"
-_OUTER = "try_element_at(from_json(j, 'map<string,variant>'), k)"
-_MEMBER = f"if(k2 IS NULL, {_OUTER}, try_element_at(try_cast({_OUTER} AS MAP<STRING, VARIANT>), k2))"
+# a member named by further keys (two to eight one by one, or any number as an array), each a member of the one before
+_KEYS = ", ".join(f"k{i}" for i in range(2, 9))
+_MORE = ", ".join(f"k{i} STRING DEFAULT NULL" for i in range(2, 9))
+_OUTER = "try_element_at(from_json(j, 'map<string,variant>'), {first})"
+_INNER = "aggregate({rest}, {outer}, (v, key) -> try_element_at(try_cast(v AS MAP<STRING, VARIANT>), key))"
+_MEMBER = _INNER.format(rest=f"array_compact(array({_KEYS}))", outer=_OUTER.format(first="k"))
+_AT_PATH = _INNER.format(rest="slice(p, 2, greatest(size(p) - 1, 0))", outer=_OUTER.format(first="get(p, 0)"))
+_TEXT = "if(schema_of_variant({m}) = 'STRING', {m}::string, '')"
+_NUMBER = "if(left(schema_of_variant({m}), 3) IN ('BIG', 'DEC', 'DOU', 'FLO'), try_cast({m} AS DOUBLE), 0D)"
 # Scalar helpers under the names that stored queries use; aggregates such as count_if are Spark's own.
 HELPERS = {
     "toStartOfMinute(t TIMESTAMP) RETURNS TIMESTAMP": "date_trunc('MINUTE', t)",
@@ -29,12 +36,13 @@ HELPERS = {
     "formatDateTime(t TIMESTAMP, f STRING) RETURNS STRING":
         "date_format(t, replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'),"
         " '%H', 'HH'), '%i', 'mm'), '%S', 'ss'))",
-    # like the property functions: only text is a string, only numbers are numbers; ``k2`` names a member of a member
-    "JSONExtractString(j STRING, k STRING, k2 STRING DEFAULT NULL) RETURNS STRING":
-        f"if(schema_of_variant({_MEMBER}) = 'STRING', {_MEMBER}::string, '')",
-    "JSONExtractFloat(j STRING, k STRING, k2 STRING DEFAULT NULL) RETURNS DOUBLE":
-        f"if(left(schema_of_variant({_MEMBER}), 3) IN ('BIG', 'DEC', 'DOU', 'FLO'), try_cast({_MEMBER} AS DOUBLE), 0D)",
-    "JSONHas(j STRING, k STRING, k2 STRING DEFAULT NULL) RETURNS BOOLEAN": f"{_MEMBER} IS NOT NULL",
+    # like the property functions: only text is a string, only numbers are numbers
+    f"JSONExtractString(j STRING, k STRING, {_MORE}) RETURNS STRING": _TEXT.format(m=_MEMBER),
+    f"JSONExtractFloat(j STRING, k STRING, {_MORE}) RETURNS DOUBLE": _NUMBER.format(m=_MEMBER),
+    f"JSONHas(j STRING, k STRING, {_MORE}) RETURNS BOOLEAN": f"{_MEMBER} IS NOT NULL",
+    "JSONPathString(j STRING, p ARRAY<STRING>) RETURNS STRING": _TEXT.format(m=_AT_PATH),
+    "JSONPathFloat(j STRING, p ARRAY<STRING>) RETURNS DOUBLE": _NUMBER.format(m=_AT_PATH),
+    "JSONPathHas(j STRING, p ARRAY<STRING>) RETURNS BOOLEAN": f"{_AT_PATH} IS NOT NULL",
 }
 # ------------------------------------------------------------------------------------------------
 

@@ -101,3 +101,18 @@ def test_helpers_agree_with_property_functions(spark):
                        JSONExtractFloat(j, 's') AS e, JSONExtractFloat(j, 'o', 'n') AS f, JSONHas(j, 'a.b') AS g, JSONHas(j, 'zz') AS h
                        FROM VALUES ('{"k":5,"s":"7","o":{"t":"x","n":2.5},"a.b":1}') AS t(j)""").first()
     assert tuple(row) == ("", "7", "x", 5.0, 0.0, 2.5, True, False)
+
+
+def test_helpers_take_paths_of_any_length(spark):
+    sqlapi.register(spark, {})
+    keys = [f"m{i}" for i in range(12)]
+    deep = '"x"'
+    for k in reversed(keys):
+        deep = f'{{"{k}":{deep}}}'
+    path = "array(" + ", ".join(f"'{k}'" for k in keys) + ")"
+    row = spark.sql(f"""SELECT JSONExtractString(j, 'a', 'b', 'c', 'd') AS a, JSONExtractFloat(j, 'a', 'b', 'c', 'n') AS b, JSONHas(j, 'a', 'b', 'c') AS c,
+                        JSONHas(j, 'a', 'b', 'zz', 'd') AS d, JSONExtractString(j, 'a', 'b') AS e, JSONPathString(deep, {path}) AS f,
+                        JSONPathHas(deep, slice({path}, 1, 5)) AS g, JSONPathFloat(j, array('a', 'b', 'c', 'n')) AS h, JSONPathString(deep, array()) AS i,
+                        JSONPathString(NULL, array('a')) AS k
+                        FROM VALUES ('{{"a":{{"b":{{"c":{{"d":"x","n":2.5}}}}}}}}', '{deep}') AS t(j, deep)""").first()
+    assert tuple(row)[:9] == ("x", 2.5, True, False, "", "x", True, 2.5, "")
