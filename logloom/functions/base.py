@@ -27,6 +27,11 @@ def apply_sql(value: Column, name: str, body: str) -> Column:
     return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
 
 
+def lower_hex_sql(value: str) -> str:
+    """``hex`` with small letters; ``lower`` would look up every text's locale, which costs more than parsing a short message."""
+    return f"translate(hex({value}), 'ABCDEF', 'abcdef')"
+
+
 def ts_lit(moment: datetime | str | Column, like: T.DataType | None = None) -> Column:
     """A timestamp literal of type ``like``, so that comparisons need no cast on the column side.
 

@@ -102,8 +102,9 @@ def general_number(x: Column) -> Column:
 ESCAPED = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029"}
 # ------------------------------------------------------------------------------------------------
 
-#: A string, a number, or what stands between them. Possessive, so that long strings need no stack.
-_TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][-+.0-9eE]*+|[^"0-9-]++'
+#: A run of strings without the characters above and of what stands between values, a number, or another string. Possessive,
+#: so that long texts need no stack.
+_TOKEN = r'(?:[^"0-9-]++|"(?:[^"\\&<>\u2028\u2029]++|\\.)*+")++|-?[0-9][-+.0-9eE]*+|"(?:[^"\\]++|\\.)*+"'
 #: Whether a text may hold something that is written in another way (long numbers, exponents, trailing zeros, escapes).
 _ODD = r"[&<>\u2028\u2029]|[0-9][eE]|[.][0-9]*0[,}\]]|[0-9.]{16}|0[.]00000"
 

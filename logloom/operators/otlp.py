@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.base import apply_sql, let, let_sql, nonempty, text_or_empty
+from logloom.functions.base import apply_sql, let, let_sql, lower_hex_sql, nonempty, text_or_empty
 from logloom.functions.json_text import general_sql, wire_form, wire_sql
 from logloom.functions.timeparse import nanos_text
 from logloom.schema import OTLP_LOGS, OTLP_TRACES
@@ -23,7 +23,7 @@ SEVERITY_GROUPS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
 def _hex_sql(text: str) -> str:
     """Bytes fields are Base64 in the JSON form (either alphabet, padding optional)."""
     std = f"rtrim('=', translate({text}, '-_', '+/'))"
-    return f"lower(hex(try_to_binary(concat({std}, repeat('=', pmod(-length({std}), 4))), 'base64')))"
+    return lower_hex_sql(f"try_to_binary(concat({std}, repeat('=', pmod(-length({std}), 4))), 'base64')")
 
 
 def _hex_bytes(text: Column) -> Column:
@@ -36,32 +36,34 @@ def _get(v: str, path: str, kind: str) -> str:
 
 # --- typed values to ordinary JSON, as one pass over the JSON text ---------------------------------
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: A bytes value with its name, a string that holds a bracket, or a run of all else.
+_PIECE = rf'"bytesValue":{_STRING}|(?:[^"]++|(?!"bytesValue":")"(?:[^"\\{{}}\[\]]++|\\.)*+")++|{_STRING}'
+#: The inside of a string; a run that begins and ends with strings has a quote between them.
+_BRACKETED = r'(?:[^"\\]++|\\.)*+'
 #: Rewriting steps in order. In the text, brackets inside strings are escaped, so all brackets are structure. The marks are
 #: control characters, which JSON text never holds: 1 the end of a list (of values or of entries), 2 an empty object,
 #: 3 and 4 the opening and closing bracket of an object.
-_STEPS = [
-    (rf'\{{"(?:stringValue|bytesValue)":({_STRING})\}}', "$1"),
-    (r'\{"boolValue":(true|false)\}', "$1"),
-    (r'\{"intValue":"?(-?[0-9]++)"?\}', "$1"),
-    (r'\{"doubleValue":"?(-?[0-9.]++[eE][-+]?[0-9]++)"?\}', "$1"),
+_SCALARS = [
+    (rf'\{{"(?:(?:stringValue|bytesValue)":({_STRING})|boolValue":(true|false)|intValue":"?(-?[0-9]++)"?'
+     r'|doubleValue":"?(-?[0-9.]++[eE][-+]?[0-9]++)"?)\}', "$1$2$3$4"),
     (r'\{"doubleValue":"?(-?[0-9.]++)"?\}', "$1e0"),
     (r'\{(?:"[a-z]+Value":null)?\}', "null"),
     (r'\{"arrayValue":(?:null|\{"values":\[\]\})\}', "[]"),
     (r'\{"kvlistValue":(?:null|\{"values":\[\]\})\}', "\u0002"),
     (rf'\{{"key":({_STRING})\}}', '{"key":$1,"value":null}'),
-    (r'\{"value":', '{"key":"","value":'),
-    (r'\{"arrayValue":\{"values":\[', "["),
-    (r'\{"kvlistValue":\{"values":\[', "\u0003"),
+]
+#: Texts, replaced as they are.
+_BRACKETS = [
+    ('{"value":', '{"key":"","value":'),
+    ('{"arrayValue":{"values":[', "["),
+    ('{"kvlistValue":{"values":[', "\u0003"),
     # what is left of closing brackets: those of lists, three at a time, and those of entries
-    (r"\]\}\}", "\u0001"),
-    ("\\}\u0001", "\u0004"),
+    ("]}}", "\u0001"),
+    ("}\u0001", "\u0004"),
     ("\u0001", "]"),
-    (rf'\{{"key":({_STRING}),"value":', "$1:"),
-    (r"\},", ","),
-    ("\u0002", "{}"),
-    ("\u0003", "{"),
-    ("\u0004", "}"),
 ]
+_ENTRY = (rf'\{{"key":({_STRING}),"value":', "$1:")
+_MARKS = [("},", ","), ("\u0002", "{}"), ("\u0003", "{"), ("\u0004", "}")]
 
 
 def _listed_sql(v: str) -> str:
@@ -69,13 +71,17 @@ def _listed_sql(v: str) -> str:
     escaped = "t"
     for char in "{}[]":
         escaped = f"replace({escaped}, '{char}', r'\\u{ord(char):04x}')"
-    # the Base64 text of a bytes value follows its name and a colon
-    is_bytes = "i > 1 AND get(all, i - 1) = ':' AND get(all, i - 2) = '\"bytesValue\"'"
-    base64 = "concat('\"', " + _hex_sql("substring(t, 2, length(t) - 2)") + ", '\"')"
-    tokens = f"transform(all, (t, i) -> CASE WHEN left(t, 1) <> '\"' THEN t WHEN {is_bytes} THEN {base64} ELSE {escaped} END)"
-    text = let_sql(f"regexp_extract_all(to_json({v}), r'{_STRING}|[^\"]++', 0)", "all", f"array_join({tokens}, '')")
-    for pattern, written in _STEPS:
+    # a text that is not Base64 leaves nothing behind its name, which no step below makes JSON of
+    base64 = "concat('\"bytesValue\":', coalesce(concat('\"', " + _hex_sql("substring(t, 15, length(t) - 15)") + ", '\"'), ''))"
+    pieces = f"transform(all, t -> CASE WHEN t LIKE '\"bytesValue\":\"%' THEN {base64} WHEN t RLIKE r'^\"{_BRACKETED}\"$' THEN {escaped} ELSE t END)"
+    text = let_sql(f"regexp_extract_all(to_json({v}), r'{_PIECE}', 0)", "all", f"array_join({pieces}, '')")
+    for pattern, written in _SCALARS:
         text = f"regexp_replace({text}, r'{pattern}', '{written}')"
+    for part, written in _BRACKETS:
+        text = f"replace({text}, '{part}', '{written}')"
+    text = f"regexp_replace({text}, r'{_ENTRY[0]}', '{_ENTRY[1]}')"
+    for part, written in _MARKS:
+        text = f"replace({text}, '{part}', '{written}')"
     return f"coalesce(try_parse_json({text}), {v})"
 
 

@@ -32,14 +32,15 @@ SELECT event_id AS no, concat('{{"deep":', {_plain("CAST(event_id AS VARCHAR)")}
   ELSE concat(event_id // 2, '.5') END, ',"long":9007199254740993}}') AS properties, {_plain("CAST(-event_id AS VARCHAR)")} AS message FROM events""")
 def _(spark, sf):
     """Attribute values and bodies of six levels; keys repeat inside key-value lists, the last value wins; 64-bit integers stay."""
-    ev = table(spark, sf, "events").withColumn("k", text("event_id"))
-    deep = F.expr(_typed("concat('{\"intValue\":\"', k, '\"}')"))
-    body = F.expr(_typed("concat('{\"intValue\":', '-', k, '}')"))
-    record = F.concat(
-        F.lit('{"timeUnixNano":"'), text(F.col("event_id") + 1), F.lit('000","body":'), body, F.lit(',"attributes":[{"key":"long","value":{"intValue":"9007199254740993"}},'
-              '{"key":"half","value":{"stringValue":"first"}},{"key":"half","value":{"doubleValue":'), text(F.col("event_id") / 2),
-        F.lit('}},{"key":"deep","value":'), deep, F.lit("}]}"))
-    grouped = grouped_lines(ev, F.floor(F.col("event_id") / LINES_PER_MESSAGE), record, "event_id")
+    deep, body = (_typed(f"concat('{{\"intValue\":{sign}', string(k), '{end}}}')") for sign, end in (('"', '"'), ("-", "")))
+    record = (f"concat('{{\"timeUnixNano\":\"', string(k + 1), '000\",\"body\":', {body}, ',\"attributes\":[{{\"key\":\"long\",\"value\":{{\"intValue\":\"9007199254740993\"}}}},"
+              f"{{\"key\":\"half\",\"value\":{{\"stringValue\":\"first\"}}}},{{\"key\":\"half\",\"value\":{{\"doubleValue\":', string(k / 2), "
+              f"'}}}},{{\"key\":\"deep\",\"value\":', {deep}, '}}]}}')")
+    # only keys are shuffled, records are written where they are grouped; a fixed number of parts, as few bytes make much to parse
+    keys = table(spark, sf, "events").select(F.floor(F.col("event_id") / LINES_PER_MESSAGE).alias("number"), "event_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = (keys.repartition(parts, "number").groupBy("number").agg(F.array_sort(F.collect_list("event_id")).alias("keys"))
+               .select("number", F.array_join(F.call_function("transform", F.col("keys"), F.expr(f"k -> {record}")), "\n").alias("body")))
     request = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":['), F.replace(F.col("body"), F.lit("\n"), F.lit(",")), F.lit("]}]}]}"))
     raw = grouped.select(text("number").alias("message_id"), message(request, "otlp-logs", "collector").alias("raw"))
     events = events_of(parse_messages(raw, AS_OF.isoformat(" ")))
