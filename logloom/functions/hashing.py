@@ -128,7 +128,7 @@ def type_subject(template: Column, message: Column) -> Column:
 
 def type_code(subject: Column, code: Column) -> Column:
     """``0x`` and eight hex digits; empty for an empty subject."""
-    return F.when(subject == "", F.lit("")).otherwise(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(code)), 8, "0")))
+    return F.when(subject == "", F.lit("")).otherwise(F.concat(F.lit("0x"), F.lpad(F.translate(F.hex(code), "ABCDEF", "abcdef"), 8, "0")))
 
 
 def event_type(template: Column, message: Column) -> Column:

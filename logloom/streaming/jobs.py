@@ -80,19 +80,21 @@ class LandingWriter:
         if starting:  # a checkpoint has an id of its own
             self.run = json.loads(spark.read.text(f"{self.checkpoint}/metadata").first()[0])["id"]
         token = f"{self.run}-{batch_id}"
-        rows = rows.withColumn("batch", F.lit(token)).select(*STORED.fieldNames()).dropDuplicates(["id"])
-        if starting and exists(spark, self.root):
-            half = spark.read.schema(STORED).parquet(self.root).filter(F.col("batch") == token).select("id")
-            rows = rows.join(half, "id", "left_anti")
-        rows = rows.withColumn("part", self._part()).persist()
+        rows = rows.withColumn("batch", F.lit(token)).select(*STORED.fieldNames()).dropDuplicates(["id"]).withColumn("part", self._part())
+        # what is kept reads neither the landing table nor the ledger: a write to either would drop it and parse the batch again
+        rows = rows.persist()
         try:
             fresh = rows
             if exists(spark, self.ledger):
                 parts = [r["part"] for r in rows.select("part").distinct().collect()]  # at most the number of parts
                 known = spark.read.schema(LEDGER).parquet(self.ledger).filter(F.col("part").isin(parts))
                 fresh = rows.join(known, ["part", "message_id"], "left_anti")
-            write_landing(fresh.select(*STORED.fieldNames()), self.root)
-            ids = fresh.select("message_id", "part").distinct()
+            unstored = fresh
+            if starting and exists(spark, self.root):
+                half = spark.read.schema(STORED).parquet(self.root).filter(F.col("batch") == token).select("id")
+                unstored = fresh.join(half, "id", "left_anti")
+            write_landing(unstored.select(*STORED.fieldNames()), self.root)
+            ids = fresh.select("message_id", "part").distinct()  # with those whose rows were stored by a batch that stopped
             ids.hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(self.ledger)
         finally:
             rows.unpersist()

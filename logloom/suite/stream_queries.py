@@ -50,7 +50,7 @@ UNION ALL SELECT 'dead_letter', count(*) FROM orders WHERE o_orderkey % 10 IN (4
 def _(spark, sf):
     """Message files to events and dead letters; a second run over a lost checkpoint adds nothing twice."""
     inbox, root = scratch(spark, "inbox"), scratch(spark, "landing")
-    mixed_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body")).repartition(2).write.json(inbox)
+    mixed_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body")).hint("rebalance").write.json(inbox)
     for _ in range(2):
         jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" ")).awaitTermination()
     events = jobs.landed_events(spark, root).agg(count_rows().alias("n")).select(F.lit("event").alias("outcome"), "n")

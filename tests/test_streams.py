@@ -100,3 +100,48 @@ def test_sliding_rule_over_midnight(spark, landing):
     upkeep(events(spark).filter("id = '3'"), 1)  # touches no match
     got = {r[0]: r["cnt"] for r in jobs.kept_buckets(spark, table).select(show_ts(F.col("bucket_end")), "cnt").collect()}
     assert got == {"2026-01-02 00:00:00": 1, "2026-01-02 00:01:00": 1, "2026-01-02 00:02:00": 1}
+
+
+def test_the_first_batch_after_a_start_reaches_the_ledger(spark):
+    inbox, root, checkpoint = (scratch(spark, x) for x in ("inbox", "landing", "checkpoint"))
+    deliver(spark, inbox, ("a", text([event(1)])))
+    ingest(spark, inbox, root, checkpoint)
+    deliver(spark, inbox, ("b", text([event(2)])))
+    assert ingest(spark, inbox, root, checkpoint) == ["m1", "m2"]
+    ids = spark.read.schema(jobs.LEDGER).parquet(f"{root}/_ledger")  # the write of the events must not empty what is kept of the batch
+    assert sorted(r["message_id"] for r in ids.collect()) == ["a", "b"]
+
+
+@pytest.fixture
+def many_parts(spark, tmp_path):
+    """200 events, and a session that leaves small shuffle partitions apart."""
+    rows = spark.range(200).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_delivery_is_written_and_read_by_many_tasks(spark, many_parts, monkeypatch):
+    from logloom.suite import QUERIES
+
+    seen, real = {}, jobs.ingest_stream
+
+    def ingest_stream(spark, inbox, *args, max_files, **more):
+        seen.update(files=len(spark.read.text(inbox).inputFiles()), batch=max_files)
+        return real(spark, inbox, *args, max_files=max_files, **more)
+
+    monkeypatch.setattr(jobs, "ingest_stream", ingest_stream)
+    assert QUERIES["stream_tail"](spark, many_parts).count() == 50  # the second of four messages
+    assert seen["batch"] > 1 and seen["files"] == 2 * seen["batch"]  # a delivery is a batch of its own
+
+
+def test_nested_requests_are_parsed_by_many_tasks(spark, many_parts):
+    from logloom.suite import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")  # as usual: few bytes would become one task
+    got = QUERIES["ingest_otlp_nested"](spark, many_parts)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["no"] for r in got.select("no").collect()) == list(range(200))
