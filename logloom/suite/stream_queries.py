@@ -91,9 +91,10 @@ def _(spark, sf):
     """Every message is delivered twice, each id lands and is shown once; the page keeps the newest 500."""
     inbox, root = scratch(spark, "inbox"), scratch(spark, "landing")
     messages = clef_messages(spark, sf).select(F.col("message_id").alias("id"), F.col("raw").alias("body"))
-    for _ in range(2):
-        messages.coalesce(1).write.mode("append").json(inbox)
-    jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" "), max_files=1).awaitTermination()
+    for delivery in range(2):
+        messages.write.mode("append").json(inbox)
+        files = len(spark.read.text(inbox).inputFiles()) if not delivery else files
+    jobs.ingest_stream(spark, inbox, root, scratch(spark, "checkpoint"), AS_OF.isoformat(" "), max_files=max(1, files)).awaitTermination()
     landed = spark.readStream.schema(jobs.STORED).parquet(root).filter(F.col("outcome") == jobs.EVENTS)
     return newest_first(finish(jobs.tail(landed, LogQuery("app-1")), "tail"), 500).select("id")
 
