@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logloom.llm.common import batches_of, dropped, filled, lowered, pick, split_words, stored
+from logloom.llm.common import batches_of, chosen, dropped, filled, lowered, numbered, pick, split_words, stored
 
 SHINGLE = 4
 SEED = 42
@@ -305,16 +305,25 @@ def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def dedupe(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the smallest doc_id (nulls last), one row of it if rows repeat."""
+def fingerprinted(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` as ``numbered`` rows with their fingerprints; its columns are called ``_0``, ``_1`` and so on."""
     names = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
-    text, doc = names.index("text"), names.index("doc_id")
     schema = StructType([*plain.schema, StructField("fp", LongType())])
-    rows = stored(plain.mapInArrow(fingerprinter(size, seed, text), schema).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
-    keys = rows.select(F.col(f"_{doc}").alias("doc_id"), "fp", "row")
+    return numbered(plain.mapInArrow(fingerprinter(size, seed, names.index("text")), schema), "simhash-rows")
+
+
+def firsts(rows: DataFrame, doc: str, radius: int = RADIUS) -> DataFrame:
+    """Those ``fingerprinted`` rows that come first in their component: by ``doc`` (nulls last), then by number."""
+    keys = rows.select(F.col(doc).alias("doc_id"), "fp", "row")
     grouped = keys.join(components(keys.select("doc_id", "fp"), radius).select("fp", F.col("root").alias("c")), "fp")
     # the root tells components apart (ids may be null or repeat); the smallest id is kept, the smallest row settles ties
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
-    first = grouped.groupBy("c").agg(F.min(order).alias("m")).select(F.col("m.c").alias("row"))
-    return rows.join(first, "row", "left_semi").select(*(f"_{i}" for i in range(len(names)))).toDF(*names)
+    return chosen(rows, stored(grouped.groupBy("c").agg(F.min(order).alias("m")).select(F.col("m.c").alias("row")), "simhash-firsts"))
+
+
+def dedupe(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One document of each component: the smallest doc_id (nulls last), one row of it if rows repeat."""
+    names = docs.columns
+    rows = firsts(fingerprinted(docs, size, seed), f"_{names.index('doc_id')}", radius)
+    return rows.select(*(f"_{i}" for i in range(len(names)))).toDF(*names)

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import batches_of, filled, stored
+from logloom.llm.common import BLOCK, batches_of, bucketed, chosen, filled, looked_up, numbered, stored
 from logloom.llm.simhash import ROWS, SEED, connected, shingle_hashes
 
 SHINGLE = 5
@@ -121,24 +121,27 @@ def round_links(rows: DataFrame, bands: DataFrame, components: DataFrame | None,
         F.when(c == F.col("chunk"), 0).when(F.col("chunk") < c, 1).otherwise(2).alias("side")))
     keyed = stored(mine.select("row", "component", "band", F.inline(pairs)).select(
         "row", "component", F.xxhash64("band", "lo", "hi").alias("shard"), "side"), "similar-shards")
-    # texts go to the bands, not sets: a set is larger and cannot be compressed. Spark broadcasts the stored table of
-    # shards where its size is below the session's threshold, and shuffles the texts beyond it
-    together = keyed.join(rows, "row").repartition(n, "shard").sortWithinPartitions("shard", "row")
+    # texts go to the bands, not sets: a set is larger and cannot be compressed. What a text is asked for comes to the text
+    asked = (keyed.groupBy("row").agg(F.collect_list(F.struct("shard", "side", "component")).alias("asked"))
+             .groupBy(F.shiftright("row", BLOCK).alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct("row", "asked"))).alias("_asked")))
+    found = looked_up(rows, asked, F.col("block") == F.col("_block"), "inner").select("row", "text", F.element_at("_asked", F.col("row")).alias("asked"))
+    together = found.select("row", "text", F.inline("asked")).repartition(n, "shard").sortWithinPartitions("shard", "row")
     return together.select("shard", "side", "row", "component", "text").mapInArrow(run_checks, "u bigint, v bigint")
 
 
 def links(rows: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
-    """Edges (u, v) between rows of a stored (row, text) table that connect what is linked, and nothing else."""
-    signed = stored(rows.mapInArrow(run_signatures, "row bigint, whole binary, bands array<bigint>"), "similar-signatures")
+    """Edges (u, v) between ``numbered`` rows (row, block, text) that connect what is linked, and nothing else."""
+    signed = stored(rows.select("row", "text").mapInArrow(run_signatures, "row bigint, whole binary, bands array<bigint>"), "similar-signatures")
     firsts = signed.groupBy("whole").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     edges = stored(signed.select("row", "whole").join(firsts.filter("n > 1"), "whole").filter("row > first").select(
         F.col("row").alias("u"), F.col("first").alias("v")), "similar-edges")
     alone = signed.join(edges.select(F.col("u").alias("row")), "row", "left_anti")
     every = alone.select("row", F.posexplode("bands").alias("at", "band"))
-    several = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = stored(every.join(several, "band", "left_semi"), "similar-shared")
+    beside = Window.partitionBy("band").orderBy("row")
+    several = F.lag("row").over(beside).isNotNull() | F.lead("row").over(beside).isNotNull()
+    shared = stored(every.withColumn("several", several).filter("several").drop("several"), "similar-shared")
     # only texts that share a band with another are sent anywhere
-    texts = stored(rows.join(shared.select("row").distinct(), "row", "left_semi"), "similar-texts")
+    texts = bucketed(chosen(rows, shared.select("row")), "block", "similar-texts")
     for turn, (start, stop) in enumerate(ROUNDS):
         bands = shared.filter((F.col("at") >= start) & (F.col("at") < stop)).select("row", "band")
         found = round_links(texts, bands, connected(edges) if turn else None, band_docs)
@@ -146,15 +149,18 @@ def links(rows: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
     return edges
 
 
-def dedupe(docs: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
-    """One document of each component: the smallest doc_id (nulls last), one row of it if rows repeat."""
-    names = docs.columns
-    plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
-    text, doc = f"_{names.index('text')}", f"_{names.index('doc_id')}"
-    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "similar-rows")
-    roots = connected(links(rows.select("row", F.col(text).cast("string").alias("text")), band_docs))
+def firsts(rows: DataFrame, text: str, doc: str, band_docs: int = BAND_DOCS) -> DataFrame:
+    """Those ``numbered`` rows that come first in their component: by ``doc`` (nulls last), then by number."""
+    roots = connected(links(rows.select("row", "block", F.col(text).cast("string").alias("text")), band_docs))
     members = stored(roots.select(F.col("u").alias("row"), F.col("v").alias("root")).union(roots.select("v", "v").distinct()), "similar-members")
     order = F.struct(F.col(doc).isNull().alias("a"), F.col(doc).alias("b"), F.col("row").alias("c"))
     first = members.join(rows.select("row", doc), "row").groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.c").alias("row"))
-    surplus = members.select("row").join(first, "row", "left_anti")
-    return rows.join(surplus, "row", "left_anti").select(*(f"_{i}" for i in range(len(names)))).toDF(*names)
+    return chosen(rows, members.select("row").join(first, "row", "left_anti"), "left_anti")
+
+
+def dedupe(docs: DataFrame, band_docs: int = BAND_DOCS) -> DataFrame:
+    """One document of each component: the smallest doc_id (nulls last), one row of it if rows repeat."""
+    names = docs.columns
+    rows = numbered(docs.toDF(*(f"_{i}" for i in range(len(names)))), "similar-rows")
+    kept = firsts(rows, f"_{names.index('text')}", f"_{names.index('doc_id')}", band_docs)
+    return kept.select(*(f"_{i}" for i in range(len(names)))).toDF(*names)

@@ -127,6 +127,27 @@ def test_similar_texts_match_brute_force(spark):
     assert similar.dedupe(docs.limit(0)).count() == 0
 
 
+def shuffled_columns(plan):
+    """Names of the columns that exchanges of a plan send."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return shuffled_columns(plan.initialPlan())
+    own = {plan.output().apply(i).name() for i in range(plan.output().size())} if "Exchange" in plan.nodeName() else set()
+    return own.union(*(shuffled_columns(plan.children().apply(i)) for i in range(plan.children().size())))
+
+
+def test_kept_texts_are_not_shuffled(spark):
+    """However large the tables are: without broadcasts only numbers go to the texts, in blocks of several tasks."""
+    texts = [" ".join(f"w{n % 90}x{n * i % 1009}" for i in range(80)) for n in range(1, 181)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kept in (simhash.dedupe(docs), similar.dedupe(docs), corpus_pipeline.drop_similar(spark, docs, "")):
+            assert "_1" not in shuffled_columns(kept._jdf.queryExecution().executedPlan())
+            assert sorted(r["text"] for r in kept.collect()) == sorted(set(texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def clustered(rng, n):
     centres = rng.integers(0, 2**63, max(1, n // 40), dtype=np.uint64)
     points = centres[rng.integers(0, len(centres), n)]
