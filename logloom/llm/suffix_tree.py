@@ -8,9 +8,10 @@ Distributions are smoothed towards the next shorter retained suffix with weight
 257 symbols. A symbol is scored by the longest retained suffix of what precedes it.
 
 Three passes. The first turns each task's documents into chunks (a dictionary of distinct words, and codes), counts their
-(depth + 1)-grams and training words, and stores them. Word counts return to the chunks, never to documents. Grams are dealt
-into parts by the two symbols before the last, so that all grams of a context of two or more symbols are in one part; a
-chunk's grams of a part are one packed row. The second pass adds up each part and stores its counts; contexts of less than
+(depth + 1)-grams and training words, and stores them, bucketed by chunk, so that they are never shuffled. Word counts return
+to the chunks (where other chunks have the word too), never to documents. Grams are dealt into parts by the two symbols before
+the last, so that all grams of a context of two or more symbols are in one part; a chunk's grams of a part are one compressed
+row, ordered by the last symbol and then outwards: grams with the same probability are mostly neighbours. The second pass adds up each part and stores its counts; contexts of less than
 two symbols (at most 258 * 257 codes, whatever the corpus) are learned on the driver, all others part by part. The third
 joins the chunks' grams with their part's counts, learns the part's subtrees and returns a probability per distinct gram to
 the chunks, which are then scored. A task holds the distinct grams of one part and one row of a chunk at a time.
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import filled, lowered, pick, split_words, stored
+from logloom.llm.common import bucketed, filled, looked_up, lowered, pick, split_words, stored
 
 END = 256
 SYMBOLS = 257
@@ -168,6 +169,22 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, np.bincount(back, counts, len(out)).astype(np.int64)
 
 
+def counted(codes: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes, and how often each is training."""
+    marked = np.sort(codes.astype(np.uint64) << np.uint64(1) | training.astype(np.uint64))
+    keys = (marked >> np.uint64(1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first) if len(first) else first
+
+
+def turned(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Codes with their symbols in reverse order: the last symbol highest, then the nearest before it. Its own inverse."""
+    out = np.zeros(len(codes), np.int64)
+    for back in range(depth + 1):
+        out |= ((codes >> (9 * back)) & 511) << (9 * (depth - back))
+    return out
+
+
 def part_of(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
     near = (keys >> 9) & ((1 << (9 * min(NEAR, depth))) - 1)
     return ((near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
@@ -198,13 +215,34 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
 
 
+def squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data)
+
+
+def restored(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers as differences, all lowest bytes first."""
-    return np.diff(numbers.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers, all lowest bytes first, compressed."""
+    return squeezed(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1))
+    return np.ascontiguousarray(np.frombuffer(restored(data), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def packed_rising(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as their differences."""
+    return packed(np.diff(numbers, prepend=0))
+
+
+def unpacked_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
 
 
 def chunker(depth: int, chunk_words: int, parts_: int):
@@ -221,19 +259,19 @@ def chunker(depth: int, chunk_words: int, parts_: int):
             b = piece_end(starts, a)
             data, at = symbols(coded.dictionary, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
             # grams of held-out documents have count 0: they are scored, not learned from
-            seen.append(added(grams(data, at, depth), np.repeat(~out[a:b], np.diff(at)).astype(np.int64)))
+            seen.append(counted(grams(data, at, depth), np.repeat(~out[a:b], np.diff(at))))
             a = b
         keys, number = added(np.concatenate([k for k, _ in seen]), np.concatenate([n for _, n in seen]))
         low, low_number = added(suffix(keys, max(1, min(NEAR, depth))), number)
-        part = part_of(keys, depth, parts_)
-        order = np.argsort(part, kind="stable")
+        part, keys = part_of(keys, depth, parts_), turned(keys, depth)
+        order = np.lexsort((keys, part))
         which, first = np.unique(part[order], return_index=True)
-        split = [np.split(x[order], first[1:]) for x in (keys, number)]
+        split = [(pack, np.split(x[order], first[1:])) for pack, x in ((packed_rising, keys), (packed, number))]
         single = [ids.to_numpy().tobytes(), missing.to_numpy(zero_copy_only=False).tobytes(), out.tobytes(), starts.astype(np.int64).tobytes(), planes(codes)]
         return pa.RecordBatch.from_arrays(
             [pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in single), one_list(coded.dictionary.cast(pa.string())),
              *(one_list(pa.array(x, pa.int64())) for x in (counts, low, low_number)), one_list(pa.array(which, pa.int32())),
-             *(one_list(pa.array([packed(x) for x in s], pa.binary())) for s in split)],
+             *(one_list(pa.array([pack(x) for x in s], pa.binary())) for pack, s in split)],
             names=["chunk", "doc_ids", "no_id", "held", "starts", "codes", "words", "train", "low", "low_counts", "part", "grams", "gram_counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +310,7 @@ def run_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         (keys, n), = merged()
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([packed(x)], pa.binary()) for x in (keys, n))],
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([x], pa.binary()) for x in (packed_rising(keys), packed(n)))],
                                           names=["part", "grams", "gram_counts"])
 
     for batch in batches:
@@ -281,7 +319,7 @@ def run_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield row()
                 now, held, size = part.as_py(), [], 0
-            keys, n = unpacked(keys.as_py()), unpacked(n.as_py())
+            keys, n = unpacked_rising(keys.as_py()), unpacked(n.as_py())
             held.append((keys[n > 0], n[n > 0]))
             size += len(keys)
             if size > MERGE + 2 * len(held[0][0]):
@@ -300,13 +338,13 @@ def run_chances(low: Tree, depth: int, least: float, least_gain: float):
         for batch in batches:
             out = []
             for part, chunk, keys, n in zip(*(batch.column(c) for c in ("part", "chunk", "grams", "gram_counts"))):
-                keys = unpacked(keys.as_py())
+                keys = turned(unpacked_rising(keys.as_py()), depth)
                 if chunk.as_py() is None:
                     now, tree = part.as_py(), grown(keys, unpacked(n.as_py()))
                     continue
                 if part.as_py() != now:
                     now, tree = part.as_py(), grown(np.zeros(0, np.int64), np.zeros(0, np.int64))
-                out.append((chunk.as_py(), now, np.log10(probability(tree, keys, depth)).tobytes()))
+                out.append((chunk.as_py(), now, squeezed(np.log10(probability(tree, keys, depth)).tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()))],
                                              names=["chunk", "part", "chances"])
     return run
@@ -341,23 +379,22 @@ def scorer(depth: int, total: int, distinct: int, ends: int):
                 ids, starts = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["starts"], np.int64)
                 codes = from_planes(row["codes"])
                 dictionary = batch.column("words")[i].values
-                counts = np.zeros(len(dictionary), np.int64)
+                counts = batch.column("train")[i].values.to_numpy().copy()
                 where, found = batch.column("places")[i].values, batch.column("counts")[i].values
                 counts[where.to_numpy()] = found.to_numpy()
                 each = base(counts)[codes] if len(codes) else np.zeros(0)
                 known = (counts > 0)[codes].astype(np.int64) if len(codes) else np.zeros(0, np.int64)
                 score = np.zeros(len(ids))
                 found = dict(zip(batch.column("chance_parts")[i].as_py(), batch.column("chances")[i].values))
-                known_grams = np.concatenate([unpacked(g.as_py()) for g in batch.column("grams")[i].values])
-                chance = np.concatenate([np.frombuffer(found[p].as_buffer()) for p in batch.column("part")[i].as_py()])
+                known_grams = turned(np.concatenate([unpacked_rising(g.as_py()) for g in batch.column("grams")[i].values]), depth)
+                chance = np.concatenate([np.frombuffer(restored(found[p].as_py())) for p in batch.column("part")[i].as_py()])
                 order = np.argsort(known_grams)
                 known_grams, chance = known_grams[order], chance[order]
                 a = 0
                 while a < len(ids):  # documents in pieces of bounded size
                     b = piece_end(starts, a)
                     data, at = symbols(dictionary, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
-                    keys, back = np.unique(grams(data, at, depth), return_inverse=True)
-                    score[a:b] = exact_sums(chance[np.searchsorted(known_grams, keys)][back], at)
+                    score[a:b] = exact_sums(chance[np.searchsorted(known_grams, grams(data, at, depth))], at)
                     a = b
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, mask=np.frombuffer(row["no_id"], bool)), pa.array(np.frombuffer(row["held"], bool)),
@@ -379,13 +416,13 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, least_share:
     parts = PARTS * partitions
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"),
                                                F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    chunks = stored(rows.mapInArrow(chunker(depth, chunk_words, parts), CHUNK), "pst-chunks")
+    chunks = bucketed(rows.mapInArrow(chunker(depth, chunk_words, parts), CHUNK), "chunk", "pst-chunks")
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("place", "w"))
-    # a word is at most one row per chunk: its rows meet once, get their sum, and only numbers go on
+    # a word is at most one row per chunk: its rows meet once, get their sum, and only numbers go on, to chunks that lack some
     same = Window.partitionBy("word")
     summed = (listed.select("chunk", "place", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-              .select("chunk", "place", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first")))
-    counts = stored(summed.filter("c > 0"), "pst-counts")
+              .select("chunk", "place", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first")))
+    counts = stored(summed.filter("c > n or (first and c > 0)"), "pst-counts")
     sums = counts.filter("first").agg(F.sum("c"), F.count("*")).first()
     ends = rows.filter(~F.col("held_out")).count()
     total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
@@ -403,10 +440,10 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, least_share:
     chances = (asked.repartition(partitions, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
                .mapInArrow(run_chances(low, depth, least, least_gain), "chunk bigint, part int, chances binary")
                .groupBy("chunk").agg(F.collect_list(F.struct("part", "chances")).alias("found")))
-    back = counts.groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
-    joined = chunks.select("chunk", "doc_ids", "no_id", "held", "starts", "codes", "words", "part", "grams").join(back, "chunk", "left").join(chances, "chunk").select(
-        "doc_ids", "no_id", "held", "starts", "codes", "words", "part", "grams",
-        F.col("found.part").alias("chance_parts"), F.col("found.chances").alias("chances"),
+    back = counts.filter("c > n").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("known"))
+    wanted = ["doc_ids", "no_id", "held", "starts", "codes", "words", "train", "part", "grams"]
+    joined = looked_up(looked_up(chunks.select("chunk", *wanted), back, "chunk", "left"), chances, "chunk", "inner").select(
+        *wanted, F.col("found.part").alias("chance_parts"), F.col("found.chances").alias("chances"),
         F.coalesce(F.col("known.place"), F.array().cast("array<int>")).alias("places"),
         F.coalesce(F.col("known.c"), F.array().cast("array<bigint>")).alias("counts"))
     return joined.mapInArrow(scorer(depth, total, distinct, ends), SCORE).select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logloom.llm import host_rules, pii, queries, simhash, suffix_tree, toxicity
+from tests.llm.test_similarity import shuffled_columns
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -189,6 +190,38 @@ def test_rare_contexts_are_kept_in_a_large_corpus(spark):
     assert max(kept) < min(whole) - 5
 
 
+def test_chunks_are_not_shuffled(spark):
+    """However large the tables are: without broadcasts counts and chances go to the chunks, also to those that lack none."""
+    docs = spark.createDataFrame([(i, f"own{i} shared words of all {i * i}") for i in range(60)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_tree.score_documents(docs, F.lit(False), chunk_words=20)
+        assert not {"codes", "starts", "words"} & shuffled_columns(out._jdf.queryExecution().executedPlan())
+        whole = suffix_tree.score_documents(docs.coalesce(1), F.lit(False)).collect()  # a single chunk
+        got, want = ([(*r[:5], round(r[5], 9), round(r[6], 9)) for r in sorted(rows)] for rows in (out.collect(), whole))
+        assert len(got) == 60 and got == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("depth", [1, 5, 6])
+def test_packed_grams_come_back(depth):
+    rng = np.random.default_rng(depth)
+    data = np.where(rng.random(3000) < 0.1, 256, rng.integers(97, 103, 3000)).astype(np.uint16)
+    codes = suffix_tree.grams(data, np.array([0, 1000, 1000, 3000]), depth)
+    training = rng.random(3000) < 0.7
+    keys, n = suffix_tree.counted(codes, training)
+    want = Counter(codes[training].tolist())
+    assert keys.tolist() == sorted(set(codes.tolist())) and n.tolist() == [want[k] for k in keys.tolist()]
+    other = np.sort(suffix_tree.turned(keys, depth))
+    assert (other >> (9 * depth)).tolist() == sorted((keys & 511).tolist())  # the last symbol is highest
+    back = suffix_tree.unpacked_rising(suffix_tree.packed_rising(other))
+    assert np.sort(suffix_tree.turned(back, depth)).tolist() == keys.tolist()
+    assert suffix_tree.unpacked(suffix_tree.packed(n)).tolist() == n.tolist()
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_tree.counted(none, none)] == [0, 0] and len(suffix_tree.unpacked_rising(suffix_tree.packed_rising(none))) == 0
+
+
 def test_tree_is_a_distribution(spark):
     rows = [(i, "some words of a text " * (i % 4), ) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
