@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logloom.llm import host_rules, pii, queries, simhash, suffix_tree, toxicity
+from logloom.llm import common, host_rules, pii, queries, simhash, suffix_tree, toxicity
 from tests.llm.test_similarity import shuffled_columns
 
 SF = "/root/testdata/sf0.001"
@@ -222,6 +222,69 @@ def test_packed_grams_come_back(depth):
     assert [len(x) for x in suffix_tree.counted(none, none)] == [0, 0] and len(suffix_tree.unpacked_rising(suffix_tree.packed_rising(none))) == 0
 
 
+def test_no_row_per_word_or_gram(spark, monkeypatch):
+    """What passes between chunks is a row per chunk and part, however many words there are."""
+    rows = []
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, label: rows.append((kept := common.stored(df, label)).count()) or kept)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 50}x{k}" for k in range(60))) for i in range(200)], "doc_id long, text string").repartition(2)
+    out = suffix_tree.score_documents(docs, queries.remainder(10) == 0)
+    parts = suffix_tree.parts_for(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert rows and max(rows) <= 2 * parts < 50 * 60
+    assert out.filter("n_tokens = 61 and n_known = 61").count() == 200  # 4 copies of each text: one at least is training
+
+
+def test_rows_of_a_chunk_are_bounded():
+    """Partitions grow with the corpus, and chunks too: rows would grow with its square."""
+    assert suffix_tree.parts_for(8) == 64 and suffix_tree.parts_for(10 ** 5) == suffix_tree.parts_for(10 ** 6)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 5000])
+def test_places(n):
+    rng = np.random.default_rng(n)
+    known = rng.permutation(np.unique(np.concatenate([rng.integers(0, 1 << 62, n // 2), np.arange(n - n // 2)])))
+    places = suffix_tree.Places(known)
+    assert places.find(known).tolist() == list(range(len(known)))
+    values = np.concatenate([rng.integers(0, 1 << 62, 1000), rng.integers(0, 9000, 1000)])
+    at = {v: i for i, v in enumerate(known.tolist())}
+    assert places.find(values).tolist() == [at.get(v, -1) for v in values.tolist()]
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_word_counts_by_part(monkeypatch, bound):
+    """Sums and answers do not depend on how many rows are taken at a time."""
+    import pyarrow as pa
+
+    for name in ("MERGE", "ASKED", "HASHED"):
+        monkeypatch.setattr(suffix_tree, name, bound)
+    rng = random.Random(3)
+    parts, chunks, every = 3, {}, []
+    for chunk in range(6):
+        words = [f"é{k}\0" * (k % 4 + 1) for k in rng.sample(range(200), 90)]
+        spelled = suffix_tree.spelled(pa.array(words, pa.large_string()))
+        assert suffix_tree.unpacked_words(suffix_tree.packed_words(spelled)).to_pylist() == [w.encode() + b" " for w in words]
+        part = suffix_tree.word_part_of(spelled, parts)
+        assert part.tolist() == [suffix_tree.word_part_of(spelled.slice(i, 1), parts)[0] for i in range(90)]
+        chunks[chunk] = [(w, rng.randint(0, 2)) for w in words]
+        for p in set(part.tolist()):
+            own = [x for x, q in zip(chunks[chunk], part) if q == p]
+            every.append((parts + p, chunk, suffix_tree.packed_words(suffix_tree.spelled(pa.array([w for w, _ in own], pa.large_string()))),
+                          suffix_tree.packed(np.array([n for _, n in own]))))
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                                    names=["part", "chunk", "keys", "counts"])
+    every.sort(key=lambda r: r[:2])
+    sums = [r for b in suffix_tree.run_sums(parts)(iter([batch(every)])) for r in b.to_pylist()]
+    want = Counter()
+    for own in chunks.values():
+        want.update({w: n for w, n in own if n})
+    assert sum(r["total"] for r in sums) == sum(want.values()) and sum(r["distinct_keys"] for r in sums) == len(want)
+    asked = sorted([(r["part"], None, r["keys"], r["counts"]) for r in sums] + [(*r[:3], None) for r in every], key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    found = {(r["part"], r["chunk"]): r["found"] for b in suffix_tree.run_found(parts, suffix_tree.learn({}, 1, 0.0), 2, 2, 0.0)(iter([batch(asked)])) for r in b.to_pylist()}
+    assert len(found) == len(every)
+    for part, chunk, keys, _ in every:
+        words = [w.decode()[:-1] for w in suffix_tree.unpacked_words(keys).to_pylist()]
+        assert suffix_tree.unpacked(found[part, chunk]).tolist() == [want[w] for w in words]
+
+
 def test_tree_is_a_distribution(spark):
     rows = [(i, "some words of a text " * (i % 4), ) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
